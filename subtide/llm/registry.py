@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.llm import quality
+from subtide.llm import chat, quality, secrets
 
-MODULES = (quality,)
+MODULES = (chat, quality, secrets)
 
 
 def queries() -> dict:
