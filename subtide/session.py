@@ -26,3 +26,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the shared Parquet tables; any path or URI scheme Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, for the functions that run there."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_subtide_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='subtide-')}/subtide", "zip", root, "subtide")
+    context.addPyFile(archive)
+    context._subtide_shipped = True
