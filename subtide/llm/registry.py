@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.llm import chat, quality, secrets
+from subtide.llm import chat, decontam, quality, secrets
 
-MODULES = (chat, quality, secrets)
+MODULES = (decontam, chat, secrets, quality)
 
 
 def queries() -> dict:
