@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.llm import chat, decontam, quality, secrets
+from subtide.llm import chat, decontam, quality, secrets, simhash
 
-MODULES = (decontam, chat, secrets, quality)
+MODULES = (decontam, simhash, chat, secrets, quality)
 
 
 def queries() -> dict:
