@@ -111,8 +111,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return found.select(
-        *extra,
+    measured = F.struct(
         F.size("_w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -121,6 +120,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         "n_upper", "n_lower", "n_bangs",
     )
+    # A generator of one row: filters on measurements stay above it. Pushed below, they
+    # would repeat the array expressions once per reference.
+    return found.select(*extra, F.inline(F.array(measured)))
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -175,7 +175,9 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: flo
         & ~F.exists(F.col("_b"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
         & (log_ratio(x["match"], ratio) >= threshold),
     )
-    return base.withColumn("spans", F.sort_array(F.concat("_b", extra))).drop("_a", "_k", "_h", "_t", "_b")
+    kept = [c for c in base.columns if c not in ("_a", "_k", "_h", "_t", "_b")]
+    # A generator of one row, so that filters on the spans stay above it and do not repeat the scan.
+    return base.select(*kept, F.inline(F.array(F.struct(F.sort_array(F.concat("_b", extra)).alias("spans")))))
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:
