@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.llm import chat, decontam, html, licenses, packing, quality, secrets, simhash
+from subtide.llm import bwt, chat, decontam, html, licenses, packing, quality, secrets, simhash, substring
 
-MODULES = (decontam, packing, simhash, licenses, html, chat, secrets, quality)
+MODULES = (decontam, packing, simhash, bwt, licenses, html, substring, chat, secrets, quality)
 
 
 def queries() -> dict:
