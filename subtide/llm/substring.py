@@ -46,20 +46,38 @@ BROADCAST_KEYS = 200_000
 def with_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text, t, copies, lead): rows of ``docs`` with how often their text occurs.
 
-    ``lead`` marks rows with the smallest doc_id of their text; ``t`` tells texts of one doc_id apart.
+    ``lead`` marks rows with the smallest doc_id of their text; ``t`` tells texts
+    of one doc_id apart, and is 0 throughout where no doc_id repeats.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     recurring = stored(
         base.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")).where("copies > 1")
     )
     small = recurring.count() <= BROADCAST_KEYS
+    unique = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    t = F.lit(0).cast("long") if unique else F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     joined = base.join(F.broadcast(recurring) if small else recurring, "digest", "left")
     return joined.select(
-        "doc_id", "text", F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").alias("t"),
+        "doc_id", "text", t.alias("t"),
         F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce(F.col("least").eqNullSafe(F.col("doc_id")) | F.col("copies").isNull(), F.lit(True)).alias("lead"),
     )
 
 
+def attach(rows: DataFrame, found: DataFrame, column: str, key: str) -> DataFrame:
+    """``rows`` left-joined with ``found`` (_id, _t, column) on (key, t), nulls matching.
+
+    Up to ``BROADCAST_KEYS`` found rows, their keys are broadcast and only the
+    texts they name are shuffled; past that, all are.
+    """
+    found = stored(found)
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t"))
+    if found.count() > BROADCAST_KEYS:
+        return rows.join(found, same, "left").drop("_id", "_t")
+    keys = F.broadcast(found.select("_id", "_t"))
+    named = rows.join(keys, same, "left_semi").join(found, same, "left").drop("_id", "_t")
+    return named.unionByName(rows.join(keys, same, "left_anti").withColumn(column, F.lit(None).cast(found.schema[column].dataType)))
+
+
 def _words(column: pa.Array):
     for row, raw, offsets in W.slices(column):
         starts, ends, before = W.spans(raw, offsets, W.SPACES)
@@ -168,7 +186,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, period: int = PERIOD,
     repeated = windows.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
     covered = windows.where("n = 1").join(repeated, ["high", "low"], "left_semi")
     lists = covered.groupBy("doc_id", "t").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "starts")
-    done = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left")
+    done = attach(rows, lists, "starts", "doc_id")
     return done.select("doc_id", "text", "copies", "starts").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string")
 
 
