@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of applications without a shared one, by application id (tests).
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="subtide-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            return held.get().rstrip("/")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = tempfile.mkdtemp(prefix="subtide-")
+        named = _OWN[context.applicationId]
     return named.rstrip("/")
 
 
