@@ -49,7 +49,7 @@ def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def runs(page: str) -> list[tuple]:
-    """("tag", marks, opens) and ("text", text, block number, chain of marks) in page order."""
+    """("tag", marks, opens, chain around it) and ("text", text, block number, chain of marks) in page order."""
     out: list[tuple] = []
     held: list[tuple[str, tuple[str, ...]]] = []
     chain: tuple[str, ...] = ()
@@ -80,6 +80,7 @@ def runs(page: str) -> list[tuple]:
         if tag not in _INLINE:
             block += 1
         if tag in _HELD:
+            outer = chain
             if closing:
                 names = [t for t, _ in held]
                 if tag in names:
@@ -87,9 +88,9 @@ def runs(page: str) -> list[tuple]:
             else:
                 held.append((tag, marks_of(tag, m[3])))
             chain = tuple(f for _, fs in held for f in fs)
-            out.append(("tag", held[-1][1] if held and not closing else (f"<{tag}>",), not closing))
+            out.append(("tag", held[-1][1] if held and not closing else (f"<{tag}>",), not closing, outer))
         else:
-            out.append(("tag", (f"<{tag}>",), not closing))
+            out.append(("tag", (f"<{tag}>",), not closing, chain))
     return out
 
 
@@ -104,18 +105,22 @@ def best_region(tokens: list[tuple], weights: Weights, tag_cost: float = 0.02, l
     """[first, last) of the tokens with the largest sum, by one linear scan.
 
     A tag costs little by itself, so that a block of one word still pays for its
-    tags; links cost more, and boilerplate elements what they have learnt.
+    tags; links cost more, and boilerplate elements what they have learnt. Inside
+    a content element, boilerplate costs nothing: it is left out of the text, and
+    what follows it there still belongs to the region.
     """
     best, region, total, first = 0.0, (0, 0), 0.0, 0
-    known: dict[tuple[str, ...], float] = {}
+    known: dict[tuple[str, ...], tuple[float, bool]] = {}
     for i, t in enumerate(tokens):
+        if t[3] not in known:
+            known[t[3]] = weights.chain(t[3]), any(weights.get(f, 0.0) >= 1 for f in t[3])
+        odds, inside = known[t[3]]
         if t[0] == "text":
             n = len(t[1].split())
-            if t[3] not in known:
-                known[t[3]] = weights.chain(t[3])
-            score = n if known[t[3]] >= 0 else -n
+            score = n if odds >= 0 else 0 if inside else -n
         else:
-            score = -(link_cost if t[1][0] == "<a>" else tag_cost) + min(0.0, sum(weights.get(f, 0.0) for f in t[1])) * t[2]
+            learnt = 0.0 if inside or not t[2] else min(0.0, sum(weights.get(f, 0.0) for f in t[1]))
+            score = learnt - (link_cost if t[1][0] == "<a>" else tag_cost)
         if total <= 0:
             total, first = 0.0, i
         total += score
@@ -158,7 +163,7 @@ def labelled_pages(spark: SparkSession, copies: int = 2) -> DataFrame:
             good = CONTENT_NAMES[(i + k) % len(CONTENT_NAMES)]
             tag = CONTENT_TAGS[(i + k) % len(CONTENT_TAGS)]
             line = [text.format(f"{k} {i} {j}") for j in range(4)]
-            other = f"Some other words {k} {i}"
+            other = f"<ul><li>Some other words {k} {i}</li></ul>"
             boiler = f"<{bad}>{other}</{bad}>" if bad in BOILERPLATE_TAGS else f'<div {("class", "id")[k % 2]}="{bad}">{other}</div>'
             body = f"<p>{line[0]}</p><p>{line[1]}</p>" + boiler * (k % 2) + f"<ul><li>{line[2]}</li></ul>"
             where = f'<div class="{good}">{body}</div>' if i % 2 else f"<{tag}>{body}</{tag}>"
