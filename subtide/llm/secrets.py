@@ -154,7 +154,7 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: float = 0.2) -> DataFrame:
     """``docs`` with ``spans``: array<struct<start, kind, end, match>> in order.
 
     ``kind`` indexes ``KINDS``. A Markov span needs a letter and a digit in the
