@@ -104,7 +104,8 @@ def nearest_gap_cut(targets: DataFrame, spans: DataFrame, keys: Sequence[str], t
     on = [F.col(f"t.{k}") == F.col(f"g.{k}") for k in keys] + [F.col("g._gs") < F.col(f"t.{hi}"), F.col("g._ge") > F.col(f"t.{lo}")]
     joined = targets.alias("t").join(g.alias("g"), on, "left")
     t = F.col(target)
-    gs, ge = F.greatest(F.col("_gs"), F.col(lo)), F.least(F.col("_ge"), F.col(hi))
+    some = F.col("_gs").isNotNull()  # greatest() passes over nulls
+    gs, ge = F.when(some, F.greatest("_gs", lo)), F.when(some, F.least("_ge", hi))
     distance = F.when(t < gs, gs - t).when(t > ge, t - ge).otherwise(F.lit(0).cast("double"))
     ranked = joined.select(*[F.col(f"t.{c}").alias(c) for c in targets.columns], gs.alias("_gs"), ge.alias("_ge"), distance.cast("double").alias("_d"))
     best = ranked.groupBy(*targets.columns).agg(

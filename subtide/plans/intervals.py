@@ -136,7 +136,7 @@ def targets(users: DataFrame) -> DataFrame:
 @query(
     "k02_nearest_gap_cut",
     f"""WITH {_GAPS}, {_TARGETS},
-    j AS (SELECT b.user_id, b.target, b.f, b.u, greatest(g.start, f) AS gs, least(g."end", u) AS ge FROM b LEFT JOIN g ON g.user_id = b.user_id AND g.start < u AND g."end" > f),
+    j AS (SELECT b.user_id, b.target, b.f, b.u, CASE WHEN g.start IS NOT NULL THEN greatest(g.start, f) END AS gs, CASE WHEN g.start IS NOT NULL THEN least(g."end", u) END AS ge FROM b LEFT JOIN g ON g.user_id = b.user_id AND g.start < u AND g."end" > f),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id, target ORDER BY CASE WHEN gs IS NULL THEN 0 WHEN target < gs THEN gs - target WHEN target > ge THEN target - ge ELSE 0 END, gs - ge, gs) AS rn FROM j)
     SELECT user_id, target, CASE WHEN gs IS NULL THEN target ELSE least(ge, greatest(gs, target)) END AS cut, gs IS NULL AS fallback FROM r WHERE rn = 1""",
 )
