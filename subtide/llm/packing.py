@@ -19,10 +19,14 @@ sequences.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -35,8 +39,9 @@ from subtide.llm.lineage import stored
 
 GROUP = 8192
 FULL = 0.99
+#: Chunks whose ids a Python worker holds.
 CACHE_WORDS = 500_000
-_ENDS = ".,;:!?"
+_MARK = re.compile(r"([.,])(?<=[^\W_].)(?= )")
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,11 @@ class _Encoder:
     """Ids of a text from a cache of the ids of its space-parted chunks.
 
     The tokenizer drops white space and never joins over it, so a text's ids are
-    those of its chunks in order. Unknown chunks are encoded together.
+    those of its chunks in order. Unknown chunks are encoded together: plain
+    lower-case words many to a string, by the same model without its
+    normaliser, to be cut after each token that ends a word; anything else by
+    the tokenizer as it is. Of the cache, the chunks not seen for
+    ``CACHE_WORDS`` new ones are forgotten.
     """
 
     _kept: dict[str, _Encoder] = {}
@@ -64,7 +73,16 @@ class _Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}}
+        self.plain = Tokenizer.from_str(json.dumps(rules))
+        suffix = rules["model"]["end_of_word_suffix"]
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -72,29 +90,59 @@ class _Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _encode(self, chunks: list[str]) -> None:
+        known = self.cache
+        words = [c for c in chunks if c.isalpha() and max(c) < "\u0530" and (c.isascii() and c.islower() or c == c.lower() and is_normalized("NFC", c))]
+        other = set(chunks).difference(words)
+        for c, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        groups = [words[a : a + 64] for a in range(0, len(words), 64)]
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for c, stop in zip(group, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                known[c] = data[at:stop]
+                at = stop
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encodes unknown chunks; a word before one closing mark is encoded without it."""
-        core = {}
+        """Finds the ids of chunks not in the cache."""
+        fresh = []
         for c in chunks:
-            low = c.lower() if c.isascii() else c
-            core[c] = (low[:-1], low[-1]) if low[-1] in _ENDS and low[:-1].isalpha() else (low, "")
-        need = list({p for pair in core.values() for p in pair} - self.cache.keys())
-        self.cache.update(zip(need, self._encode(need), strict=True))
-        self.cache.update((c, self.cache[a] + self.cache[b]) for c, (a, b) in core.items())
+            ids = self.older.get(c)
+            if ids is None:
+                fresh.append(c)
+            else:
+                self.cache[c] = ids
+        self._encode(fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        unknown = set().union(*parts) - self.cache.keys()
-        self._learn(unknown)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+            self.older, self.cache = self.cache, {"": b""}
+        parts = [_parted(t) for t in texts]
+        flat = list(chain.from_iterable(parts))
+        found = list(map(self.cache.get, flat))
+        unknown = [k for k, v in enumerate(found) if v is None]
+        self._learn({flat[k] for k in unknown})
+        for k in unknown:
+            found[k] = self.cache[flat[k]]
+        stops = list(accumulate(map(len, parts), initial=0))
+        return [b"".join(found[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
+def _parted(text: str) -> list[str]:
+    """Space-parted chunks of a text with the same ids.
+
+    A text within Latin-1 is composed already and lower-cased at once. A comma or
+    full stop between a letter or digit and a space is a piece of its own to the
+    tokenizer, so it is parted from its word.
+    """
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return _MARK.sub(r" \1", text.replace("\n", " ")).split(" ")
 
 
 def _cut(path: str, size: int, end: int):
@@ -106,8 +154,8 @@ def _cut(path: str, size: int, end: int):
         rid, alone = task << 40, -(task << 40) - 1
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 32):
+                part = batch.slice(at, 32)
                 rows = []
                 texts = [t or "" for t in part["text"].to_pylist()]
                 for k, ids in enumerate(encoder.encode(texts)):
