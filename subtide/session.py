@@ -29,7 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application, for the functions that run there."""
+    """Sends this package to the executors, once per application, for the functions that run there.
+
+    Batches of long texts for those functions are kept small: the default of 10,000 rows can be gigabytes.
+    """
     import shutil
     import tempfile
     from pathlib import Path
@@ -37,6 +40,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_subtide_shipped", False):
         return
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     root = Path(__file__).resolve().parent.parent
     archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='subtide-')}/subtide", "zip", root, "subtide")
     context.addPyFile(archive)
