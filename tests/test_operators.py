@@ -149,3 +149,44 @@ def test_streaming_debounce(spark, tmp_path):
     q = debounce.debounced(stream, "path", "ts", "5 seconds", "1 minute").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("bursts").where("path = 'p'").collect()) == [1, 2]
+
+
+def test_visible_lines_and_backends(spark):
+    from subtide.functions import unicode as U
+
+    d = spark.createDataFrame([("<i>ＡＢ &amp; c</i>\n\n  x\ty ",), (None,)], "t string")
+    assert [r["l"] for r in d.select(U.visible_lines("t").alias("l")).collect()] == [["AB & c", "x y"], []]
+    U.register_backend("detector", "fixed", lambda name: U.line_detector(lambda s: s.map(lambda _: name)))
+    assert d.select(U.backend("detector", "fixed", name="ja")("t").alias("n")).first()["n"] == "ja"
+    with pytest.raises(KeyError):
+        U.backend("detector", "none")
+
+
+def test_greedy_offsets_move_on(spark):
+    from subtide.operators.alignment import greedy_offsets
+
+    d = spark.createDataFrame([("ab ab c", ["ab", "zz", "ab", "c"])], "t string, w array<string>")
+    assert [tuple(x) for x in d.select(greedy_offsets(F.col("t"), F.col("w")).alias("o")).first()["o"]] == [("ab", 0), ("zz", None), ("ab", 3), ("c", 6)]
+
+
+def test_projection_rejects_unknown_and_reserved(spark):
+    from subtide.operators.records import project
+
+    d = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError):
+        project(d, ["a", "c"])
+    with pytest.raises(ValueError):
+        project(d, ["a", "b"], reserved=["b"])
+
+
+def test_speech_gap_and_overlap_nulls(spark):
+    c = spark.createDataFrame([("a", 0, 0.0, 1.0)], "k string, cell int, start double, end double")
+    s = spark.createDataFrame([], "k string, i int, start double, end double")
+    r = intervals.max_overlap(c, s, ["k"], "i").first()
+    assert r["i"] is None and r["overlap"] is None
+
+
+def test_path_events_and_first_seen(spark):
+    e = spark.createDataFrame([("a/.media.json", "b/.media.json", 1), (None, "x/y/.media.json", 2)], "src string, dst string, n int")
+    got = debounce.path_events(e, "src", "dst", r"^[^/]+/\.media\.json$")
+    assert rows(got) == [("a/.media.json", 1), ("b/.media.json", 1)]
