@@ -38,7 +38,7 @@ def register_backend(kind: str, name: str, factory: Callable[..., Callable[[Colu
     _BACKENDS[kind, name] = factory
 
 
-def backend(kind: str, name: str, **options: object) -> Callable[[Column], Column]:
+def backend(kind: str, name: str, /, **options: object) -> Callable[[Column], Column]:
     """The column function of a registered backend; an unknown name fails with the known ones."""
     if (kind, name) not in _BACKENDS:
         raise KeyError(f"no {kind} backend {name!r}; known: {sorted(n for k, n in _BACKENDS if k == kind)}")
