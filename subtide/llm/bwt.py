@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from subtide.llm import words as W
 from subtide.llm.decontam import _in, bitmap
 from subtide.llm.lineage import stored
-from subtide.llm.substring import with_copies
+from subtide.llm.substring import attach, with_copies
 
 LENGTH = 50
 GRAM = 24
 HEAVY = 20_000
-BATCH = 4 << 20
-SHARDS = 4
+BATCH = 1 << 18
+SHARDS = 2
 MOST_BITS = 29
 #: Fragments hold at most so many strings, however periodic the text.
 RUN = 128
@@ -56,70 +56,69 @@ LAST = 2**63 - 1
 # The transform of a shard and the merge ------------------------------------
 
 
-def transform(text: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix order, transform, first characters) of the strings text[bounds[i]:bounds[i + 1]].
+def transform(code: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the suffixes of strings written one after the other, each with an end.
 
-    Characters are 1..256, 0 ends a string; end i sorts before end i + 1. The
-    order is by ``depth`` characters at least, by doubling of ranks.
+    ``code`` holds characters from 1 and 0 for the ends, which lie at ``ends``. The
+    order is by ``depth`` characters at least, an end the smallest and nothing
+    after it: eight at once, then by doubling of ranks. Suffixes that agree that
+    far may come in any order, as they lie in one interval.
     """
-    k, n = len(bounds) - 1, len(text) + len(bounds) - 1
-    code = np.zeros(n, np.uint16)
-    ends = bounds[1:] + np.arange(k)
-    body = np.ones(n, bool)
-    body[ends] = False
-    code[body] = text.astype(np.uint16) + 1
-    rank = code.astype(np.int64) + k
-    rank[ends] = np.arange(k)
-    order = np.argsort(rank, kind="stable")
-    reach = 1
+    n = len(code)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
+    key = code.astype(np.uint64)
+    for i in range(1, 8):
+        key <<= np.uint64(8)
+        key[: n - i] |= np.where(left[: n - i] >= i, code[i:], 0).astype(np.uint64)
+    order = np.argsort(key)
+    reach = 8
     while reach < depth:
-        # An end is unlike any other, so ranks past it never matter.
-        follow = np.zeros(n, np.int64)
-        follow[: n - reach] = rank[reach:] + 1
-        key = rank * (rank.max() + 2) + follow
-        order = np.argsort(key, kind="stable")
         ordered = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+        rank[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        key = rank * (rank[order[-1]] + 1)
+        key[: n - reach] += np.where(left[: n - reach] >= reach, rank[reach:], 0)
+        order = np.argsort(key)
         reach *= 2
-    before = np.zeros(n, np.uint16)
-    before[1:] = code[:-1]
-    return order, before[order], code[order]
+    return order
 
 
-def merge(transforms: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, parted): the merged order of the shards' suffixes by ``depth`` characters.
+def merge(pairs: list[np.ndarray], lasts: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(interleave, parted): the merged order of the shards' suffixes by ``depth`` characters, two a round.
 
-    ``interleave`` holds shard numbers; ``parted[i]`` is the number of
-    characters that suffixes i - 1 and i share, ``depth`` where they share all.
+    ``pairs`` are the shards' transforms: by suffix order, the two characters
+    before each suffix as one number, its high byte the earlier; 0 where a string starts
+    within them. ``lasts`` are the last characters of the shards' strings.
+    ``interleave`` holds shard numbers. ``parted`` is, for neighbours, the
+    characters before the round that told them apart, ``depth`` where none did.
     """
-    n = sum(map(len, transforms))
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    heads = int(sum(ends))
-    first = np.repeat(np.arange(len(transforms), dtype=np.uint8), ends)
+    n = sum(map(len, pairs))
+    number = np.arange(len(pairs), dtype=np.uint8)
+    shard = np.repeat(number, [len(p) for p in pairs])
+    first = np.repeat(number, [len(x) for x in lasts])
+    heads = len(first)
+    tail = np.concatenate(lasts).astype(np.uint16) << np.uint16(8)
     common = np.full(n, depth, np.int16)
-    common[: heads + 1] = 0
-    boundary = np.zeros(n, bool)
-    boundary[0] = True
-    chars = np.empty(n, np.uint16)
-    for done in range(depth):
-        for s, t in enumerate(transforms):
-            chars[shard == s] = t
-        block = np.cumsum(boundary, dtype=np.int32)
-        order = np.argsort(chars, kind="stable")[heads:]
-        new = np.concatenate([first, shard[order]])
-        c, b = chars[order], block[order]
-        apart = np.ones(n, bool)
+    common[:heads] = 0
+    block = np.zeros(n, np.int32)
+    keys = np.empty(heads + n, np.uint16)
+    keys[:heads] = tail
+    source, whose = np.empty(heads + n, np.uint8), np.empty(heads + n, np.int32)
+    source[:heads], whose[:heads] = first, np.arange(-heads, 0)
+    apart = np.ones(n, bool)
+    for done in range(0, depth, 2):
+        for s, p in enumerate(pairs):
+            keys[heads:][shard == s] = p
+        source[heads:], whose[heads:] = shard, block
+        order = np.argsort(keys, kind="stable")[2 * heads :]  # without the suffixes that start in their string's first two characters
+        new = np.concatenate([first, source[order]])
+        c, b = keys[order], whose[order]
         apart[heads + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         fresh = apart & (common == depth)
-        if not done:
-            fresh[: heads + 1] = False
         common[fresh] = done
-        settled = done and not fresh.any() and (new == shard).all()
-        shard, boundary = new, apart
-        if settled:
+        if done and not fresh.any() and np.array_equal(new, shard):
             break
-    common[0] = 0
+        shard, block = new, np.cumsum(apart, dtype=np.int32)
     return shard, common
 
 
@@ -132,19 +131,32 @@ def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: int =
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + k + 1].astype(np.int64)
     text = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
+    ends = offsets[1:] + np.arange(k)
+    code = np.zeros(len(text) + k, np.uint16)
+    inside = np.ones(len(code), bool)
+    inside[ends] = False
+    present = np.flatnonzero(np.bincount(text, minlength=256))
+    rank = np.zeros(256, np.uint16)
+    rank[present] = np.arange(1, len(present) + 1)  # at most 255 different bytes: UTF-8 has no FF
+    code[inside] = rank[text]
+    before = np.zeros(len(code) + 2, np.uint16)
+    before[2:] = code
+    pair = (before[:-2] << np.uint16(8)) | before[1:-1]
+    pair[(before[:-2] == 0) | (before[1:-1] == 0)] = 0
     cuts = np.unique(np.linspace(0, k, min(shards, k) + 1).astype(np.int64))
-    parts = [(a, b, *transform(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    shard, common = merge([p[3] for p in parts], [int(b - a) for a, b, *_ in parts], length)
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        lo, hi = offsets[a] + a, offsets[b] + b
+        parts.append((lo, transform(code[lo:hi], ends[a:b] - lo, length), code[ends[a:b] - 1]))
+    shard, common = merge([pair[lo:][order] for lo, order, _ in parts], [last for *_, last in parts], length)
     place = np.empty(len(shard), np.int64)  # in the strings with their ends
-    for s, (a, _, order, _, _) in enumerate(parts):
-        place[shard == s] = order + offsets[a] + a
+    for s, (lo, order, _) in enumerate(parts):
+        place[shard == s] = order + lo
     whose = np.repeat(owner, np.diff(offsets) + 1)[place]
     heads = np.flatnonzero(common < length)
     least = np.minimum.reduceat(whose, heads)
     result = np.empty(len(shard), np.int64)
     result[place] = np.repeat(least, np.diff(np.append(heads, len(shard))))
-    inside = np.ones(len(shard), bool)
-    inside[offsets[1:] + np.arange(k)] = False
     return result[inside], offsets
 
 
@@ -172,7 +184,7 @@ def _fragments(column: pa.Array, length: int, gram: int):
             yield row, raw, offsets, none, none, none.view(np.uint64)
             continue
         at = np.arange(n - gram + 1)
-        cell = _least(W.run_hashes(W._byte_table(0)[raw], at, at + gram), length - gram + 1)
+        cell = _least(W.sliding_hashes(W._byte_table(0)[raw], gram), length - gram + 1)
         end = np.repeat(offsets[1:], np.diff(offsets))[: len(cell)]
         valid = at[: len(cell)] + length <= end
         fresh = np.ones(len(cell), bool)
@@ -246,6 +258,12 @@ def _resolve(length: int):
     """Whole cells, sorted -> (d, t, start, n): runs of strings that a smaller document has."""
 
     def solve(table: pa.Table) -> pa.RecordBatch:
+        cell, d = table["cell"].to_numpy(), table["d"].to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        several = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)  # else no smaller document
+        table = table.filter(pa.array(np.repeat(several, np.diff(np.append(heads, len(cell))))))
+        if not len(table):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["d", "t", "start", "n"])
         coded = table["text"].combine_chunks().dictionary_encode()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -328,20 +346,20 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy:
     leads = rows.where("lead").select("d", "t", "text")
     counts = leads.select("text").mapInArrow(_count_cells(length, gram), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     shared = stored(counts.where("n > 1"))
-    bits = min(MOST_BITS, max(20, ceil(log2(16 * (shared.count() + 1)))))
+    bits = min(MOST_BITS, max(20, ceil(log2(32 * (shared.count() + 1)))))
     hot = shared.where(F.col("n") > heavy)
     hot_bits = min(MOST_BITS, max(20, ceil(log2(1024 * (hot.count() + 1)))))
     masks = (bitmap(shared, "cell", bits), bits, bitmap(hot, "cell", hot_bits), hot_bits, length, gram)
     fragments = leads.mapInArrow(_emit(*masks, False), "cell long, d long, t long, start long, text binary")
     found = fragments.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(length), "d long, t long, start long, n long")
-    single = leads.mapInArrow(_emit(*masks, True), "high long, low long, d long, t long, start long")
+    single = stored(leads.mapInArrow(_emit(*masks, True), "high long, low long, d long, t long, start long"))
     least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("high", "low", "least")
     also = single.join(least, ["high", "low"]).where("least < d").select("d", "t", "start", F.lit(1).cast("long").alias("n"))
     runs = (
         found.unionByName(also).groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-        .select(F.col("d").alias("_d"), F.col("t").alias("_t"), "runs")
+        .select(F.col("d").alias("_id"), F.col("t").alias("_t"), "runs")
     )
-    done = rows.join(runs, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t")), "left").withColumn("gone", ~F.col("lead"))
+    done = attach(rows, runs, "runs", "d").withColumn("gone", ~F.col("lead"))
     return done.select("doc_id", "text", "gone", "runs").mapInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     )

@@ -17,7 +17,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 #: Text handled at once in a task; a longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 4096
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -64,28 +64,32 @@ def _byte_table(seed: int) -> np.ndarray:
 _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xC2B2AE3D27D4EB4F}
 
 
-@lru_cache(maxsize=4)
-def _powers_to(seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[seed] | 1
-    inverse = pow(base, -1, 2**64)
-    up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(up), np.cumprod(down)
+#: Powers by seed, as many as were needed so far.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base modulo 2**64 and of its inverse."""
-    up, down = _powers_to(seed, max(1 << 16, 1 << (max(n, 1) - 1).bit_length()))
+    if seed not in _POWERS or len(_POWERS[seed][0]) < n:
+        size = max(1 << 20, 1 << (n - 1).bit_length())
+        base = _BASE[seed] | 1
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
+        up[0] = down[0] = 1
+        with np.errstate(over="ignore"):
+            _POWERS[seed] = np.cumprod(up, out=up), np.cumprod(down, out=down)
+    up, down = _POWERS[seed]
     return up[:n], down[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+        h = h ^ (h >> np.uint64(33))
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(33)
+        h *= np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(33)
+    return h
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -97,17 +101,17 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         return mix((total[ends] - total[starts]) * down[starts])
 
 
+def sliding_hashes(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """run_hashes of all runs of ``width`` values, without index arrays."""
+    up, down = powers(seed, len(values) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=total[1:])
+        h = total[width:] - total[:-width]
+        h *= down[: len(h)]
+        return mix(h)
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     return run_hashes(_byte_table(seed)[raw], starts, ends, seed)
-
-
-def window_starts(before: np.ndarray, width: int) -> np.ndarray:
-    """First words of all windows of ``width`` words that stay within a row; ``before`` as from spans()."""
-    n = int(before[-1])
-    if n < width:
-        return np.zeros(0, np.int64)
-    ok = np.ones(n - width + 1, bool)
-    for e in before[1:-1]:  # windows across a row's end
-        ok[max(0, e - width + 1) : max(0, e)] = False
-    return np.flatnonzero(ok)
