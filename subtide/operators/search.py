@@ -44,10 +44,13 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: Sequence[str], k: float
     statistics over all documents are one row, joined by broadcast.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
+    # A generator of one row: the filter below stays above it and does not tokenise again for each term.
     counted = docs.withColumn("_t", tokens(text)).select(
         *docs.columns,
-        F.size("_t").cast("double").alias("_len"),
-        *[_count_of(F.col("_t"), t).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)],
+        F.inline(F.array(F.struct(
+            F.size("_t").cast("double").alias("_len"),
+            *[_count_of(F.col("_t"), t).cast("double").alias(f"_tf{i}") for i, t in enumerate(terms)],
+        ))),
     )
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_len").alias("_avg"),
