@@ -90,3 +90,22 @@ def artifact_name(number: Column) -> Column:
 def is_manifest(path: Column, name: str = ".media.json") -> Column:
     """A manifest exactly one directory deep."""
     return path.rlike(rf"^[^/]+/\Q{name}\E$")
+
+
+DATED = r"(?U)\((\d{4})\)\D{0,3}(\d{1,4})(?![A-Za-z0-9])"
+
+
+def episode_with_method(name: Column) -> Column:
+    """struct<episode, method> of the exploring parser (J08): a number after a parenthesised year counts before bare ones."""
+    e = episode(name)
+    dated = _number(F.nullif(F.regexp_extract(name, DATED, 2), F.lit("")))
+    method = F.when(name.rlike(SXXEYY), "sxxeyy").when(name.rlike(EPISODE_WORD), "episode_word").when(dated.isNotNull(), "dated_parenthesised").when(
+        e["local"].isNotNull(), "bare_number").otherwise("none")
+    return F.struct(F.when(method == "dated_parenthesised", dated).otherwise(e["local"]).alias("episode"), method.alias("method"))
+
+
+def suggested_episode(name: Column) -> Column:
+    """A positive episode number where the name holds just one candidate and no range or list of them, else null."""
+    ambiguous = name.rlike(r"(?iU)\d{1,4}\s*[-~+&,]\s*\d{1,4}|\b(?:batch|complete|vol)\b")
+    e = episode(name)["local"]
+    return F.when((e > 0) & ~ambiguous, e)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +69,30 @@ def frame_range(start: Column, end: Column, rate: Column, frames: Column) -> tup
     a, b = F.bround(start * rate).cast("long"), F.bround(end * rate).cast("long")
     ok = (a >= 0) & (b >= a) & (b <= frames)
     return F.when(ok, a), F.when(ok, b)
+
+
+def merge_metadata(a: Column, b: Column) -> Column:
+    """The two maps' value where they agree, else both in order."""
+    return F.when(a.eqNullSafe(b), F.array(a)).otherwise(F.array(a, b))
+
+
+def speech_chunks(spans: DataFrame, key: str) -> DataFrame:
+    """(key, index, start, end, lineage): speech spans as chunks with where they come from."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("start", "end")) - 1
+    return spans.select(key, n.alias("index"), "start", "end", F.struct(F.lit("speech").alias("kind"), F.col(key).alias("source"), n.alias("place")).alias("lineage"))
+
+
+def playback_range(start: Column, end: Column) -> tuple[Column, Column]:
+    """Whole milliseconds to play, one at least."""
+    a = F.bround(F.greatest(start, F.lit(0.0)) * 1000).cast("long")
+    return a, F.greatest(F.bround(end * 1000).cast("long"), a + 1)
+
+
+def detect(chunks: DataFrame, backend: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Spans of a detector or model given by the caller: a function from rows of chunks to rows of spans."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield backend(b)
+
+    return chunks.mapInPandas(run, schema)

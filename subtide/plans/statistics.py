@@ -181,7 +181,7 @@ def numeric_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(k, "s_name")).cast("long").alias("place"))
 
 
-@query("h09_argmax_embedding", "SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
+@query("h09_argmax_embedding", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings")
 def argmax(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", (F.array_position("embedding", F.array_max("embedding")) - 1).alias("best"))
 
