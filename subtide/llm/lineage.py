@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Temporary folders of applications without a shared one, by application id (tests).
@@ -40,3 +41,22 @@ def dropped(df: DataFrame) -> None:
         if "/table-" in f:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys with more rows than this are hot; up to ``MOST_HOT`` of them are broadcast.
+HOT, MOST_HOT = 1000, 200_000
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str, weight: str) -> DataFrame:
+    """An inner or left-semi join with a stored ``right`` of unique keys whose ``weight`` counts the rows they meet.
+
+    Rows of hot keys are joined by broadcast where they lie, the rest by shuffle,
+    so a key with a third of all rows does not meet in one task. There are fewer
+    hot keys than rows of ``left`` over ``HOT``; should they pass ``MOST_HOT``, one shuffled join does it all.
+    """
+    heavy = right.where(F.col(weight) > HOT)
+    if not 0 < heavy.count() <= MOST_HOT:
+        return left.join(right.drop(weight), on, how)
+    here = left.join(F.broadcast(heavy.drop(weight)), on, how)
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti")
+    return here.unionByName(rest.join(right.where(F.col(weight) <= HOT).drop(weight), on, how))

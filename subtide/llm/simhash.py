@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm import words as W
 from subtide.llm.components import components
-from subtide.llm.lineage import stored
+from subtide.llm.lineage import join_unique, stored
 
 DISTANCE = 3
 SHINGLE = 3
@@ -193,10 +193,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
         .mapInArrow(_fingerprint, "doc_id long, text_hash long, fp long")
     )
-    distinct = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(links(distinct.where("node IS NOT NULL")))
-    named = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return kept.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    distinct = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")))
+    found = components(links(distinct.where("node IS NOT NULL").select("fp", "node")))
+    named = stored(distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows"))
+    return join_unique(kept, named, ["fp"], "inner", "rows").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,3 +302,15 @@ def test_encoder_is_exact():
     for _ in range(2):
         for t, ids in zip(texts, encoder.encode(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_hot_keys_join_where_they_lie(spark, monkeypatch):
+    from subtide.llm import lineage
+
+    monkeypatch.setattr(lineage, "HOT", 3)
+    left = spark.createDataFrame([(1, i) for i in range(9)] + [(2, 20), (3, 30), (None, 40)], "k int, v int")
+    right = lineage.stored(spark.createDataFrame([(1, "a", 9), (2, "b", 1)], "k int, x string, rows long"))
+    got = lineage.join_unique(left, right, ["k"], "inner", "rows")
+    assert got.columns == ["k", "v", "x"] and bag(got.collect()) == bag(left.join(right.drop("rows"), "k").collect())
+    semi = lineage.join_unique(left, right, ["k"], "left_semi", "rows")
+    assert bag(semi.collect()) == bag(left.where("k < 3").collect())
