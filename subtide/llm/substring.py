@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm import words as W
 from subtide.llm.decontam import _in, bitmap
-from subtide.llm.lineage import stored
+from subtide.llm.lineage import join_unique, stored
 
 WIDTH = 35
 #: A perfect difference cover of period 21.
@@ -183,8 +183,8 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, period: int = PERIOD,
     windows = leads.select("doc_id", "t", "text", "copies").mapInArrow(
         _windows(bitmap(shared, "hash", bits), bits, width, period, cover), "high long, low int, doc_id long, t long, start int, n int"
     )
-    repeated = windows.groupBy("high", "low").agg(F.sum("n").alias("n")).where("n > 1").select("high", "low")
-    covered = windows.where("n = 1").join(repeated, ["high", "low"], "left_semi")
+    repeated = stored(windows.groupBy("high", "low").agg(F.sum("n").alias("rows")).where("rows > 1"))
+    covered = join_unique(windows.where("n = 1").drop("n"), repeated, ["high", "low"], "left_semi", "rows")
     lists = covered.groupBy("doc_id", "t").agg(F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "starts")
     done = attach(rows, lists, "starts", "doc_id")
     return done.select("doc_id", "text", "copies", "starts").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string")
