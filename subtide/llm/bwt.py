@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from subtide.llm import words as W
 from subtide.llm.decontam import _in, bitmap
-from subtide.llm.lineage import stored
+from subtide.llm.lineage import join_unique, stored
 from subtide.llm.substring import attach, with_copies
 
 LENGTH = 50
@@ -353,8 +353,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy:
     fragments = leads.mapInArrow(_emit(*masks, False), "cell long, d long, t long, start long, text binary")
     found = fragments.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(length), "d long, t long, start long, n long")
     single = stored(leads.mapInArrow(_emit(*masks, True), "high long, low long, d long, t long, start long"))
-    least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").select("high", "low", "least")
-    also = single.join(least, ["high", "low"]).where("least < d").select("d", "t", "start", F.lit(1).cast("long").alias("n"))
+    least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("rows"))
+    least = stored(least.where("least < most").drop("most"))
+    also = join_unique(single, least, ["high", "low"], "inner", "rows").where("least < d").select("d", "t", "start", F.lit(1).cast("long").alias("n"))
     runs = (
         found.unionByName(also).groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
         .select(F.col("d").alias("_id"), F.col("t").alias("_t"), "runs")
