@@ -6,14 +6,14 @@ cell, and consecutive strings of one cell form a fragment. Cells are counted ove
 all documents, and only fragments of cells that occur twice or more go on.
 
 Fragments are shuffled by cell. In a task they come in batches of whole cells of
-some ``BATCH`` bytes; equal fragments collapse, the rest is dealt to shards, and
-each shard gets its own Burrows-Wheeler transform. The shards' transforms are
-then merged: an interleave vector, which says from which shard each suffix in
-the merged order comes, is refined by one character a round from the
-transforms alone, without sorting the suffixes again. Where a round first parts
-two neighbours their common prefix has that length; intervals that ``LENGTH``
-rounds leave whole are the repeated strings, and the smallest doc_id in an
-interval is the first.
+some ``BATCH`` bytes. Equal fragments collapse, and a cell's only string needs no
+merge; the rest is dealt to shards, and each shard gets its own Burrows-Wheeler
+transform. The shards' transforms are then merged: an interleave vector, which
+says from which shard each suffix in the merged order comes, is refined by two
+characters a round from the transforms alone, without sorting the suffixes
+again. Where a round first parts two neighbours their common prefix is known to
+within the round; intervals that ``LENGTH`` characters leave whole are the
+repeated strings, and the smallest doc_id in an interval is the first.
 
 A cell has at most ``HEAVY`` fragments; strings of more frequent cells are
 dealt by their own hash (128 bits) and the first document of each is a minimum
@@ -34,6 +34,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -267,18 +268,27 @@ def _resolve(length: int):
         coded = table["text"].combine_chunks().dictionary_encode()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        d = table["d"].to_numpy()
+        cell, d, t, at = (table[c].to_numpy() for c in ("cell", "d", "t", "start"))
         owner = np.full(len(coded.dictionary), LAST, np.int64)
         np.minimum.at(owner, which, d)
-        first, offsets = first_owner(coded.dictionary, owner, length)
-        sizes = np.diff(offsets)[which] - length + 1
-        row = np.repeat(np.arange(len(which)), sizes)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        begin, n = _runs(first[offsets[which][row] + place] < d[row], row)
-        rows = row[begin]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(d[rows]), pa.array(table["t"].to_numpy()[rows]), pa.array(table["start"].to_numpy()[rows] + place[begin]), pa.array(n)], names=["d", "t", "start", "n"]
-        )
+        within = np.zeros(len(owner), np.int64)
+        within[which] = np.cumsum(np.diff(cell, prepend=cell[0]) != 0)  # equal strings are of one cell
+        alone = np.bincount(within)[within] == 1  # the cell's only string: nothing to merge it with
+        windows = pc.binary_length(coded.dictionary).to_numpy() - length + 1
+        copy = np.flatnonzero(alone[which] & (owner[which] < d))
+        rows, begin, n = copy, np.zeros(len(copy), np.int64), windows[which[copy]].astype(np.int64)
+        if not alone.all():
+            merged = np.flatnonzero(~alone)
+            first, offsets = first_owner(coded.dictionary.take(pa.array(merged)), owner[merged], length)
+            head = np.zeros(len(owner), np.int64)
+            head[merged] = offsets[:-1]
+            several = np.flatnonzero(~alone[which])
+            sizes = windows[which[several]]
+            row = np.repeat(several, sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            to, count = _runs(first[head[which[row]] + place] < d[row], row)
+            rows, begin, n = (np.concatenate(x) for x in ((rows, row[to]), (begin, place[to]), (n, count)))
+        return pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(t[rows]), pa.array(at[rows] + begin), pa.array(n)], names=["d", "t", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
