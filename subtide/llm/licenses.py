@@ -90,10 +90,11 @@ def postfix(pieces: list[str]) -> list[str] | None:
     return out + held[::-1]
 
 
-def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
-    """(labels, score) of an expression; None where it names no known licence."""
+def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[frozenset[str], float] | None:
+    """(labels, score) of the expression at text[begin:end]; None where it names no known licence."""
     pieces = []
-    for p in _PIECE.findall(expression):  # two names in a row end the expression
+    for m in _PIECE.finditer(text, begin, len(text) if end is None else end):  # two names in a row end the expression
+        p = m[0].rstrip(".") or m[0]
         name = p not in "()" and p.lower() not in _PRECEDENCE
         if name and pieces and pieces[-1] not in "(" and pieces[-1].lower() not in _PRECEDENCE:
             break
@@ -156,8 +157,8 @@ def scan_text(text: str | None) -> tuple:
     if b":" in raw:
         low = raw.translate(_LOWERED).decode("latin-1")
         for end, _ in tags.iter(low):
-            line = raw[end + 1 : end + 400].split(b"\n", 1)[0].decode("utf-8", "ignore")
-            got = evaluate(line)
+            stop = low.find("\n", end)
+            got = evaluate(low, end + 1, stop if stop >= 0 else len(low))
             if got:
                 labels |= got[0]
                 score = min(score, got[1])

@@ -177,6 +177,8 @@ def test_license_scan(docs, no_docs):
     n, places, first, last, base, labels, score = licenses.scan_text("The MIT License! mit\tlicense, under the GNU Lesser General Public License.")
     assert (n, places, first, last, base, labels) == (12, 3, 1, 9, "gpl,mit", "gpl,lgpl,mit") and score == 0.3
     assert licenses.scan_text("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0 */")[5:] == ("apache,gpl,mit", 0.9)
+    assert licenses.scan_text("SPDX-License-Identifier: MIT. More text")[5:] == ("mit", 0.95)
+    assert licenses.scan_text("License-Expression: " + "(" * 500 + "isc" + ")" * 500 + " and zlib")[5] == "isc,zlib"
     assert licenses.evaluate("MIT OR") == (frozenset({"mit"}), 0.95) and licenses.evaluate("nothing known") is None
     assert licenses.postfix(["a", "or", "b", "and", "c"]) == ["a", "b", "c", "and", "or"] and licenses.postfix(["a", "b"]) is None
 
