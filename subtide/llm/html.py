@@ -39,12 +39,20 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ABOUT = re.compile(r"(?:has|have|with|without|no|tag|category)[-_].")
+#: Silent elements whose content a browser reads as raw text up to their end tag.
+_RAW = {"script", "style", "iframe", "textarea", "title"}
 _INLINE, _HELD, _SILENT = set(INLINE), set(CONTAINERS), set(SILENT)
 
 
 def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
-    """Features of an opening tag: its name and the words of its class, id and role."""
-    names = [w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", next(x for x in m.groups("") if x or not any(m.groups(""))).lower()) if w] if attributes else []
+    """Features of an opening tag: its name and the words of its class, id and role.
+
+    The body holds every page, so only its name counts; names that tell what an
+    element has or is about (has-sidebar, tag-news) do not say what it is.
+    """
+    named = [x for m in _NAMES.finditer(attributes) for x in next(x for x in m.groups("") if x or not any(m.groups(""))).lower().split()] if attributes and tag != "body" else []
+    names = [w for x in named if not _ABOUT.match(x) for w in re.split(r"[^a-z]+", x) if w]
     return (f"<{tag}>", *dict.fromkeys(w.rstrip("s") if len(w) > 3 else w for w in names))
 
 
@@ -73,8 +81,11 @@ def runs(page: str) -> list[tuple]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if close:
                 at = close.end()
-            elif tag != "head":
+            elif tag in _RAW:
                 at = end
+            elif tag != "head" and held:
+                parent = re.compile(rf"</{held[-1][0]}\s*>", re.I).search(page, at)
+                at = parent.start() if parent else at
             block += 1
             continue
         if tag not in _INLINE:
