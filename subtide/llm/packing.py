@@ -39,8 +39,10 @@ from subtide.llm.lineage import stored
 
 GROUP = 8192
 FULL = 0.99
-#: Chunks whose ids a Python worker holds.
-CACHE_WORDS = 500_000
+#: Bytes of chunks and ids that a generation of a Python worker's cache may hold; it has two.
+CACHE_BYTES = 24 << 20
+#: Bytes of an entry besides its characters and ids.
+ENTRY_BYTES = 160
 _MARK = re.compile(r"([.,])(?<=[^\W_].)(?= )")
 
 
@@ -62,8 +64,8 @@ class _Encoder:
     those of its chunks in order. Unknown chunks are encoded together: plain
     lower-case words many to a string, by the same model without its
     normaliser, to be cut after each token that ends a word; anything else by
-    the tokenizer as it is. Of the cache, the chunks not seen for
-    ``CACHE_WORDS`` new ones are forgotten.
+    the tokenizer as it is. A cache that holds ``CACHE_BYTES`` becomes the older
+    generation, whose chunks are forgotten unless they are seen again before the next.
     """
 
     _kept: dict[str, _Encoder] = {}
@@ -83,6 +85,7 @@ class _Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -114,11 +117,12 @@ class _Encoder:
             else:
                 self.cache[c] = ids
         self._encode(fresh)
+        self.held += sum(ENTRY_BYTES + len(c) + len(self.cache[c]) for c in chunks)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {"": b""}
+        if self.held > CACHE_BYTES:
+            self.older, self.cache, self.held = self.cache, {"": b""}, 0
         parts = [_parted(t) for t in texts]
         flat = list(chain.from_iterable(parts))
         found = list(map(self.cache.get, flat))

@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_128_digest
 
 #: Bytes that part words, as two tables over the 256 byte values.
 SPACES = np.zeros(256, bool)
@@ -16,8 +17,8 @@ NON_ALNUM = np.array([b < 0x80 and not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A o
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Text handled at once in a task; a longer text is handled alone.
-SLICE_BYTES = (1 << 20) - 4096
+#: Text handled at once in a task; a longer text is handled alone. Arrays take some 60 bytes for each.
+SLICE_BYTES = (1 << 18) - 4096
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,6 +57,16 @@ def spans(raw: np.ndarray, offsets: np.ndarray, parting: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_names(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, words before each row): the 128-bit XXH3 of each white-space-parted word, as two 64-bit columns."""
+    data, counts, parts = raw.tobytes(), [0], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        words = data[a:b].split()
+        counts.append(len(words))
+        parts.append(b"".join(map(xxh3_128_digest, words)))
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2), np.cumsum(counts)
+
+
 @lru_cache(maxsize=8)
 def _byte_table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**64 - 1, 256, np.uint64)
@@ -71,7 +82,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of an odd base modulo 2**64 and of its inverse."""
     if seed not in _POWERS or len(_POWERS[seed][0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         base = _BASE[seed] | 1
         up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
         up[0] = down[0] = 1

@@ -42,7 +42,7 @@ def _sets(texts):
     return out
 
 
-def _brute(texts):
+def brute_components(texts):
     s = _sets(texts)
     comp = list(range(len(s)))
     for i in range(len(s)):
@@ -55,7 +55,7 @@ def _brute(texts):
 
 def test_stage_drops_planted_near_copies(spark, monkeypatch):
     texts = _planted()
-    comp = _brute(texts)
+    comp = brute_components(texts)
     rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     kept = {r["doc_id"] for r in pipeline.near_duplicate_stage(spark, rows, "").collect()}
     assert kept == set(comp)
