@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set and the master is local (tests).
+
+    On a cluster each executor would write to a disk of its own, so there the setting must be made.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.applicationId not in _OWN:
             _OWN[context.applicationId] = tempfile.mkdtemp(prefix="subtide-")
         named = _OWN[context.applicationId]
@@ -31,16 +38,36 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: no recomputation, no lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for tables in _SCOPES[-1:]:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/table-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, f)
+
+
+#: Paths of the tables stored within the scopes now open.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what was ``stored`` inside; keep a result by storing it outside."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
 
 
 #: Keys with more rows than this are hot; up to ``MOST_HOT`` of them are broadcast.
