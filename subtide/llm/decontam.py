@@ -14,7 +14,8 @@ joined by shuffle.
 
 Defined results: null and empty texts have no words and no windows; equal items
 share windows and each is reported; a null item_id marks hits but is no item;
-repeated document rows each give a row; an empty benchmark leaves all clean.
+repeated document rows each give a row; an empty benchmark leaves all clean; an empty
+table gives no rows; extra columns are ignored; a long text is handled whole.
 """
 
 from __future__ import annotations
@@ -194,10 +195,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     idx = index(docs, items, width)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.mapInArrow(
+    # Stored, as rows are named by their place in a task: a task run again might number them otherwise.
+    found = stored(docs.mapInArrow(
         _candidates(bitmap(idx, "token"), BITS, width),
         f"rid long, doc_id {kind}, text_hash long, n_words long, found array<struct<at:int,first:int,token:long,around:string>>",
-    )
+    ))
     flat = found.select("rid", "doc_id", "text_hash", "n_words", F.explode_outer("found").alias("c")).select(
         "rid", "doc_id", "text_hash", "n_words", "c.at", "c.first", "c.around",
         F.coalesce("c.token", F.xxhash64("rid")).alias("token"),
