@@ -5,9 +5,9 @@ both into D. So two equal windows, wherever they start, have an equal run of
 words at some common shift below v whose start is a cover position in both
 documents. Only runs at cover positions (the anchors, ``width - v + 1`` words
 long) are hashed and counted over all documents. A window can repeat only if
-an anchor it holds repeats; the windows around repeated anchors are hashed
-whole (96 bits) and counted, and those that occur twice or more cover the words
-to remove.
+an anchor it holds repeats; repeated anchors extend to the windows around them,
+which are named by 96 bits from two halves of their words' 128-bit XXH3, and
+those that occur twice or more cover the words to remove.
 
 Counts combine before each shuffle, so a passage in a third of all rows meets as
 one count per task; its occurrences are joined back to unique keys. Texts that
@@ -18,7 +18,8 @@ bits; where anchors outgrow it, more windows are hashed, with the same result.
 Defined results: a null or empty text has no words; a text shorter than the
 window loses nothing; equal texts (repeated rows too) of ``width`` words or more
 lose every word; documents are told apart by doc_id and text, a null doc_id
-included.
+included; an empty table gives no rows; extra columns are ignored; a long text is
+handled whole.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ BROADCAST_KEYS = 200_000
 def with_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text, t, copies, lead): rows of ``docs`` with how often their text occurs.
 
-    ``lead`` marks rows with the smallest doc_id of their text; ``t`` tells texts
-    of one doc_id apart, and is 0 throughout where no doc_id repeats.
+    ``lead`` marks rows with the smallest doc_id of their text; ``t``, 60 bits of the
+    text's SHA-256, tells texts of one doc_id apart, and is 0 throughout where no doc_id repeats.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     recurring = stored(
@@ -55,7 +56,7 @@ def with_copies(docs: DataFrame) -> DataFrame:
     )
     small = recurring.count() <= BROADCAST_KEYS
     unique = base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    t = F.lit(0).cast("long") if unique else F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    t = F.lit(0).cast("long") if unique else F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")
     joined = base.join(F.broadcast(recurring) if small else recurring, "digest", "left")
     return joined.select(
         "doc_id", "text", t.alias("t"),
@@ -79,9 +80,10 @@ def attach(rows: DataFrame, found: DataFrame, column: str, key: str) -> DataFram
 
 
 def _words(column: pa.Array):
+    """(row, 128-bit names of the words as two columns, words before each row) of consecutive texts."""
     for row, raw, offsets in W.slices(column):
-        starts, ends, before = W.spans(raw, offsets, W.SPACES)
-        yield row, W.word_hashes(raw, starts, ends), before
+        names, before = W.word_names(raw, offsets)
+        yield row, names, before
 
 
 def _anchors(h: np.ndarray, before: np.ndarray, width: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +101,8 @@ def _count_anchors(width: int, period: int, cover: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             twice = b["copies"].to_numpy(zero_copy_only=False) > 1
-            for row, h, before in _words(b["text"]):
-                at, a = _anchors(h, before, width, period, cover)
+            for row, names, before in _words(b["text"]):
+                at, a = _anchors(names[:, 0], before, width, period, cover)
                 owner = np.searchsorted(before, at, "right") - 1 + row
                 values, inverse = np.unique(a, return_inverse=True)
                 n = np.bincount(inverse, weights=1 + twice[owner], minlength=len(values))
@@ -114,7 +116,8 @@ def _windows(mask: bytes, bits: int, width: int, period: int, cover: tuple[int,
         table = np.frombuffer(mask, np.uint8)
         for b in batches:
             copies = b["copies"].to_numpy(zero_copy_only=False)
-            for row, h, before in _words(b["text"]):
+            for row, names, before in _words(b["text"]):
+                h = names[:, 0]
                 at, a = _anchors(h, before, width, period, cover)
                 flag = np.zeros(len(h) + period + 1, np.int64)
                 flag[at[_in(table, a, bits)] + 1] = 1
@@ -125,7 +128,7 @@ def _windows(mask: bytes, bits: int, width: int, period: int, cover: tuple[int,
                 near = flag[period : len(h) + period] - flag[: len(h)] > 0
                 start = np.flatnonzero(near & (place + width <= room))
                 owner = np.searchsorted(before, start, "right") - 1 + row
-                high, low = W.run_hashes(h, start, start + width, 0), W.run_hashes(h, start, start + width, 1)
+                high, low = W.run_hashes(h, start, start + width, 0), W.run_hashes(names[:, 1], start, start + width, 1)
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -316,3 +316,25 @@ def test_hot_keys_join_where_they_lie(spark, monkeypatch):
     assert got.columns == ["k", "v", "x"] and bag(got.collect()) == bag(left.join(right.drop("rows"), "k").collect())
     semi = lineage.join_unique(left, right, ["k"], "left_semi", "rows")
     assert bag(semi.collect()) == bag(left.where("k < 3").collect())
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    """A Thue-Morse word and its complement agree under every polynomial hash modulo a power of two."""
+    tm = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    common = " ".join(f"w{k}" for k in range(34))
+    texts = [(1, f"{common} {tm}"), (2, f"{common} {tm.translate(str.maketrans('ab', 'ba'))}")]
+    got = substring.dedup_substrings(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
+def test_tables_of_a_scope_are_removed(spark):
+    import glob
+
+    from subtide.llm import lineage
+
+    folder = lineage.shared_dir(spark)
+    count = lambda: len(glob.glob(f"{folder.removeprefix('file:')}/table-*"))
+    before = count()
+    with lineage.scope(spark):
+        assert lineage.stored(spark.range(3)).count() == 3 and count() == before + 1
+    assert count() == before
