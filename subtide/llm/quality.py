@@ -6,8 +6,9 @@ a policy change or an ablation never touches the texts again.
 
 Defined results: a null or empty text has no words (all measurements 0, the
 short-text bit set). Ties and repeated rows are judged row by row, so equal
-texts get equal rows. Columns of the input that clash with the ledger's names
-are replaced. An empty table gives an empty ledger.
+texts get equal rows. Columns of the input that clash with the ledger's names, or
+with those it works with (_w, _g, _s, _f, _lines), whatever their case, are left out.
+An empty table gives an empty ledger; a long text is handled whole.
 """
 
 from __future__ import annotations
@@ -75,7 +76,8 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measurements of ``MEASURES`` to each row of ``docs``."""
     t = F.coalesce(F.col(text), F.lit(""))
-    extra = [c for c in docs.columns if c not in (*MEASURES, "_w", "_g", "_lines")]
+    clashing = {*MEASURES, "failed_bits", "kept", "_w", "_g", "_s", "_f", "_lines"}
+    extra = [f"`{c}`" for c in docs.columns if c.lower() not in clashing]
     words = docs.select(
         *extra,
         F.array_remove(F.split(t, SPACE + "+"), "").alias("_w"),

@@ -6,8 +6,10 @@ identifiers, are trained from labelled samples, and a long token is a secret
 where the log-likelihood ratio of the two per character passes a threshold.
 
 Offsets are code points, end exclusive. Defined results: a null or empty text
-has no spans; repeated rows are scanned row by row; an input column named
-``spans`` is replaced.
+has no spans; repeated rows are scanned row by row; input columns named ``spans`` or
+_a, _k, _h, _t, _b, whatever their case, are left out; an empty table gives no rows;
+a long text is handled whole, though thousands of
+matches in one text cost time that grows with their square.
 """
 
 from __future__ import annotations
@@ -161,23 +163,21 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: flo
     token, a mean ratio of ``threshold`` or more, and no base span over it.
     """
     t = F.coalesce(F.col(text), F.lit(""))
+    own = [f"`{c}`" for c in docs.columns if c.lower() not in ("spans", "_a", "_k", "_h", "_t", "_b")]
     found = docs.select(
-        *[c for c in docs.columns if c not in ("spans", "_a", "_k", "_h", "_t", "_b")],
+        *own,
         F.filter(_matches(t, ASSIGN, 0), lambda x: F.char_length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6).alias("_a"),
         _matches(t, ACCESS, 1).alias("_k"),
         _matches(t, HEX, 2).alias("_h"),
-        _matches(t, TOKEN, 3).alias("_t"),
+        F.filter(
+            _matches(t, TOKEN, 3),
+            lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & (log_ratio(x["match"], ratio) >= threshold),
+        ).alias("_t"),
     )
     base = found.withColumn("_b", F.concat("_a", "_k", "_h"))
-    extra = F.filter(
-        F.col("_t"),
-        lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")
-        & ~F.exists(F.col("_b"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        & (log_ratio(x["match"], ratio) >= threshold),
-    )
-    kept = [c for c in base.columns if c not in ("_a", "_k", "_h", "_t", "_b")]
+    extra = F.filter(F.col("_t"), lambda x: ~F.exists(F.col("_b"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     # A generator of one row, so that filters on the spans stay above it and do not repeat the scan.
-    return base.select(*kept, F.inline(F.array(F.struct(F.sort_array(F.concat("_b", extra)).alias("spans")))))
+    return base.select(*own, F.inline(F.array(F.struct(F.sort_array(F.concat("_b", extra)).alias("spans")))))
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:
