@@ -6,16 +6,21 @@ fingerprints, so links of at most three differing bits lie within Manhattan
 distance three. The grid: the segments fall into six blocks, and vectors within
 distance three agree on at least three whole blocks, so each fingerprint goes to
 one cell per choice of three blocks. Within a cell, members are compared along
-the sorted total bit count (a range of three either side), then exactly.
+the sorted total bit count (a range of three either side), by the Manhattan
+distance of their segment counts, and what it leaves by the fingerprints' bits.
+Counts are held in unary (0, 1, 3), in which the Manhattan distance is the number
+of differing bits.
 
-Equal fingerprints collapse first. A cell of more than ``CELL`` members is split
-into blocks whose pairs are separate units, so no task holds a whole cell; a
-unit returns a spanning forest of its links, never its pairs.
+Equal fingerprints collapse first. A cell of more than ``CELL`` members is dealt
+by a second grid: its other three blocks are halved, and three of the six halves
+agree as well. What is still larger is split into blocks whose pairs are separate
+units, so no task holds a whole cell; a unit returns a spanning forest of its
+links, never its pairs.
 
 Defined results: null and empty texts have fingerprint zero, which links like
-any other; a null doc_id joins the component of the smallest non-null id with
-its fingerprint, and has none where there is no such id; repeated rows are rows
-of their own.
+any other; rows without a doc_id link like any other, and a component's name is the
+smallest doc_id in it, null where it has none; repeated rows are rows of their own;
+an empty table gives no rows; extra columns are ignored; a long text is handled whole.
 """
 
 from __future__ import annotations
@@ -90,10 +95,30 @@ def embedding(fp: np.ndarray) -> np.ndarray:
     return (fp & m) + ((fp >> np.uint64(1)) & m)
 
 
-def _cell_masks(blocks: int, agree: int) -> list[int]:
-    edges = [round(i * 32 / blocks) for i in range(blocks + 1)]
-    block = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
-    return [sum(block[i] for i in c) for c in combinations(range(blocks), agree)]
+def unary(v: np.ndarray) -> np.ndarray:
+    """Embeddings with the lanes 0, 1, 2 written as 0, 1, 3: the Manhattan distance is the number of differing bits."""
+    return v | ((v >> np.uint64(1)) & np.uint64(0x5555555555555555))
+
+
+def _edges(a: int, b: int, n: int) -> list[int]:
+    """Masks of ``n`` even runs of the segments [a, b)."""
+    cuts = [a + round(i * (b - a) / n) for i in range(n + 1)]
+    return [sum(3 << (2 * s) for s in range(x, y)) for x, y in zip(cuts, cuts[1:])]
+
+
+def _cell_masks(blocks: int, agree: int) -> list[tuple[int, list[int]]]:
+    """Masks of the blocks that agree, each with those of its second grid: of the halves of the other blocks as many agree."""
+    cuts = [round(i * 32 / blocks) for i in range(blocks + 1)]
+    block = _edges(0, 32, blocks)
+    found = []
+    for chosen in combinations(range(blocks), agree):
+        halves = [m for i in range(blocks) if i not in chosen for m in _edges(cuts[i], cuts[i + 1], 2)]
+        found.append((sum(block[i] for i in chosen), [sum(c) for c in combinations(halves, len(halves) - (blocks - agree))]))
+    return found
+
+
+def _keys(v: np.ndarray, mask: int, number: int) -> np.ndarray:
+    return W.mix((v & np.uint64(mask)) ^ W.mix(np.full(1, number, np.uint64)))
 
 
 def _cells(blocks: int, distance: int):
@@ -101,32 +126,49 @@ def _cells(blocks: int, distance: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, node = (b[c].to_numpy(zero_copy_only=False) for c in ("fp", "node"))
+            fp = b["fp"].to_numpy(zero_copy_only=False)
             v = embedding(fp.view(np.uint64))
-            keys = [W.mix((v & np.uint64(m)) ^ W.mix(np.full(1, k + 1, np.uint64))) for k, m in enumerate(masks)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(fp, len(masks))), pa.array(np.tile(node, len(masks)))],
-                names=["cell", "fp", "node"],
-            )
+            cells = np.concatenate([_keys(v, m, k + 1) for k, (m, _) in enumerate(masks)])
+            grid = np.repeat(np.arange(len(masks), dtype=np.int32), len(fp))
+            yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int64)), pa.array(grid), pa.array(np.tile(fp, len(masks)))], names=["cell", "grid", "fp"])
+
+    return run
+
+
+def _second(blocks: int, distance: int):
+    """Members of large cells -> their cells in the second grid."""
+    masks = _cell_masks(blocks, blocks - distance)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, grid, fp = (b[c].to_numpy(zero_copy_only=False) for c in ("cell", "grid", "fp"))
+            for k in np.unique(grid).tolist():
+                own = np.flatnonzero(grid == k)
+                v = embedding(fp[own].view(np.uint64))
+                for j, m in enumerate(masks[k][1]):
+                    with np.errstate(over="ignore"):
+                        keys = W.mix(cell[own].view(np.uint64) + _keys(v, m, j + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[own])], names=["cell", "fp"])
 
     return run
 
 
-def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (u, v) that connect what lies within ``distance``, at most one per member."""
     count = np.bitwise_count(fp)
     order = np.argsort(count, kind="stable")
-    fp, node, count = fp[order], node[order], count[order].astype(np.int64)
+    fp, count = fp[order], count[order].astype(np.int64)
+    counts = unary(embedding(fp))
     n, label = len(fp), np.arange(len(fp))
     high = np.searchsorted(count, count + distance, "right")
     pairs = []
     for a in range(0, n, 256):
         b = min(a + 256, n)
         hi = int(high[b - 1])
-        near = np.bitwise_count(fp[a:b, None] ^ fp[None, a:hi]) <= distance
-        i, j = np.nonzero(near)
-        ok = j > i
-        pairs.append((i[ok] + a, j[ok] + a))
+        i, j = np.nonzero(np.bitwise_count(counts[a:b, None] ^ counts[None, a:hi]) <= distance)
+        i, j = i + a, j + a
+        ok = (j > i) & (np.bitwise_count(fp[i] ^ fp[j]) <= distance)
+        pairs.append((i[ok], j[ok]))
         if sum(len(p[0]) for p in pairs) > 1 << 20 or b == n:
             i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
             pairs = []
@@ -140,7 +182,7 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> tuple[np.ndarray
                 while (label != label[label]).any():
                     label = label[label]
     linked = np.flatnonzero(label != np.arange(n))
-    return node[linked], node[label[linked]]
+    return fp[linked], fp[label[linked]]
 
 
 def _link(distance: int):
@@ -148,42 +190,46 @@ def _link(distance: int):
         for b in batches:
             lists = b["members"]
             offsets = lists.offsets.to_numpy()
-            flat = lists.values
-            fp = flat.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            node = flat.field("node").to_numpy(zero_copy_only=False)
+            fp = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = np.diff(offsets)
-            us, vs = [], []
+            us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             # Small units together, by the distance of places within the unit; each large one alone.
             owner = np.repeat(np.where(sizes <= 16, np.arange(len(sizes)), -1), sizes)
-            base = offsets[0]
-            f, m = fp[base : offsets[-1]], node[base : offsets[-1]]
+            f = fp[offsets[0] : offsets[-1]]
+            counts = unary(embedding(f))
             for d in range(1, int(min(16, sizes.max(initial=1)))):
-                near = (owner[:-d] == owner[d:]) & (owner[d:] >= 0)
-                at = np.flatnonzero(near)
+                at = np.flatnonzero((owner[:-d] == owner[d:]) & (owner[d:] >= 0))
+                at = at[np.bitwise_count(counts[at] ^ counts[at + d]) <= distance]
                 at = at[np.bitwise_count(f[at] ^ f[at + d]) <= distance]
-                us.append(m[at])
-                vs.append(m[at + d])
+                us.append(f[at])
+                vs.append(f[at + d])
             for k in np.flatnonzero(sizes > 16):
-                u, v = _forest(fp[offsets[k] : offsets[k + 1]], node[offsets[k] : offsets[k + 1]], distance)
+                u, v = _forest(fp[offsets[k] : offsets[k + 1]], distance)
                 us.append(u)
                 vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*us, np.zeros(0, np.int64)])), pa.array(np.concatenate([*vs, np.zeros(0, np.int64)]))], names=["u", "v"])
+            u, v = np.concatenate(us).view(np.int64), np.concatenate(vs).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
-    """(u, v): a connecting set of links between the rows (fp, node) of ``distinct``."""
-    cells = distinct.mapInArrow(_cells(blocks, distance), "cell long, fp long, node long")
-    heavy = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
-    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    k = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    units = (
-        cells.join(heavy.select("cell", F.ceil(F.col("n") / cell).cast("long").alias("parts")), "cell", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("part", part)
-        .select("cell", "fp", "node", F.explode(F.transform(k, lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))).alias("unit"))
+    """(u, v): a connecting set of links between the different fingerprints (fp) of ``distinct``."""
+    cells = distinct.select("fp").mapInArrow(_cells(blocks, distance), "cell long, grid int, fp long")
+    large = stored(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell))
+    if large.isEmpty():
+        members = cells.groupBy("cell").agg(F.collect_list("fp").alias("members"))
+        return members.where(F.size("members") > 1).select("members").mapInArrow(_link(distance), "u long, v long").distinct()
+    few = cells.join(large, "cell", "left_anti").select("cell", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "fp")
+    finer = stored(cells.join(large, "cell", "left_semi").mapInArrow(_second(blocks, distance), "cell long, fp long"))
+    parts = finer.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell).cast("long").alias("parts")).where("parts > 1")
+    one = F.coalesce("parts", F.lit(1).cast("long"))
+    part, k = F.pmod(F.xxhash64("fp"), one), F.sequence(F.lit(0).cast("long"), one - 1)
+    split = finer.join(parts, "cell", "left").withColumn("part", part).select(
+        "cell", F.explode(F.transform(k, lambda o: F.struct(F.least(o, F.col("part")).alias("a"), F.greatest(o, F.col("part")).alias("b")))).alias("unit"), "fp"
     )
-    members = units.groupBy("cell", "unit").agg(F.collect_list(F.struct("fp", "node")).alias("members")).where(F.size("members") > 1)
+    units = few.unionByName(split.select("cell", "unit.a", "unit.b", "fp"))
+    members = units.groupBy("cell", "a", "b").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1)
     return members.select("members").mapInArrow(_link(distance), "u long, v long").distinct()
 
 
@@ -193,9 +239,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
         .mapInArrow(_fingerprint, "doc_id long, text_hash long, fp long")
     )
-    distinct = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")))
-    found = components(links(distinct.where("node IS NOT NULL").select("fp", "node")))
-    named = stored(distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "rows"))
+    distinct = stored(kept.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
+    found = components(links(distinct)).select(F.col("node").alias("fp"), "component")
+    linked = stored(distinct.join(found, "fp").select("fp", "least", "component"))
+    least = stored(linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("w")))
+    ids = join_unique(linked, least, ["component"], "inner", "w").select("fp", "component_id")
+    named = stored(distinct.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "rows"))
     return join_unique(kept, named, ["fp"], "inner", "rows").select("doc_id", "text_hash", "fp", "component_id")
 
 

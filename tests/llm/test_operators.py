@@ -82,39 +82,63 @@ def test_simhash_components(docs, no_docs, corpus):
     got = simhash.near_duplicates(docs)
     fp = [(_fingerprint(t), i) for i, t in corpus]
     values = sorted({f for f, _ in fp})
-    least = {f: min((i for g, i in fp if g == f and i is not None), default=None) for f in values}
-    comp = {f: least[f] for f in values}
+    comp = {f: f for f in values}
     for _ in values:
         for a in values:
             for b in values:
-                if (a ^ b).bit_count() <= 3 and least[a] is not None and least[b] is not None:
+                if (a ^ b).bit_count() <= 3:
                     comp[a] = comp[b] = min(comp[a], comp[b])
-    want = bag((i, f - (1 << 64) if f >> 63 else f, comp[f]) for f, i in fp)
+    least = {c: min((i for f, i in fp if comp[f] == c and i is not None), default=None) for c in values}
+    want = bag((i, f - (1 << 64) if f >> 63 else f, least[comp[f]]) for f, i in fp)
     assert collected(got, "doc_id", "fp", "component_id") == want
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
-def test_simhash_links_in_split_cells(spark):
-    """A cell far over its limit is split, and a chain of one-bit steps still holds together."""
+def test_simhash_of_one_id(spark):
+    """Texts under one doc_id are not linked by it, and rows without one are linked by their texts."""
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (None, "k l m n o p"), (None, "K L M N O P"), (5, None), (6, " ")]
+    got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len({f for i, f, _ in got if i == 1}) == 2 and [c for i, _, c in got if i is None] == [None, None] and {c for i, _, c in got if i in (5, 6)} == {5}
+
+
+@pytest.mark.parametrize("cell", [4096, 4])
+def test_simhash_links_in_split_cells(spark, cell):
+    """Cells far over their limit go through the second grid and units; links are those of all pairs, chains included."""
+    from subtide.llm.components import components
+
     r = np.random.default_rng(1)
     a = [0]
     for k in range(63):
         a.append(a[-1] | 1 << k)
-    noise = r.integers(0, 2**63, 200, np.int64).tolist()
-    rows = [(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(a)] + [(x, 1000 + i) for i, x in enumerate(noise)]
-    distinct = spark.createDataFrame(rows, "fp long, node long")
-    from subtide.llm.components import components
-
-    found = {r["node"]: r["component"] for r in components(simhash.links(distinct, cell=4)).collect()}
-    assert {found.get(i) for i in range(64)} == {0}
+    close = (r.integers(0, 2**63, 40, np.uint64)[:, None] ^ (np.uint64(1) << r.integers(0, 64, (40, 3), np.uint64))).ravel().tolist()
+    values = sorted({*a, *close})
+    comp = {f: f for f in values}
+    for _ in range(64):
+        for x in values:
+            for y in values:
+                if (x ^ y).bit_count() <= 3:
+                    comp[x] = comp[y] = min(comp[x], comp[y])
+    signed = {f: f - (1 << 64) if f >> 63 else f for f in values}
+    found = {r["node"]: r["component"] for r in components(simhash.links(spark.createDataFrame([(s,) for s in signed.values()], "fp long"), cell=cell)).collect()}
+    groups = {}
+    for f in values:
+        groups.setdefault(comp[f], set()).add(found.get(signed[f], signed[f]))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_manhattan_distance_bounds_hamming():
+    fp = np.random.default_rng(4).integers(0, 2**63, 400, np.uint64)
+    lanes = (simhash.embedding(fp)[:, None] >> np.arange(0, 64, 2, dtype=np.uint64)) & np.uint64(3)
+    manhattan = np.abs(lanes[:, None, :].astype(int) - lanes[None].astype(int)).sum(axis=2)
+    u = simhash.unary(simhash.embedding(fp))
+    assert (np.bitwise_count(u[:, None] ^ u[None]) == manhattan).all() and (manhattan <= np.bitwise_count(fp[:, None] ^ fp[None])).all()
 
 
 def test_forest_matches_all_pairs():
     r = np.random.default_rng(3)
-    fp = (r.integers(0, 2**64 - 1, 30, np.uint64)[:, None] ^ (np.uint64(1) << r.integers(0, 64, (30, 8), np.uint64))).ravel()
-    node = np.arange(len(fp))
-    u, v = simhash._forest(fp, node, 3)
-    label = list(range(len(fp)))
+    fp = np.unique((r.integers(0, 2**64 - 1, 30, np.uint64)[:, None] ^ (np.uint64(1) << r.integers(0, 64, (30, 8), np.uint64))).ravel())
+    u, v = simhash._forest(fp, 3)
+    label = {x: x for x in fp.tolist()}
 
     def find(x):
         while label[x] != x:
@@ -123,13 +147,13 @@ def test_forest_matches_all_pairs():
 
     for x, y in zip(u.tolist(), v.tolist()):
         label[max(find(x), find(y))] = min(find(x), find(y))
-    true = list(range(len(fp)))
+    true = {x: x for x in fp.tolist()}
     for _ in range(4):
-        for i in range(len(fp)):
-            for j in range(i):
-                if int(fp[i] ^ fp[j]).bit_count() <= 3:
-                    true[i] = true[j] = min(true[i], true[j])
-    assert [find(i) for i in range(len(fp))] == true
+        for x in true:
+            for y in true:
+                if (x ^ y).bit_count() <= 3:
+                    true[x] = true[y] = min(true[x], true[y])
+    assert {x: find(x) for x in true} == true
 
 
 @pytest.mark.parametrize("heavy", [20_000, 2])
@@ -338,3 +362,12 @@ def test_tables_of_a_scope_are_removed(spark):
     with lineage.scope(spark):
         assert lineage.stored(spark.range(3)).count() == 3 and count() == before + 1
     assert count() == before
+
+
+def test_clashing_columns_whatever_their_case(spark):
+    names = ["doc_id", "text", "N_Words", "Spans", "_S", "_F", "_a", "Kept", "other"]
+    rows = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4, 5, 6, 7)], names)
+    book = quality.apply_policy(quality.ledger(rows))
+    assert book.first()["n_words"] == 3 and "other" in book.columns and not {"N_Words", "_S", "_F", "Kept"} & set(book.columns)
+    found = secrets.scan(rows, [0.0] * secrets.STATES**2)
+    assert found.columns == ["doc_id", "text", "N_Words", "_S", "_F", "Kept", "other", "spans"] and found.first()["spans"] == []
