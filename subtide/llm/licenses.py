@@ -5,11 +5,16 @@ and identifier tags in the raw text. What follows a tag is parsed as an
 expression (``or`` binds least, then ``and``, then ``with``) and evaluated to the
 labels it names and a permissiveness score: ``or`` takes the larger score,
 ``and`` the smaller, ``with`` raises the left side halfway to one. A document's
-score is the smallest of its notices' scores, and 0 where it has none.
+score is the smallest of its notices' scores, and 0 where it has none. A phrase
+within a longer one (the base phrase in a lesser licence's name) adds its label, but
+the longer phrase alone counts for the score.
 
 Defined results: a null or empty text has no words, labels or score; a malformed
-expression falls back to the identifiers in it, joined by ``and``; unknown
-identifiers are passed over; repeated rows are judged row by row.
+expression falls back to the identifiers in it, joined by ``and``; an unknown
+identifier has no label and a score of 0, so ``and`` gives 0 with it and ``or`` passes it
+over; an expression of unknown identifiers alone is passed over; repeated rows are
+judged row by row; an empty table gives no rows; extra columns are left out; a long text
+is handled whole, in linear time.
 """
 
 from __future__ import annotations
@@ -105,20 +110,18 @@ def evaluate(text: str, begin: int = 0, end: int | None = None) -> tuple[frozens
     if order is None:
         known = [x for x in map(label_of, pieces) if x]
         return (frozenset(known), min(PERMISSIVE[x] for x in known)) if known else None
-    stack: list[tuple[frozenset[str], float] | None] = []
+    stack: list[tuple[frozenset[str], float]] = []
     for p in order:
         if p not in _PRECEDENCE:
             label = label_of(p)
-            stack.append((frozenset([label]), PERMISSIVE[label]) if label else None)
+            stack.append((frozenset([label]), PERMISSIVE[label]) if label else (frozenset(), 0.0))
             continue
         b, a = stack.pop(), stack.pop()
         if p == "with":
-            stack.append(a and (a[0], (a[1] + 1) / 2))
-        elif a is None or b is None:
-            stack.append(a or b)
+            stack.append((a[0], (a[1] + 1) / 2 if a[0] else 0.0))
         else:
             stack.append((a[0] | b[0], (max if p == "or" else min)(a[1], b[1])))
-    return stack[0] if stack else None
+    return stack[0] if stack and stack[0][0] else None
 
 
 @lru_cache(maxsize=1)
@@ -145,12 +148,14 @@ def scan_text(text: str | None) -> tuple:
     found = sorted((end - n, -end, label, is_base) for end, (n, label, is_base) in phrases.iter(flat))
     reach = 0
     for begin, end, label, is_base in found:  # begin: the phrase's first character, after its space
-        if -end <= reach and not is_base:
-            continue  # within a longer phrase
+        inner = -end <= reach  # within a longer phrase
+        if inner and not is_base:
+            continue
         reach = max(reach, -end)
         seen, at = seen + flat.count(" ", at, begin), begin
         labels.add(label)
-        score = min(score, PERMISSIVE[label])
+        if not inner:
+            score = min(score, PERMISSIVE[label])
         if is_base:
             starts.append(seen - 1)
             base.add(label)
