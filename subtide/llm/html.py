@@ -4,13 +4,17 @@ A page becomes a sequence of tags and text runs. Words score positive, tags
 negative; words under a boilerplate container score negative too. The weights
 are log-odds of tags and class or id words, learnt from labelled pages
 (``train``), and one linear scan finds the contiguous region with the best sum.
-Within it, runs under a container of negative weight are left out.
+Within it, runs under a container of negative weight are left out. A container named
+as boilerplate that holds most of the page and its article (a form or a div.sidebar
+around everything) is judged as if it had no name.
 
 Output rules: character references are decoded, white space within a block
 becomes one space, blocks are trimmed and joined by one line feed; empty blocks
 vanish. Defined results: a null or empty page, or one without text, gives an
 empty string; of equal regions the first counts; unclosed tags close with their
-container; repeated rows are handled row by row.
+container or, for cells, rows, items and options, with the next of their kind; a tag
+that never ends is text; repeated rows are handled row by row; an empty table gives no
+rows; extra columns are left out; a long page is handled whole, in linear time.
 """
 
 from __future__ import annotations
@@ -25,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Elements whose content is never text.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "head", "canvas", "audio", "video")
+SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "head", "canvas", "audio", "video")
 #: Elements that run within a block.
 INLINE = (
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms mtext object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
 ).split()
 #: Elements that hold other blocks and keep their mark on what is inside.
 CONTAINERS = (
@@ -36,7 +40,7 @@ CONTAINERS = (
 ).split()
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ABOUT = re.compile(r"(?:has|have|with|without|no|tag|category)[-_].")
@@ -56,18 +60,45 @@ def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"<{tag}>", *dict.fromkeys(w.rstrip("s") if len(w) > 3 else w for w in names))
 
 
-def runs(page: str) -> list[tuple]:
-    """("tag", marks, opens, chain around it) and ("text", text, block number, chain of marks) in page order."""
+#: The open elements that the start of another ends, and those that hold them apart.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "td": (("td", "th"), ("table", "tr")), "th": (("td", "th"), ("table", "tr")), "tr": (("tr", "td", "th"), ("table",)),
+    "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "thead": (("thead", "tbody", "tr", "td", "th"), ("table",)),
+}
+
+
+def runs(page: str) -> tuple[list[tuple], list[tuple[int, tuple[str, ...]]]]:
+    """(tokens, containers) of a page.
+
+    Tokens, in page order, are ("tag", marks, opens, container) and ("text", text,
+    block number, container); containers, in order of their start, (parent, marks),
+    the first standing for the page.
+    """
     out: list[tuple] = []
-    held: list[tuple[str, tuple[str, ...]]] = []
-    chain: tuple[str, ...] = ()
-    block = at = 0
+    nodes: list[tuple[int, tuple[str, ...]]] = [(0, ())]
+    held: list[tuple[str, int]] = []  # open containers and their numbers
+    open_at: dict[str, list[int]] = {t: [] for t in _HELD}  # their places in held, by tag
+    endings: dict[str, int] = {}
+    block = at = here = 0
     end = len(page)
+
+    def ending(tag: str) -> int:
+        """Where the next end tag starts, -1 where there is none; each stretch is searched once a tag."""
+        if tag not in endings or 0 <= endings[tag] < at:
+            found = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            endings[tag] = found.start() if found else -1
+        return endings[tag]
+
+    def close(place: int) -> None:
+        while len(held) > place:
+            open_at[held.pop()[0]].pop()
+
+    last = lambda tags: max((open_at[t][-1] for t in tags if open_at[t]), default=-1)
     while at < end:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            out.append(("text", page[at:stop], block, chain))
+            out.append(("text", page[at:stop], block, here))
         if not m:
             break
         at = m.end()
@@ -78,42 +109,99 @@ def runs(page: str) -> list[tuple]:
         if tag in _SILENT and not closing:
             if m[3].rstrip().endswith("/"):
                 continue
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if close:
-                at = close.end()
+            if ending(tag) >= 0:
+                at = page.index(">", ending(tag)) + 1
             elif tag in _RAW:
                 at = end
-            elif tag != "head" and held:
-                parent = re.compile(rf"</{held[-1][0]}\s*>", re.I).search(page, at)
-                at = parent.start() if parent else at
+            elif tag != "head" and held and ending(held[-1][0]) >= 0:
+                at = ending(held[-1][0])
             block += 1
             continue
         if tag not in _INLINE:
             block += 1
         if tag in _HELD:
-            outer = chain
+            outer = here
             if closing:
-                names = [t for t, _ in held]
-                if tag in names:
-                    del held[len(names) - 1 - names[::-1].index(tag) :]
+                if open_at[tag]:
+                    close(open_at[tag][-1])
+                out.append(("tag", (f"<{tag}>",), False, outer))
             else:
-                held.append((tag, marks_of(tag, m[3])))
-            chain = tuple(f for _, fs in held for f in fs)
-            out.append(("tag", held[-1][1] if held and not closing else (f"<{tag}>",), not closing, outer))
+                if tag in _ENDS:
+                    ended, apart = _ENDS[tag]
+                    first = last(ended[:1])
+                    place = first if first > last(apart) else last(ended)
+                    if place > last([t for t in apart if t != tag]):
+                        close(place)
+                        outer = held[-1][1] if held else 0
+                marks = marks_of(tag, m[3])
+                open_at[tag].append(len(held))
+                held.append((tag, len(nodes)))
+                nodes.append((outer, marks))
+                out.append(("tag", marks, True, outer))
+            here = held[-1][1] if held else 0
         else:
-            out.append(("tag", (f"<{tag}>",), not closing, chain))
-    return out
+            out.append(("tag", (f"<{tag}>",), not closing, here))
+    return out, nodes
+
+
+def _walk(nodes: list[tuple[int, tuple[str, ...]]]) -> Iterator[tuple[list[str], list[str], dict[str, int]]]:
+    """Per container (features that come up, that go, how often each is on its way to the page), by steps along the tree."""
+    path, count = [0], {}
+    for k, (parent, marks) in enumerate(nodes):
+        gone = []
+        while k and path[-1] != parent:
+            for f in nodes[path.pop()][1]:
+                count[f] -= 1
+                if not count[f]:
+                    gone.append(f)
+        new = []
+        for f in marks:
+            count[f] = count.get(f, 0) + 1
+            if count[f] == 1:
+                new.append(f)
+        if k:
+            path.append(k)
+        yield new, gone, count
 
 
 class Weights(dict):
     """Log-odds of content by feature; a feature never seen has none."""
 
-    def chain(self, chain: tuple[str, ...]) -> float:
-        return sum(self.get(f, 0.0) for f in dict.fromkeys(chain))
-
-
-def best_region(tokens: list[tuple], weights: Weights, tag_cost: float = 0.02, link_cost: float = 0.5) -> tuple[int, int]:
-    """[first, last) of the tokens with the largest sum, by one linear scan.
+    def judged(self, nodes: list[tuple[int, tuple[str, ...]]]) -> list[tuple[float, bool]]:
+        """Per container: the sum over the distinct features on its way to the page, and whether one is telling of content."""
+        odds, telling, out = 0.0, 0, []
+        for new, gone, _ in _walk(nodes):
+            for sign, features in ((-1, gone), (1, new)):
+                for f in features:
+                    odds += sign * self.get(f, 0.0)
+                    telling += sign * (self.get(f, 0.0) >= 1)
+            out.append((round(odds, 6), telling > 0))
+        return out
+
+    def unmarked(self, tokens: list[tuple], nodes: list[tuple[int, tuple[str, ...]]]) -> list[tuple[int, tuple[str, ...]]]:
+        """The containers, those without their marks that are named as boilerplate but hold the page.
+
+        Such a one has more than half of the page's words, and an element inside that is
+        telling of content and not of boilerplate has half of its.
+        """
+        own = [[self.get(f, 0.0) for f in marks] for _, marks in nodes]
+        if not any(sum(x) < 0 for x in own):
+            return nodes
+        words = [0] * len(nodes)
+        for t in tokens:
+            if t[0] == "text":
+                words[t[3]] += len(t[1].split())
+        content = [0] * len(nodes)
+        for k in range(len(nodes) - 1, 0, -1):
+            parent = nodes[k][0]
+            words[parent] += words[k]
+            good = words[k] if sum(own[k]) >= 0 and max(own[k], default=0.0) >= 1 else content[k]
+            content[parent] = max(content[parent], good)
+        return [(p, () if sum(own[k]) < 0 and 2 * words[k] > words[0] and 2 * content[k] >= words[k] else marks) for k, (p, marks) in enumerate(nodes)]
+
+
+def best_region(tokens: list[tuple], judged: list[tuple[float, bool]], weights: Weights, tag_cost: float = 0.02, link_cost: float = 0.5) -> tuple[int, int]:
+    """[first, last) of the tokens with the largest sum, by one linear scan; of equal ones the first.
 
     A tag costs little by itself, so that a block of one word still pays for its
     tags; links cost more, and boilerplate elements what they have learnt. Inside
@@ -121,17 +209,7 @@ def best_region(tokens: list[tuple], weights: Weights, tag_cost: float = 0.02, l
     what follows it there still belongs to the region.
     """
     best, region, total, first = 0.0, (0, 0), 0.0, 0
-    known: dict[tuple[str, ...], tuple[float, bool]] = {}
-    for i, t in enumerate(tokens):
-        if t[3] not in known:
-            known[t[3]] = weights.chain(t[3]), any(weights.get(f, 0.0) >= 1 for f in t[3])
-        odds, inside = known[t[3]]
-        if t[0] == "text":
-            n = len(t[1].split())
-            score = n if odds >= 0 else 0 if inside else -n
-        else:
-            learnt = 0.0 if inside or not t[2] else min(0.0, sum(weights.get(f, 0.0) for f in t[1]))
-            score = learnt - (link_cost if t[1][0] == "<a>" else tag_cost)
+    for i, score in enumerate(scores(tokens, judged, weights, tag_cost, link_cost)):
         if total <= 0:
             total, first = 0.0, i
         total += score
@@ -140,13 +218,26 @@ def best_region(tokens: list[tuple], weights: Weights, tag_cost: float = 0.02, l
     return region
 
 
+def scores(tokens: list[tuple], judged: list[tuple[float, bool]], weights: Weights, tag_cost: float = 0.02, link_cost: float = 0.5) -> Iterator[float]:
+    """What each token adds to a region."""
+    for t in tokens:
+        odds, inside = judged[t[3]]
+        if t[0] == "text":
+            n = len(t[1].split())
+            yield n if odds >= 0 else 0 if inside else -n
+        else:
+            learnt = 0.0 if inside or not t[2] else min(0.0, sum(weights.get(f, 0.0) for f in t[1]))
+            yield learnt - (link_cost if t[1][0] == "<a>" else tag_cost)
+
+
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page."""
-    tokens = runs(page or "")
-    first, last = best_region(tokens, weights)
+    tokens, nodes = runs(page or "")
+    judged = weights.judged(weights.unmarked(tokens, nodes))
+    first, last = best_region(tokens, judged, weights)
     blocks: dict[int, list[str]] = {}
     for t in tokens[first:last]:
-        if t[0] == "text" and weights.chain(t[3]) >= 0:
+        if t[0] == "text" and judged[t[3]][0] >= 0:
             blocks.setdefault(t[2], []).append(t[1])
     lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -187,10 +278,12 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for page, content in zip(b["html"].to_pylist(), b["content"].to_pylist(), strict=True):
             true = set((content or "").split("\n"))
-            for t in runs(page or ""):
+            tokens, nodes = runs(page or "")
+            features = [[f for f, n in count.items() if n] for _, _, count in _walk(nodes)]
+            for t in tokens:
                 if t[0] == "text" and t[1].strip():
                     inside = " ".join(entities.unescape(t[1]).split()) in true
-                    found += [(f, inside) for f in dict.fromkeys(t[3])]
+                    found += [(f, inside) for f in features[t[3]]]
         f, inside = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(inside, pa.bool_())], names=["feature", "inside"])
 

@@ -199,7 +199,10 @@ def test_license_scan(docs, no_docs):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(no_docs).count() == 0
     assert licenses.scan_text(None) == (0, 0, None, None, "", "", 0.0)
     n, places, first, last, base, labels, score = licenses.scan_text("The MIT License! mit\tlicense, under the GNU Lesser General Public License.")
-    assert (n, places, first, last, base, labels) == (12, 3, 1, 9, "gpl,mit", "gpl,lgpl,mit") and score == 0.3
+    assert (n, places, first, last, base, labels) == (12, 3, 1, 9, "gpl,mit", "gpl,lgpl,mit") and score == 0.4
+    assert licenses.scan_text("SPDX-License-Identifier: LicenseRef-Proprietary AND MIT")[5:] == ("mit", 0.0)
+    assert licenses.scan_text("SPDX-License-Identifier: LicenseRef-Proprietary OR MIT")[5:] == ("mit", 0.95)
+    assert licenses.scan_text("SPDX-License-Identifier: LicenseRef-Proprietary")[5:] == ("", 0.0)
     assert licenses.scan_text("// SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0 */")[5:] == ("apache,gpl,mit", 0.9)
     assert licenses.scan_text("SPDX-License-Identifier: MIT. More text")[5:] == ("mit", 0.95)
     assert licenses.scan_text("License-Expression: " + "(" * 500 + "isc" + ")" * 500 + " and zlib")[5] == "isc,zlib"
@@ -371,3 +374,47 @@ def test_clashing_columns_whatever_their_case(spark):
     assert book.first()["n_words"] == 3 and "other" in book.columns and not {"N_Words", "_S", "_F", "Kept"} & set(book.columns)
     found = secrets.scan(rows, [0.0] * secrets.STATES**2)
     assert found.columns == ["doc_id", "text", "N_Words", "_S", "_F", "Kept", "other", "spans"] and found.first()["spans"] == []
+
+
+def test_license_base_over_documents(spark, sf_dir):
+    """The base columns of the whole table against places found word by word."""
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        w = ALNUM_WORDS.findall(lower(r["text"]))
+        hits = [(k, label) for p, label in phrases.items() for k in range(len(w)) if tuple(w[k : k + len(p)]) == p]
+        at = [k for k, _ in hits]
+        want.append((r["doc_id"], len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))))
+    got = licenses.op5_license_scans(spark, sf_dir)
+    assert collected(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == bag(want)
+    rows = got.collect()
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_secret_base_over_documents(spark, sf_dir):
+    """Counts, base spans and their digest of the whole table against Python's own matcher."""
+    pattern = [re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")]
+    keep = [lambda m: len(m[2]) >= 6, lambda m: len(m[0]) >= 20, lambda m: len(m[0]) >= 24]
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        found = sorted((m.start(), k, m.end()) for k, p in enumerate(pattern) for m in p.finditer(r["text"] or "") if keep[k](m))
+        listing = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in found)
+        want.append((r["doc_id"], *(sum(k == x for _, x, _ in found) for k in range(3)), hashlib.sha256(listing.encode()).hexdigest()))
+    got = secrets.op9_secret_scans(spark, sf_dir)
+    assert collected(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == bag(want)
+
+
+def test_each_capacity_decides_bins_over_documents(spark, sf_dir):
+    """Over the whole table, each of the three limits, made tight, binds and is kept."""
+    path, _ = _tokenizer()
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    used = {}
+    for name, cap in {"tokens": packing.Capacity(), "documents": packing.Capacity(documents=3), "cost": packing.Capacity(cost=2048 * 2048 // 2)}.items():
+        per = packing.pack(table, path, cap).groupBy("sequence_id").agg(
+            F.sum("length").alias("tokens"), F.count("*").alias("documents"), F.sum(F.col("length") * F.col("length")).alias("cost")
+        ).collect()
+        single = [r for r in per if r["documents"] > 1]
+        assert all(r["tokens"] <= 2048 and r["documents"] <= cap.documents and r["cost"] <= cap.cost for r in single)
+        used[name] = (len(per), max(r["documents"] for r in per), max((r["cost"] for r in single), default=0))
+    assert used["documents"][1] == 3 < used["tokens"][1] and used["documents"][0] > used["tokens"][0]
+    assert used["cost"][2] <= 2048 * 2048 // 2 < used["tokens"][2]
