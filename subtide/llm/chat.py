@@ -10,7 +10,8 @@ Defined results: turns sort by turn (nulls first), then role and text; wholly
 repeated rows of a conversation count once; a null role renders as ``unknown``
 and a null text as empty, but nulls keep hashes of their own; a null conv_id is
 one conversation with a null id. Only a conversation's own turns are gathered in
-one row. Extra columns are ignored.
+one row, and a long conversation is handled whole. Extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subtide.llm.folds import collected
+
 CHATML = {"turn": ("<|im_start|>", "\n", "<|im_end|>\n"), "control": r"<\|(im_start|im_end)\|>"}
 PLAIN = {"turn": ("", ": ", "\n"), "control": None}
 
@@ -27,14 +30,8 @@ def dialogues(turns: DataFrame) -> DataFrame:
     per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     # Nulls sort last in array_sort of structs' fields only where the whole struct is null; the fields compare nulls first.
     mark = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.char_length(c).cast("string"), F.lit(":"), c))
-    rolling = F.aggregate(
-        F.col("turns"),
-        F.array().cast("array<string>"),
-        lambda acc, t: F.concat(
-            acc,
-            F.array(F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), mark(t["role"]), mark(t["text"])), 256)),
-        ),
-    )
+    digest = lambda last, t: F.sha2(F.concat(last, mark(t["role"]), mark(t["text"])), 256)
+    rolling = collected(F.col("turns"), F.lit(""), digest, digest, "string")
     return per.withColumn("prefixes", rolling)
 
 

@@ -8,8 +8,7 @@ where the log-likelihood ratio of the two per character passes a threshold.
 Offsets are code points, end exclusive. Defined results: a null or empty text
 has no spans; repeated rows are scanned row by row; input columns named ``spans`` or
 _a, _k, _h, _t, _b, whatever their case, are left out; an empty table gives no rows;
-a long text is handled whole, though thousands of
-matches in one text cost time that grows with their square.
+a long text is handled whole, by folds over its matches.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from subtide.llm.folds import collected
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the matches of AKIA[A-Z0-9]+ that have 20 characters or more
 HEX = r"[0-9a-f]{24,}"
@@ -130,6 +131,9 @@ def log_ratio(token: Column, ratio: list[float]) -> Column:
     return total / F.greatest(F.char_length(token) - 1, F.lit(1))
 
 
+_SPAN = "struct<start:int,kind:int,end:int,match:string>"
+
+
 def _matches(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, match>> of a pattern's leftmost non-overlapping matches.
 
@@ -138,22 +142,16 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    spans = F.aggregate(
+    length = lambda x: F.coalesce(F.char_length(x["m"]), F.lit(0))
+    spans = collected(
         F.arrays_zip(found.alias("m"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(
-                F.concat(acc["out"], F.array(F.struct(
-                    (acc["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"),
-                    (acc["at"] + x["g"] + F.char_length(x["m"])).alias("end"), x["m"].alias("match"),
-                )))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.lit(0),
+        lambda at, x: at + x["g"] + length(x),
+        lambda at, x: F.struct((at + x["g"]).alias("start"), F.lit(kind).alias("kind"), (at + x["g"] + length(x)).alias("end"), x["m"].alias("match")),
+        _SPAN,
+        lambda at, x: x["m"].isNotNull(),
     )
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: float = 0.2) -> DataFrame:
@@ -175,25 +173,37 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: flo
         ).alias("_t"),
     )
     base = found.withColumn("_b", F.concat("_a", "_k", "_h"))
-    extra = F.filter(F.col("_t"), lambda x: ~F.exists(F.col("_b"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    b, long = F.col("_b"), F.col("_t")
+    spans = F.when(F.size(long) == 0, F.sort_array(b)).otherwise(_apart(F.sort_array(F.concat(b, long))))
     # A generator of one row, so that filters on the spans stay above it and do not repeat the scan.
-    return base.select(*own, F.inline(F.array(F.struct(F.sort_array(F.concat("_b", extra)).alias("spans")))))
+    return base.select(*own, F.inline(F.array(F.struct(spans.alias("spans")))))
+
+
+def _apart(spans: Column) -> Column:
+    """Sorted spans without those of the last kind that overlap one of another: a fold either way."""
+    own = lambda x: x["kind"] < 3
+    before = collected(
+        spans, F.lit(-1), lambda end, x: F.when(own(x), F.greatest(end, x["end"])).otherwise(end), lambda end, x: x, _SPAN, lambda end, x: own(x) | (end <= x["start"])
+    )
+    after = collected(
+        F.reverse(before), F.lit(2**31 - 1), lambda start, x: F.when(own(x), F.least(start, x["start"])).otherwise(start), lambda start, x: x, _SPAN, lambda start, x: own(x) | (start >= x["end"])
+    )
+    return F.reverse(after)
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[redacted]") -> DataFrame:
     """Replaces what the spans cover; overlapping spans give one mark."""
     t = F.coalesce(F.col(text), F.lit(""))
-    done = F.aggregate(
-        F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"),
-            )
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.lit(2**31 - 1) - acc["at"] - 1)),
+    end = F.struct((F.char_length(t)).alias("start"), F.lit(0).alias("kind"), F.char_length(t).alias("end"), F.lit("").alias("match"))
+    pieces = collected(
+        F.array_append(F.col("spans"), end),
+        F.lit(0),
+        lambda at, x: F.greatest(at, x["end"]),
+        lambda at, x: F.substring(t, at + 1, x["start"] - at),
+        "string",
+        lambda at, x: x["start"] >= at,
     )
+    done = F.array_join(pieces, mark)
     return scanned.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(F.col(text)))
 
 
