@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Arrows that end a subtitle line which goes on in the next cue.
-ARROWS = "➡→⇒➜➔▶"
+ARROWS = "➡➜➝➞➟➠➢➣➤➥➦➧➨➩➪➫➬➭➮➯➱➲➳➵➸➺➻➼➽➾→"
 
 
 def blank_to_null(value: Column) -> Column:
@@ -22,9 +22,9 @@ def first_of(*values: Column) -> Column:
 def mechanical_normalise(text: Column) -> tuple[Column, Column]:
     """(text, rules): physical lines joined without a space and trailing arrows stripped."""
     joined = F.regexp_replace(text, r"[\r\n]+", "")
-    stripped = F.regexp_replace(joined, rf"[{ARROWS}\s]*[{ARROWS}]\s*$", "")
+    stripped = F.regexp_replace(joined, rf"[ \t]*[{ARROWS}]+[ \t]*\z", "")
     rules = F.filter(
-        F.array(F.when(joined != text, "join_physical_lines"), F.when(stripped != joined, "strip_trailing_continuation_arrow")),
+        F.array(F.when(joined != text, "join_physical_lines"), F.when(stripped != joined, "strip_trailing_arrow")),
         lambda r: r.isNotNull(),
     )
     return stripped, rules

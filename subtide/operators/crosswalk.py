@@ -41,12 +41,21 @@ def split_prefixed(value: Column) -> tuple[Column, Column]:
     return F.when(has, blank(F.get(parts, 0))), blank(F.when(has, F.get(parts, 1)).otherwise(value))
 
 
+_SCALAR = r'''"(?:[^"\\]|\\.)*"|[^\[\],\s"]+'''
+
+
 def scalar_ids(value: Column) -> Column:
-    """Non-blank ids of a JSON scalar or list as strings."""
-    listed = F.when(value.rlike(r"^\s*\["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+    """Non-blank ids of a JSON scalar, or of a list nested to any depth, as strings."""
+    decoded = lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), 0)
+    listed = F.when(value.rlike(r"^\s*\["), F.transform(F.regexp_extract_all(value, F.lit(_SCALAR), F.lit(0)), decoded)).otherwise(F.array(value))
     return F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
 
 
+def rejection(source: Column, kind: Column, sources: Sequence[str], kinds: Sequence[str]) -> Column:
+    """Why a lookup is refused: an unknown source, or a kind that is neither known nor left out; null where it is not."""
+    return F.when(~F.coalesce(source.isin(*sources), F.lit(False)), "unknown_source").when(kind.isNotNull() & ~kind.isin(*kinds), "unknown_kind")
+
+
 def bridge_rows(payloads: DataFrame, kind: Column, fields: dict[str, str] | None = None) -> DataFrame:
     """(source, external_id, media_kind, row_id) of payload rows, duplicates kept.
 

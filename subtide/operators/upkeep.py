@@ -78,3 +78,30 @@ def resume(work: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
         c = F.col(k).eqNullSafe(F.col(f"_{k}"))
         on = c if on is None else on & c
     return work.join(d, on, "left_anti")
+
+
+def stale(current: DataFrame, built: DataFrame, key: str, fingerprint: str, rows: str) -> DataFrame:
+    """``current`` (key, fingerprint) with ``rebuild``: nothing built, another fingerprint, or no rows."""
+    b = built.select(key, F.col(fingerprint).alias("_f"), F.col(rows).alias("_n"))
+    kept = F.coalesce((F.col("_f") == F.col(fingerprint)) & (F.col("_n") > 0), F.lit(False))
+    return current.join(b, key, "left").withColumn("rebuild", ~kept).drop("_f", "_n")
+
+
+def guarded_replace(old: DataFrame, new: DataFrame, roots: DataFrame, root: str, available: str) -> DataFrame:
+    """The rows of ``new`` for roots that are available and those of ``old`` for the others, whole."""
+    there = roots.where(F.coalesce(F.col(available), F.lit(False))).select(root)
+    return new.join(there, root, "left_semi").unionByName(old.join(there, root, "left_anti"))
+
+
+def positive_or_negative(wanted: DataFrame, fetched: DataFrame, key: str, payload: Column, expires: Column, negative_expires: Column) -> DataFrame:
+    """(key, payload, negative, expires_at) to cache: a fetched row flattened, ``{}`` where nothing was found."""
+    j = wanted.select(key).distinct().join(fetched.withColumn("_hit", F.lit(True)), key, "left")
+    hit = F.col("_hit").isNotNull()
+    return j.select(key, F.when(hit, payload).otherwise("{}").alias("payload"), (~hit).alias("negative"), F.when(hit, expires).otherwise(negative_expires).alias("expires_at"))
+
+
+def unresolved(rows: DataFrame, decisions: DataFrame, keys: Sequence[str], ambiguous: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows that are clear or decided, rows to ask about): decisions stand in for a prompt."""
+    decided = decisions.select(*keys).distinct()
+    asked = rows.where(ambiguous)
+    return rows.where(~F.coalesce(ambiguous, F.lit(False))).unionByName(asked.join(decided, list(keys), "left_semi")), asked.join(decided, list(keys), "left_anti")

@@ -40,14 +40,22 @@ def language_bucket(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", F.coalesce(scripts.bucket(), F.lit("ambiguous")).alias("bucket"))
 
 
+#: Endings put behind the texts, so that every case is met.
+_ENDS = ("", "➡", " →\t", "➝➞ ", "➾", "▶", "⇒ ", "➡ x", "\t➜\n")
+
+
 @query(
     "j21_mechanical_normalise",
-    r"""SELECT doc_id, md5(j) AS digest, CASE WHEN j <> text THEN 'join_physical_lines' ELSE '' END AS rules
-        FROM (SELECT doc_id, text, regexp_replace(text, '[\r\n]+', '', 'g') AS j FROM documents)""",
+    f"""WITH e AS (SELECT doc_id, text || [{", ".join("'" + e + "'" for e in _ENDS)}][doc_id % {len(_ENDS)} + 1] AS text FROM documents),
+        j AS (SELECT doc_id, text, replace(replace(text, chr(13), ''), chr(10), '') AS j FROM e),
+        s AS (SELECT *, regexp_replace(j, '[ \\t]*[{T.ARROWS}]+[ \\t]*$', '') AS s FROM j)
+        SELECT doc_id, md5(s) AS digest, concat_ws(',', CASE WHEN j <> text THEN 'join_physical_lines' END, CASE WHEN s <> j THEN 'strip_trailing_arrow' END) AS rules FROM s""",
 )
 def normalise(spark: SparkSession, sf: str) -> DataFrame:
+    ends = F.array(*[F.lit(e) for e in _ENDS])
+    d = table(spark, sf, "documents").select("doc_id", F.concat("text", F.get(ends, (F.col("doc_id") % len(_ENDS)).cast("int"))).alias("text"))
     t, rules = T.mechanical_normalise(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(t).alias("digest"), F.array_join(rules, ",").alias("rules"))
+    return d.select("doc_id", F.md5(t).alias("digest"), F.array_join(rules, ",").alias("rules"))
 
 
 @query("j42_clean_lines", "SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS digest FROM documents")

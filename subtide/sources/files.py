@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -45,22 +48,51 @@ def read_id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids.groupBy("id").agg(F.min("position").alias("position")).select("position", "id")
 
 
+def _read_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole files of paths with a scheme or without, in the task."""
+    for b in batches:
+        texts = []
+        for p in b["path"].to_pylist():
+            where, path = pa_fs.FileSystem.from_uri(p if "://" in p or p.startswith("file:") else f"file://{p}")
+            with where.open_input_stream(path, compression=None) as stream:
+                texts.append(stream.read().decode("utf-8"))
+        yield pa.RecordBatch.from_arrays([b["path"], pa.array(texts, pa.string())], names=["path", "value"])
+
+
 def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(path, value): whole texts of named files, dot-files included.
 
-    Spark's file sources pass over names that start with a point, so the files are
-    read through Hadoop's file system in tasks, one row each.
+    Plain names are read by Spark. Its file sources pass over names that start with
+    a point, so those are dealt to tasks as rows and opened there.
+    """
+    hidden = [p for p in paths if p.rsplit("/", 1)[-1].startswith(".")]
+    plain = [p for p in paths if p not in set(hidden)]
+    parts = []
+    if plain:
+        parts.append(spark.read.text(plain, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    if hidden or not plain:
+        names = spark.createDataFrame([(p,) for p in hidden], "path string")
+        parts.append(names.repartition(max(1, min(len(hidden), 64))).mapInArrow(_read_here, "path string, value string"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def expand_inputs(listing: DataFrame, patterns: Sequence[str], extensions: Sequence[str], path: str = "path") -> tuple[DataFrame, DataFrame]:
+    """(argument, path) of the listed files that the glob arguments name, each under its first argument; and the unsupported ones.
+
+    ``*`` and ``?`` stay within a folder, ``**`` does not.
     """
-    names = spark.createDataFrame([(p,) for p in paths], "path string")
-    if not any(p.rsplit("/", 1)[-1].startswith(".") for p in paths):
-        return spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value") if paths else names.withColumn("value", F.lit(None).cast("string"))
-    hadoop = spark._jvm.org.apache.hadoop
-    rows = []
-    for p in paths:
-        path = hadoop.fs.Path(p)
-        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
-        try:
-            rows.append((p, spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
-    return spark.createDataFrame(rows, "path string, value string")
+    regex = lambda g: "^" + re.sub(r"\\\*\\\*|\\\*|\\\?", lambda m: {r"\*\*": ".*", r"\*": "[^/]*", r"\?": "[^/]"}[m[0]], re.escape(g)) + "$"
+    first = F.lit(None).cast("int")
+    for i, g in reversed(list(enumerate(patterns))):
+        first = F.when(F.col(path).rlike(regex(g)), i).otherwise(first)
+    named = listing.select(path).distinct().select(first.alias("argument"), path).where("argument IS NOT NULL")
+    good = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*extensions)
+    return named.where(good), named.where(~good)
+
+
+def discover_media(listing: DataFrame, extensions: Sequence[str], path: str = "path") -> DataFrame:
+    """(folder, path, place): files of the allowed extensions, resource forks (``._name``) left out, in order of their lower-cased names."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    kept = listing.where(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*extensions) & ~name.startswith("._"))
+    rows = kept.select(F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("folder"), path, F.lower(name).alias("_n"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("folder").orderBy("_n", path))).drop("_n")

@@ -22,7 +22,7 @@ def publish(df: DataFrame, base: str, checks: dict[str, str] | None = None) -> s
     """Writes a new version beside the old ones and flips the pointer once checks hold.
 
     ``checks`` name SQL aggregates that must be true over the written rows. The
-    pointer is a file renamed into place; a failure leaves the old version current.
+    pointer is a file renamed over the old one in one step; a failure leaves the old version current.
     """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
@@ -40,9 +40,10 @@ def publish(df: DataFrame, base: str, checks: dict[str, str] | None = None) -> s
     out.writeBytes(version)
     out.close()
     _, pointer = _path(spark, f"{base}/_current")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(new, pointer)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(pointer), overwrite)
     return version
 
 

@@ -87,7 +87,7 @@ def test_names(spark):
 
 def test_mechanical_normalisation(spark):
     t, r = T.mechanical_normalise(F.lit("私は求められている\n王塚真唯像を➡"))
-    assert tuple(spark.range(1).select(t, r).first()) == ("私は求められている王塚真唯像を", ["join_physical_lines", "strip_trailing_continuation_arrow"])
+    assert tuple(spark.range(1).select(t, r).first()) == ("私は求められている王塚真唯像を", ["join_physical_lines", "strip_trailing_arrow"])
 
 
 def test_language_buckets(spark):
@@ -207,3 +207,21 @@ def test_lags_and_verdicts(spark):
     fits = {x["file"]: x["verdict"] for x in alignment.local_fit(speech, cues, "track", "file", 12, 100, 0.25).collect()}
     assert fits == {"same": "good_match", "shifted": "constant_offset", "drifting": "possible_drift", "alone": "bad_candidate", "far": "bad_candidate"}
     assert alignment.best_lags(speech, cues.limit(0), "track", "file", 12).count() == 0
+
+
+def test_hidden_files_are_read_in_tasks(spark, tmp_path):
+    from subtide.sources import files
+
+    for name, text in ((".info.json", '{"a": 1}\n'), ("plain.txt", "x\ny")):
+        (tmp_path / name).write_text(text)
+    got = {r["path"].rsplit("/", 1)[-1]: r["value"] for r in files.read_texts(spark, [f"{tmp_path}/.info.json", f"{tmp_path}/plain.txt"]).collect()}
+    assert got == {".info.json": '{"a": 1}\n', "plain.txt": "x\ny"} and files.read_texts(spark, []).count() == 0
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path):
+    from subtide.sources import sinks
+
+    base = str(tmp_path / "index")
+    for n in (3, 5):
+        sinks.publish(spark.range(n).toDF("id"), base)
+        assert sinks.current(spark, base).count() == n
