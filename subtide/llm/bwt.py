@@ -3,23 +3,27 @@
 What can repeat is found first. Each string of ``LENGTH`` bytes belongs to the
 cell named by the smallest hash of its 24-byte grams; equal strings share a
 cell, and consecutive strings of one cell form a fragment. Cells are counted over
-all documents, and only fragments of cells that occur twice or more go on.
+all documents. Strings of a cell with more than ``HEAVY`` fragments are dealt
+again, by the smallest hash of their 44-byte grams, so that a common phrase in
+many surroundings makes many small cells. Only fragments of cells that occur
+twice or more go on.
 
 Fragments are shuffled by cell. In a task they come in batches of whole cells of
-some ``BATCH`` bytes. Equal fragments collapse, and a cell's only string needs no
-merge; the rest is dealt to shards, and each shard gets its own Burrows-Wheeler
-transform. The shards' transforms are then merged: an interleave vector, which
+some ``BATCH`` bytes and are dealt to shards by document. Each shard gets its own
+Burrows-Wheeler transform over its different fragments. The shards' transforms
+are then merged: an interleave vector, which
 says from which shard each suffix in the merged order comes, is refined by two
 characters a round from the transforms alone, without sorting the suffixes
 again. Where a round first parts two neighbours their common prefix is known to
 within the round; intervals that ``LENGTH`` characters leave whole are the
 repeated strings, and the smallest doc_id in an interval is the first.
 
-A cell has at most ``HEAVY`` fragments; strings of more frequent cells are
-dealt by their own hash (128 bits) and the first document of each is a minimum
-with map-side combining, so no task gathers a common passage. Texts that recur
-whole take part once. What travels with the tasks are bitmaps of at most
-``MOST_BITS`` bits; past that, more fragments are shuffled, with equal results.
+A cell of 44-byte grams that still has more than ``HEAVY`` fragments is one
+passage in as many places: its strings are dealt by their own hash (128 bits) and
+the first document of each is a minimum with map-side combining, so no task
+gathers it. Texts that recur whole take part once. What travels with the tasks
+are Bloom filters of at most ``MOST_BITS`` bits; past that, more fragments are
+shuffled, with equal results.
 
 Defined results: a null or empty text has no bytes; texts shorter than
 ``LENGTH`` lose nothing; a null doc_id counts as larger than any, and null ones
@@ -34,21 +38,22 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.llm import words as W
-from subtide.llm.decontam import _in, bitmap
 from subtide.llm.lineage import join_unique, stored
 from subtide.llm.substring import attach, with_copies
 
 LENGTH = 50
-GRAM = 24
+GRAM, FINE = 24, 44
 HEAVY = 20_000
 BATCH = 1 << 18
 SHARDS = 2
-MOST_BITS = 29
+#: A filter has 8 to 16 bits for each cell, of which a cell sets three, and 16 MB at most.
+MOST_BITS, CELL_BITS = 27, 8
+#: First bits of the three places that a cell has in a filter.
+PLACES = (0, 18, 37)
 #: Fragments hold at most so many strings, however periodic the text.
 RUN = 128
 LAST = 2**63 - 1
@@ -123,10 +128,11 @@ def merge(pairs: list[np.ndarray], lasts: list[np.ndarray], depth: int) -> tuple
     return shard, common
 
 
-def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
+def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """(owners, offsets): for every byte of the strings the smallest owner of an equal string of ``length`` bytes.
 
-    Bytes too close to their string's end keep the string's own owner.
+    ``shards`` are the numbers of strings in each shard, in their order. Bytes too
+    close to their string's end keep the string's own owner.
     """
     k = len(strings)
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + k + 1].astype(np.int64)
@@ -144,7 +150,7 @@ def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: int =
     before[2:] = code
     pair = (before[:-2] << np.uint16(8)) | before[1:-1]
     pair[(before[:-2] == 0) | (before[1:-1] == 0)] = 0
-    cuts = np.unique(np.linspace(0, k, min(shards, k) + 1).astype(np.int64))
+    cuts = np.unique(np.cumsum([0, *shards]))
     parts = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         lo, hi = offsets[a] + a, offsets[b] + b
@@ -176,49 +182,91 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def _fragments(column: pa.Array, length: int, gram: int):
-    """Per slice: (row, raw, row offsets, first bytes, numbers of strings, cells) of the fragments."""
+def _filter(cells: DataFrame) -> tuple[bytes, int]:
+    """A Bloom filter of the column ``cell`` and its number of bits as a power of two."""
+    bits = min(MOST_BITS, max(15, ceil(log2(CELL_BITS * (cells.count() + 1)))))
+    places = F.array(*(F.shiftrightunsigned("cell", p).bitwiseAND(F.lit((1 << bits) - 1)) + 1 for p in PLACES))
+    parts = (
+        cells.select(F.explode(places).alias("place")).select(F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p"))
+        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    )
+    whole = bytearray(1 << (bits - 3))
+    for r in parts:
+        whole[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
+    return bytes(whole), bits
+
+
+def _passes(bloom: tuple[bytes, int], cells: np.ndarray) -> np.ndarray:
+    """Which cells the filter has; some that it was not made of, too."""
+    table, bits = np.frombuffer(bloom[0], np.uint8), bloom[1]
+    found = np.ones(len(cells), bool)
+    for p in PLACES:
+        place = (cells >> np.uint64(p)) & np.uint64((1 << bits) - 1)
+        found &= (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return found
+
+
+def _stretches(cell: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and ends of the runs of valid strings of one cell."""
+    fresh = np.ones(len(cell), bool)
+    fresh[1:] = (cell[1:] != cell[:-1]) | ~valid[:-1]
+    head = np.flatnonzero(fresh & valid)
+    bad = np.flatnonzero(fresh | ~valid)
+    return head, np.append(bad, len(cell))[np.searchsorted(bad, head, "right")]
+
+
+def _fragments(column: pa.Array, length: int, grams: tuple[int, int], heavy: tuple[bytes, int] | None):
+    """Per slice: (row, raw, row offsets, first bytes, numbers of strings, cells, whether dealt again) of the fragments.
+
+    ``heavy`` is the filter of cells whose strings are dealt again by the second of ``grams``.
+    """
     for row, raw, offsets in W.slices(column):
         n = len(raw)
         none = np.zeros(0, np.int64)
         if n < length:
-            yield row, raw, offsets, none, none, none.view(np.uint64)
+            yield row, raw, offsets, none, none, none.view(np.uint64), none.astype(bool)
             continue
-        at = np.arange(n - gram + 1)
-        cell = _least(W.sliding_hashes(W._byte_table(0)[raw], gram), length - gram + 1)
-        end = np.repeat(offsets[1:], np.diff(offsets))[: len(cell)]
-        valid = at[: len(cell)] + length <= end
-        fresh = np.ones(len(cell), bool)
-        fresh[1:] = (cell[1:] != cell[:-1]) | ~valid[:-1]
-        head = np.flatnonzero(fresh & valid)
-        bad = np.flatnonzero(fresh | ~valid)
-        stop = np.append(bad, len(cell))[np.searchsorted(bad, head, "right")]
+        values = W._byte_table(0)[raw]
+        cell = _least(W.sliding_hashes(values, grams[0]), length - grams[0] + 1)
+        valid = np.arange(len(cell)) + length <= np.repeat(offsets[1:], np.diff(offsets))[: len(cell)]
+        head, stop = _stretches(cell, valid)
+        again = np.zeros(len(cell), bool)
+        if heavy:
+            busy = _passes(heavy, W.mix(cell[head]))
+            if busy.any():
+                edge = np.zeros(len(cell) + 1, np.int8)
+                edge[head[busy]] += 1
+                edge[stop[busy]] -= 1
+                again = np.cumsum(edge[:-1]) > 0
+                cell = np.where(again, ~_least(W.sliding_hashes(values, grams[1]), length - grams[1] + 1), cell)
+                head, stop = _stretches(cell, valid)
         count = stop - head
         pieces = -(-count // RUN)
         part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(head, pieces) + part * RUN
-        yield row, raw, offsets, first, np.minimum(np.repeat(stop, pieces) - first, RUN), cell[first]
+        yield row, raw, offsets, first, np.minimum(np.repeat(stop, pieces) - first, RUN), W.mix(cell[first]), again[first]
 
 
-def _count_cells(length: int, gram: int):
+def _count_cells(length: int, grams: tuple[int, int], heavy: tuple[bytes, int] | None):
+    """Counts of all cells; of those dealt again where there is a filter of heavy ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *_, cells in _fragments(b["text"], length, gram):
-                values, n = np.unique(cells, return_counts=True)
+            for *_, cells, again in _fragments(b["text"], length, grams, heavy):
+                values, n = np.unique(cells[again] if heavy else cells, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     return run
 
 
-def _emit(mask: bytes, bits: int, heavy: bytes, heavy_bits: int, length: int, gram: int, common: bool):
-    """Fragments of shared cells (not common), or the single strings of heavy ones (common)."""
+def _emit(shared: tuple[bytes, int], heavy: tuple[bytes, int] | None, passages: tuple[bytes, int] | None, length: int, grams: tuple[int, int], common: bool):
+    """Fragments of shared cells (not common), or the single strings of passages (common)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hot = np.frombuffer(mask, np.uint8), np.frombuffer(heavy, np.uint8)
         for b in batches:
-            for row, raw, offsets, first, count, cells in _fragments(b["text"], length, gram):
-                is_hot = _in(hot, cells, heavy_bits)
-                take = np.flatnonzero(is_hot if common else _in(table, cells, bits) & ~is_hot)
+            for row, raw, offsets, first, count, cells, again in _fragments(b["text"], length, grams, heavy):
+                many = again & _passes(passages, cells) if passages else np.zeros(len(cells), bool)
+                take = np.flatnonzero(many if common else _passes(shared, cells) & ~many)
                 first, count, cells = first[take], count[take], cells[take]
                 if common:
                     first = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -265,29 +313,27 @@ def _resolve(length: int):
         table = table.filter(pa.array(np.repeat(several, np.diff(np.append(heads, len(cell))))))
         if not len(table):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["d", "t", "start", "n"])
-        coded = table["text"].combine_chunks().dictionary_encode()
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        cell, d, t, at = (table[c].to_numpy() for c in ("cell", "d", "t", "start"))
-        owner = np.full(len(coded.dictionary), LAST, np.int64)
+        shard = (W.mix(table["d"].to_numpy().view(np.uint64)) % np.uint64(SHARDS)).astype(np.int64)
+        table = table.take(pa.array(np.argsort(shard, kind="stable")))
+        sizes = np.bincount(shard, minlength=SHARDS)
+        strings, which, seen = [], [], 0
+        for lo, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+            if size:  # a shard's transform holds each of its different fragments once
+                coded = table["text"].slice(lo, size).combine_chunks().dictionary_encode()
+                coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+                strings.append(coded.dictionary)
+                which.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + seen)
+                seen += len(coded.dictionary)
+        which = np.concatenate(which)
+        d, t, at = (table[c].to_numpy() for c in ("d", "t", "start"))
+        owner = np.full(seen, LAST, np.int64)
         np.minimum.at(owner, which, d)
-        within = np.zeros(len(owner), np.int64)
-        within[which] = np.cumsum(np.diff(cell, prepend=cell[0]) != 0)  # equal strings are of one cell
-        alone = np.bincount(within)[within] == 1  # the cell's only string: nothing to merge it with
-        windows = pc.binary_length(coded.dictionary).to_numpy() - length + 1
-        copy = np.flatnonzero(alone[which] & (owner[which] < d))
-        rows, begin, n = copy, np.zeros(len(copy), np.int64), windows[which[copy]].astype(np.int64)
-        if not alone.all():
-            merged = np.flatnonzero(~alone)
-            first, offsets = first_owner(coded.dictionary.take(pa.array(merged)), owner[merged], length)
-            head = np.zeros(len(owner), np.int64)
-            head[merged] = offsets[:-1]
-            several = np.flatnonzero(~alone[which])
-            sizes = windows[which[several]]
-            row = np.repeat(several, sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            to, count = _runs(first[head[which[row]] + place] < d[row], row)
-            rows, begin, n = (np.concatenate(x) for x in ((rows, row[to]), (begin, place[to]), (n, count)))
+        first, offsets = first_owner(pa.concat_arrays(strings), owner, length, [len(x) for x in strings])
+        windows = (np.diff(offsets) - length + 1)[which]
+        row = np.repeat(np.arange(len(d)), windows)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+        to, n = _runs(first[offsets[:-1][which[row]] + place] < d[row], row)
+        rows, begin = row[to], place[to]
         return pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(t[rows]), pa.array(at[rows] + begin), pa.array(n)], names=["d", "t", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,24 +396,32 @@ def _cut(length: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fine: int = FINE, heavy: int = HEAVY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
     rows = with_copies(docs).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
     leads = rows.where("lead").select("d", "t", "text")
-    counts = leads.select("text").mapInArrow(_count_cells(length, gram), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    shared = stored(counts.where("n > 1"))
-    bits = min(MOST_BITS, max(20, ceil(log2(32 * (shared.count() + 1)))))
-    hot = shared.where(F.col("n") > heavy)
-    hot_bits = min(MOST_BITS, max(20, ceil(log2(1024 * (hot.count() + 1)))))
-    masks = (bitmap(shared, "cell", bits), bits, bitmap(hot, "cell", hot_bits), hot_bits, length, gram)
-    fragments = leads.mapInArrow(_emit(*masks, False), "cell long, d long, t long, start long, text binary")
+
+    def cells(dealt: tuple[bytes, int] | None) -> DataFrame:
+        counts = leads.select("text").mapInArrow(_count_cells(length, (gram, fine), dealt), "cell long, n long")
+        return stored(counts.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1"))
+
+    def over(counted: DataFrame) -> tuple[bytes, int] | None:
+        many = counted.where(F.col("n") > heavy)
+        return None if many.isEmpty() else _filter(many)
+
+    shared, passages = cells(None), None
+    again = over(shared)
+    if again:
+        dealt = cells(again)
+        passages = over(dealt)
+        shared = shared.where(F.col("n") <= heavy).unionByName(dealt)
+    filters = (_filter(shared), again, passages, length, (gram, fine))
+    fragments = leads.mapInArrow(_emit(*filters, False), "cell long, d long, t long, start long, text binary")
     found = fragments.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(length), "d long, t long, start long, n long")
-    single = stored(leads.mapInArrow(_emit(*masks, True), "high long, low long, d long, t long, start long"))
-    least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("rows"))
-    least = stored(least.where("least < most").drop("most"))
-    also = join_unique(single, least, ["high", "low"], "inner", "rows").where("least < d").select("d", "t", "start", F.lit(1).cast("long").alias("n"))
+    if passages:
+        found = found.unionByName(_passages(leads, filters))
     runs = (
-        found.unionByName(also).groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+        found.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
         .select(F.col("d").alias("_id"), F.col("t").alias("_t"), "runs")
     )
     done = attach(rows, runs, "runs", "d").withColumn("gone", ~F.col("lead"))
@@ -376,6 +430,15 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy:
     )
 
 
+def _passages(leads: DataFrame, filters: tuple) -> DataFrame:
+    """(d, t, start, n): strings of passages that a smaller document has."""
+    single = stored(leads.mapInArrow(_emit(*filters, True), "high long, low long, d long, t long, start long"))
+    least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("rows"))
+    least = stored(least.where("least < most").drop("most"))
+    firsts = join_unique(single, least, ["high", "low"], "inner", "rows").where("least < d")
+    return firsts.select("d", "t", "start", F.lit(1).cast("long").alias("n"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
