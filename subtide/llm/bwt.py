@@ -14,7 +14,7 @@ Burrows-Wheeler transform over its different fragments. The shards' transforms
 are then merged: an interleave vector, which
 says from which shard each suffix in the merged order comes, is refined by two
 characters a round from the transforms alone, without sorting the suffixes
-again. Where a round first parts two neighbours their common prefix is known to
+again; a round touches only what the round before has parted. Where a round first parts two neighbours their common prefix is known to
 within the round; intervals that ``LENGTH`` characters leave whole are the
 repeated strings, and the smallest doc_id in an interval is the first.
 
@@ -97,35 +97,54 @@ def merge(pairs: list[np.ndarray], lasts: list[np.ndarray], depth: int) -> tuple
     within them. ``lasts`` are the last characters of the shards' strings.
     ``interleave`` holds shard numbers. ``parted`` is, for neighbours, the
     characters before the round that told them apart, ``depth`` where none did.
+
+    A block holds the suffixes that are equal as far as the rounds have come, by
+    shard and rank. The suffixes two characters longer than those of one block,
+    with the same two characters, are one block as well, so a round touches only
+    what lengthens the blocks that the round before has parted.
     """
-    n = sum(map(len, pairs))
+    sizes, heads = np.array([len(p) for p in pairs]), np.array([len(x) for x in lasts])
+    n, ended = sizes.sum(), heads.sum()
+    begin = np.cumsum(sizes) - sizes
+    tails = [x.astype(np.uint16) << np.uint16(8) for x in lasts]
+    longer = np.full(n, -1, np.int32)  # the suffix two characters longer, -1 where its string starts within them
+    for lo, k, tail, p in zip(begin, heads, tails, pairs, strict=True):
+        order = np.argsort(np.concatenate([tail, p]), kind="stable")[2 * k :] - k
+        rank = np.flatnonzero(order >= 0)
+        longer[lo + order[rank]] = lo + k + rank
+    # The first round: bare ends, then by two characters; a single character before an end is no other's equal.
     number = np.arange(len(pairs), dtype=np.uint8)
-    shard = np.repeat(number, [len(p) for p in pairs])
-    first = np.repeat(number, [len(x) for x in lasts])
-    heads = len(first)
-    tail = np.concatenate(lasts).astype(np.uint16) << np.uint16(8)
-    common = np.full(n, depth, np.int16)
-    common[:heads] = 0
-    block = np.zeros(n, np.int32)
-    keys = np.empty(heads + n, np.uint16)
-    keys[:heads] = tail
-    source, whose = np.empty(heads + n, np.uint8), np.empty(heads + n, np.int32)
-    source[:heads], whose[:heads] = first, np.arange(-heads, 0)
+    first, pair = np.repeat(number, heads), np.concatenate(pairs)
+    keys = np.concatenate([*tails, pair])
+    order = np.argsort(keys, kind="stable")[2 * ended :]
+    shard = np.concatenate([first, np.concatenate([first, np.repeat(number, sizes)])[order]])
+    keys, lone = keys[order], order < ended
     apart = np.ones(n, bool)
-    for done in range(0, depth, 2):
-        for s, p in enumerate(pairs):
-            keys[heads:][shard == s] = p
-        source[heads:], whose[heads:] = shard, block
-        order = np.argsort(keys, kind="stable")[2 * heads :]  # without the suffixes that start in their string's first two characters
-        new = np.concatenate([first, source[order]])
-        c, b = keys[order], whose[order]
-        apart[heads + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        fresh = apart & (common == depth)
-        common[fresh] = done
-        if done and not fresh.any() and np.array_equal(new, shard):
+    apart[ended + 1 :] = (keys[1:] != keys[:-1]) | lone[1:] | lone[:-1]
+    common = np.where(apart, 0, depth).astype(np.int16)
+    suffix, place = np.empty(n, np.int32), np.empty(n, np.int32)
+    for s, (lo, size) in enumerate(zip(begin, sizes, strict=True)):
+        suffix[shard == s] = np.arange(lo, lo + size)
+    place[suffix] = np.arange(n)
+    active = np.arange(n)
+    for done in range(2, depth, 2):
+        x, block = suffix[active], np.cumsum(apart[active], dtype=np.int32)
+        order = np.argsort(pair[x], kind="stable")
+        x, block = longer[x[order]], block[order]
+        inside = x >= 0
+        x, block = x[inside], block[inside]
+        at = np.sort(place[x])  # whole blocks keep their places together
+        suffix[at], place[x] = x, at
+        head = apart[at]
+        fresh = np.zeros(len(at), bool)
+        fresh[1:] = ~head[1:] & (block[1:] != block[:-1])
+        if not fresh.any():
             break
-        shard, block = new, np.cumsum(apart, dtype=np.int32)
-    return shard, common
+        common[at[fresh]], apart[at[fresh]] = done, True
+        heads_at = np.flatnonzero(head)
+        parted = np.logical_or.reduceat(fresh, heads_at)
+        active = at[np.repeat(parted, np.diff(np.append(heads_at, len(at))))]
+    return (np.searchsorted(begin, suffix, "right") - 1).astype(np.uint8), common
 
 
 def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +361,7 @@ def _resolve(length: int):
         for b in batches:
             at = 0
             while at < b.num_rows:
-                part = b.slice(at, 8192)
+                part = b.slice(at, 2048)
                 at += part.num_rows
                 if held and size >= BATCH:  # a new batch starts with a new cell
                     cells = part["cell"].to_numpy()
@@ -397,7 +416,12 @@ def _cut(length: int):
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fine: int = FINE, heavy: int = HEAVY) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges)."""
+    """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges).
+
+    ``length`` is even, as the merge takes two characters a round, and no shorter than ``gram`` and ``fine``.
+    """
+    if length % 2 or length < max(gram, fine):
+        raise ValueError(f"length {length} is odd or shorter than a gram of {gram} or {fine} bytes")
     rows = with_copies(docs).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
     leads = rows.where("lead").select("d", "t", "text")
 

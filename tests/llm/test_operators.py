@@ -181,6 +181,11 @@ def test_byte_dedup(docs, no_docs, corpus, heavy):
         assert bwt.dedup_bytes(no_docs).count() == 0
 
 
+def test_byte_dedup_refuses_a_length_that_no_round_ends_at(spark):
+    with pytest.raises(ValueError):
+        bwt.dedup_bytes(spark.createDataFrame([], "doc_id long, text string"), length=51)
+
+
 def test_merged_transforms_find_first_owners():
     r = np.random.default_rng(5)
     for _ in range(40):
