@@ -10,6 +10,7 @@ from subtide.functions import text as T
 from subtide.operators import cleaning as C
 from subtide.operators import records as R
 from subtide.operators import search as S
+from subtide.operators.ranking import places
 from subtide.plans.registry import query
 from subtide.session import table
 
@@ -145,13 +146,13 @@ def local(spark: SparkSession, sf: str) -> DataFrame:
 @query("h07_group_report_order", "SELECT o_custkey, row_number() OVER (ORDER BY s <> 'P', printf('%.3f', r), n DESC, o_custkey) AS place FROM (SELECT o_custkey, min(o_orderstatus) AS s, count(*) FILTER (o_orderstatus = 'F') / count(*) AS r, count(*) AS n FROM orders GROUP BY o_custkey)")
 def group_report(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderstatus").alias("x"), F.min("o_orderstatus").alias("s"), (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("r"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("s") != "P", F.format_string("%.3f", "r"), F.desc("n"), "o_custkey")
-    return g.select("o_custkey", F.row_number().over(w).cast("long").alias("place"))
+    return places(g, [F.col("s") != "P", F.format_string("%.3f", "r"), -F.col("n")], ["o_custkey"]).select("o_custkey", "place")
 
 
 @query("h13_inventory_order", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, n_chars, doc_id) AS place FROM documents")
 def inventory_order(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy("source", "n_chars", "doc_id")).cast("long").alias("place"))
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return places(d, [F.col("source"), F.col("n_chars")], ["doc_id"], ("lang",)).select("doc_id", "place")
 
 
 @query("h14_integer_key_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from subtide.functions.text import span_list
 from subtide.operators import coverage as V
 from subtide.operators.intervals import consecutive_runs
+from subtide.operators.ranking import places
 from subtide.plans.registry import query
 from subtide.session import table
 
@@ -178,7 +179,7 @@ def nulls_last(spark: SparkSession, sf: str) -> DataFrame:
 @query("h03_numeric_then_text_order", "SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(s_name, '([0-9]+)$', 1) AS INT), 0) % 7, s_name) AS place FROM supplier")
 def numeric_text(spark: SparkSession, sf: str) -> DataFrame:
     k = F.coalesce(F.regexp_extract("s_name", "([0-9]+)$", 1).try_cast("int"), F.lit(0)) % 7
-    return table(spark, sf, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy(k, "s_name")).cast("long").alias("place"))
+    return places(table(spark, sf, "supplier").select("s_suppkey", "s_name"), [k], ["s_name"]).select("s_suppkey", "place")
 
 
 @query("h09_argmax_embedding", "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS best FROM embeddings")

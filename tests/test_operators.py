@@ -11,6 +11,7 @@ from subtide.functions import filenames as N
 from subtide.functions import scripts
 from subtide.functions import text as T
 from subtide.operators import alignment, cleaning, coverage, intervals, search, upkeep
+from subtide.operators.ranking import places
 from subtide.sources import files, sinks, subtitles
 from subtide.streaming import debounce
 
@@ -225,3 +226,16 @@ def test_pointer_is_replaced_in_one_step(spark, tmp_path):
     for n in (3, 5):
         sinks.publish(spark.range(n).toDF("id"), base)
         assert sinks.current(spark, base).count() == n
+
+
+def test_places_are_those_of_one_sorted_list(spark):
+    rows = [(k, b, i) for i, (k, b) in enumerate([("x", 2), ("x", None), ("y", 1), ("x", 1), (None, 5), ("x", 2), (None, None), ("y", 1), ("x", 1)])]
+    df = spark.createDataFrame(rows, "k string, b int, i int")
+    order = lambda r: (r[1] is not None, r[1] or 0, r[2])
+    whole = {r[2]: n for n, r in enumerate(sorted(rows, key=order), 1)}
+    assert {r["i"]: r["place"] for r in places(df, [F.col("b")], ["i"]).collect()} == whole
+    for k in ("x", "y", None):
+        want = {r[2]: n for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=order), 1)}
+        got = places(df, [F.col("b")], ["i"], ("k",)).where(F.col("k").eqNullSafe(k))
+        assert {r["i"]: r["place"] for r in got.collect()} == want
+    assert places(df.limit(0), [F.col("b")], ["i"]).count() == 0
