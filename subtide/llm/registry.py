@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from subtide.llm import bwt, chat, decontam, html, licenses, packing, quality, secrets, simhash, substring
+from subtide.llm import bwt, chat, decontam, divergence, html, licenses, lm, packing, periodic, quality, secrets, simhash, substring
 
-MODULES = (decontam, packing, simhash, bwt, licenses, html, substring, chat, secrets, quality)
+MODULES = (decontam, packing, simhash, bwt, licenses, html, substring, chat, secrets, quality, lm, periodic, divergence)
 
 
 def queries() -> dict:
