@@ -11,9 +11,10 @@ The normaliser falls into two factors, sum_w exp(E1[v].R[w]) exp(E2[u].R[w] + b[
 so one product of two matrices gives it for all pairs of context words, and each
 batch of tokens is scored by gathered products.
 
-Training needs no normaliser: each task reads its documents once, in two rounds
-(an eighth of them, then the rest), telling words from noise drawn by unigram
-frequency, and the models of a round's tasks are averaged by their tokens, in a
+Texts are read twice, once for the counts of all words and once to write each text's outputs
+(two bytes a token) to a stored table. Training needs no normaliser: each task
+reads its documents' outputs once, in two rounds (an eighth of them, then the rest), telling words
+from noise drawn by unigram frequency, and the models of a round's tasks are averaged by their tokens, in a
 tree of Spark groups. Every training document takes part, as in the word counts.
 Only the model (``DIM`` numbers per output), the ``FREQUENT`` commonest words of
 at most ``LONGEST`` bytes and class totals travel with tasks, all of fixed size;
@@ -33,11 +34,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.llm import words as W
@@ -120,7 +122,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         least, kept = r["least"], kept + r["k"]
     rows = sorted(((-r["n"], bytes(r["word"])) for r in fits.where((F.col("n") >= least) | (F.col("word") == F.lit(END))).collect()))
     words, n = tuple(w for _, w in rows), np.array([-c for c, _ in rows], np.int64)
-    by = counts.groupBy((F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES).cast("int").alias("c")).agg(
+    by = counts.groupBy(_class("word").alias("c")).agg(
         F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")
     )
     class_n, once = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -136,38 +138,72 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(words, n, made.total, made.distinct, class_n, unknown, least)
 
 
-class _Outputs(dict):
-    """Word -> output; the classes of words met are kept up to a bound."""
+def _encoder(vocab: Vocabulary) -> Callable:
+    """Documents -> (rid, doc_id, held_out, part, n_tokens, n_known, base_score, within, ids, rest[]).
 
-    def __init__(self, top: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(top))
-        self._top = top
+    ``ids`` are the outputs of the tokens, ``within`` the shares of words in their classes; words of ``rest`` count as unknown here.
+    """
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self._top))
-            if word in self:
-                return self[word]
-        made = self[word] = TOP + word_class(word)
-        return made
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, places, none = vocab.top(), {w: i for i, w in enumerate(vocab.words)}, len(vocab.words)
+        base = np.log10((np.append(vocab.counts, 0) + 0.5) / (vocab.total + 0.5 * (vocab.distinct + 1)))
+        own = {w: i for i, w in enumerate(top)}
+        outputs, within = np.zeros(none + 1, np.uint16), np.zeros(none + 1)
+        for w, i in places.items():
+            if w in own:
+                outputs[i] = own[w]
+            else:
+                c = word_class(w)
+                outputs[i], within[i] = TOP + c, math.log10((1 - vocab.class_unknown[c]) * vocab.counts[i] / vocab.class_counts[c])
+        unknown = np.log10(vocab.class_unknown)
+        rid, crc = TaskContext.get().partitionId() << 40, zlib.crc32
+        for batch, row, texts in _texts(batches):
+            n = len(texts)
+            before = np.zeros(n + 1, np.int64)
+            np.cumsum([len(t) + 1 for t in texts], out=before[1:])
+            flat = [w for t in texts for w in (*t, END)]
+            at = np.fromiter(map(places.get, flat, repeat(none)), np.int64, len(flat))
+            ids, more = outputs[at], within[at]
+            missed = np.flatnonzero(at == none)
+            words = [flat[k] for k in missed.tolist()]
+            classes = np.array([crc(w[-2:]) % CLASSES for w in words], np.int64)
+            real = np.array([w != END for w in words], bool)  # without training rows the end itself has no count
+            ids[missed] = np.where(real, TOP + classes, 0)
+            more[missed] = np.where(real, unknown[classes], 0)
+            bounds, rare, times = [0], [], []
+            cuts = np.searchsorted(missed, before)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found = Counter(words[a:b])
+                rare.extend(found)
+                times.extend(found.values())
+                bounds.append(len(rare))
+            lists = pa.ListArray.from_arrays(
+                pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
+            )
+            sums = lambda x: np.add.reduceat(x, before[:-1])
+            data = ids.tobytes()
+            coded = pa.array([data[2 * a : 2 * b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(rid, rid + n)), *[batch[c].slice(row, n) for c in ("doc_id", "held_out", "part")], pa.array(np.diff(before)),
+                    pa.array(sums((at != none).astype(np.int64))), pa.array(sums(base[at])), pa.array(sums(more)), coded, lists,
+                ],
+                names=["rid", "doc_id", "held_out", "part", "n_tokens", "n_known", "base_score", "within", "ids", "rest"],
+            )
+            rid += n
+
+    return run
 
 
-def _ids(texts: list[list[bytes]], table: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(outputs of the tokens of all texts, tokens before each text); each text ends with the end token."""
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    ids: list[int] = []
-    for t in texts:
-        ids.extend(map(table.__getitem__, t))
-        ids.append(table[END])
-    before = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(sizes, out=before[1:])
-    return np.array(ids, np.int32), before
+def _coded(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, outputs, tokens before each row) of consecutive rows of a column of outputs."""
+    for row, raw, offsets in W.slices(column):
+        yield row, np.frombuffer(raw.tobytes(), np.uint16), offsets // 2
 
 
 def _contexts(ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The outputs two places and one place before each token."""
-    u, v = np.full(len(ids), START, np.int32), np.full(len(ids), START, np.int32)
+    u, v = np.full(len(ids), START, np.uint16), np.full(len(ids), START, np.uint16)
     v[1:], u[2:] = ids[:-1], ids[:-2]
     first = before[:-1]
     v[first] = u[first] = START
@@ -217,8 +253,11 @@ class Model:
         rw, rn = self.R[w], self.R[noise]
         true = np.einsum("ij,ij->i", h, rw) + self.b[w, 0] - log_noise[w]
         false = h @ rn.T + (self.b[noise, 0] - log_noise[noise])
-        g_true = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        g_false = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
+        g_true = 1 / (1 + np.exp(np.minimum(true, 60)))
+        np.negative(false, out=false)
+        g_false = np.exp(np.minimum(false, 60, out=false), out=false)
+        g_false += 1
+        np.divide(-1, g_false, out=g_false)
         gh = g_true[:, None] * rw + g_false @ rn
         both = np.concatenate([w, noise])
         self._add("R", both, np.concatenate([g_true[:, None] * h, g_false.T @ h]))
@@ -227,10 +266,10 @@ class Model:
         self._add("E2", u, gh)
 
 
-def _trainer(flat: bytes, top: list[bytes], unigram: np.ndarray, turn: int) -> Callable:
+def _trainer(flat: bytes, unigram: np.ndarray, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(np.frombuffer(flat, np.float32).copy())
-        table, seen = _Outputs(top), 0
+        seen = 0
         r = np.random.default_rng((turn, TaskContext.get().partitionId()))
         grid, log_noise = np.cumsum(unigram), np.log(NOISE * unigram).astype(np.float32)
         held: list[tuple[np.ndarray, ...]] = []
@@ -242,15 +281,15 @@ def _trainer(flat: bytes, top: list[bytes], unigram: np.ndarray, turn: int) -> C
                 order = a + r.permutation(min(BLOCK, len(w) - a))
                 for k in range(0, len(order), STEP):
                     at = order[k : k + STEP]
-                    noise = np.minimum(np.searchsorted(grid, r.random(NOISE)), OUTPUTS - 1).astype(np.int32)
+                    noise = np.minimum(np.searchsorted(grid, r.random(NOISE)), OUTPUTS - 1).astype(np.uint16)
                     model.step(u[at], v[at], w[at], noise, log_noise)
             return len(w)
 
-        for _, _, texts in _texts(batches):
-            ids, before = _ids(texts, table)
-            held.append((*_contexts(ids, before), ids))
-            if sum(len(x[0]) for x in held) >= BLOCK:
-                seen += learn()
+        for batch in batches:
+            for _, ids, before in _coded(batch["ids"]):
+                held.append((*_contexts(ids, before), ids))
+                if sum(len(x[0]) for x in held) >= BLOCK:
+                    seen += learn()
         if held:
             seen += learn()
         if seen:
@@ -285,106 +324,74 @@ def average(models: DataFrame) -> bytes | None:
     return bytes(row["model"]) if row else None
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> bytes:
-    """A model learnt from all of ``docs`` (text, part): an eighth of them, then the others from there."""
-    unigram, top = vocab.unigram(), vocab.top()
+def train(coded: DataFrame, unigram: np.ndarray) -> bytes:
+    """A model learnt from all rows of ``coded`` (ids, part): an eighth of them, then the others from there."""
     flat = Model.initial(unigram).flat.tobytes()
     for turn, rows in enumerate((F.col("part") == 0, F.col("part") != 0)):
-        made = docs.where(rows).select("text").mapInArrow(_trainer(flat, top, unigram, turn), "tokens long, model binary")
+        made = coded.where(rows).select("ids").mapInArrow(_trainer(flat, unigram, turn), "tokens long, model binary")
         flat = average(stored(made)) or flat
     return flat
 
 
 @lru_cache(maxsize=1)
-def _normalisers(flat: bytes) -> np.ndarray:
-    """log Z of every pair of context words [u, v], by one matrix product."""
+def _tables(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Products of all near contexts [v, w] and far ones [u, w] with all outputs, and log Z of every pair [u, v] by one matrix product."""
     m = Model(np.frombuffer(flat, np.float32))
-    near, far = (m.E1 @ m.R.T).astype(np.float64), (m.E2 @ m.R.T + m.b[:, 0]).astype(np.float64)
+    near, far = m.E1 @ m.R.T, m.E2 @ m.R.T + m.b[:, 0]
     a, b = near.max(1, keepdims=True), far.max(1, keepdims=True)
-    z = np.exp(far - b, out=far) @ np.exp(near - a, out=near).T
-    return (np.log(np.maximum(z, 1e-300)) + b + a.T).astype(np.float32)
+    z = np.exp((far - b).astype(np.float64)) @ np.exp((near - a).astype(np.float64)).T
+    return near, far, (np.log(np.maximum(z, 1e-300)) + b + a.T).astype(np.float32)
 
 
 def log_probabilities(flat: bytes, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Natural log-probability of each output ``w`` after ``u``, ``v``; over all outputs they sum to one."""
-    m, z, out = Model(np.frombuffer(flat, np.float32)), _normalisers(flat), np.empty(len(w))
-    for a in range(0, len(w), BLOCK):
-        at = slice(a, a + BLOCK)
-        h = m.E1[v[at]] + m.E2[u[at]]
-        out[at] = np.einsum("ij,ij->i", h, m.R[w[at]]) + m.b[w[at], 0] - z[u[at], v[at]]
-    return out
+    near, far, z = _tables(flat)
+    return near[v, w].astype(np.float64) + far[u, w] - z[u, v]
 
 
-def _scorer(flat: bytes, vocab: Vocabulary) -> Callable:
-    """Documents -> (doc_id, held_out, n_tokens, n_known, base_score, score, rest[]); words of ``rest`` are scored as unknown here."""
+def _scorer(flat: bytes) -> Callable:
+    """Coded documents -> (rid, score by the network and the classes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, places = vocab.top(), {w: i for i, w in enumerate(vocab.words)}
-        table = _Outputs(top)
-        known = len(places)
-        all_ = vocab.total + 0.5 * (vocab.distinct + 1)
-        base = np.log10((np.append(vocab.counts, 0) + 0.5) / all_)
-        within = np.zeros(known + 1)
-        mine = set(top)
-        for w, i in places.items():
-            if w not in mine:
-                c = word_class(w)
-                within[i] = math.log10((1 - vocab.class_unknown[c]) * vocab.counts[i] / vocab.class_counts[c])
-        unknown = np.log10(vocab.class_unknown)
-        for batch, row, texts in _texts(batches):
-            n = len(texts)
-            ids, before = _ids(texts, table)
-            get = places.get
-            at = np.array([p for t in texts for p in (*[get(w, known) for w in t], get(END, known))], np.int64)
-            u, v = _contexts(ids, before)
-            score = log_probabilities(flat, u, v, ids) / math.log(10) + within[at]
-            rest = at == known
-            score[rest] += np.where(ids[rest] >= TOP, unknown[np.maximum(ids[rest] - TOP, 0)], 0.0)
-            sums = lambda x: np.add.reduceat(x, before[:-1])
-            bounds, rare, times = [0], [], []
-            for t in texts:
-                found = Counter(w for w in t if w not in places)
-                rare.extend(found)
-                times.extend(found.values())
-                bounds.append(len(rare))
-            lists = pa.ListArray.from_arrays(
-                pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"].slice(row, n), batch["held_out"].slice(row, n), pa.array(np.diff(before)),
-                    pa.array(sums((~rest).astype(np.int64))), pa.array(sums(base[at])), pa.array(sums(score)), lists,
-                ],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
+        for batch in batches:
+            whole = batch["within"].to_numpy(zero_copy_only=False).copy()
+            for row, ids, before in _coded(batch["ids"]):
+                u, v = _contexts(ids, before)
+                whole[row : row + len(before) - 1] += np.add.reduceat(log_probabilities(flat, u, v, ids), before[:-1]) / math.log(10)
+            kept = [c for c in batch.schema.names if c not in ("ids", "within")]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in kept], pa.array(whole)], names=[*kept, "score"])
 
     return run
 
 
+def _class(word: str) -> Column:
+    return (F.crc32(F.expr(f"substring({word}, -2, 2)")) % CLASSES).cast("int")
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     docs = docs.select("doc_id", "text", (F.crc32(name) % 5 == 1).alias("held_out"), F.pmod(F.xxhash64(name), F.lit(8)).alias("part"))
-    learnt = docs.where(~F.col("held_out"))
-    counts = stored(learnt.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = stored(docs.where(~F.col("held_out")).select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     vocab = vocabulary(counts)
-    flat = train(learnt.select("text", "part"), vocab)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Stored, so that a row's number stays its own.
-    scored = stored(docs.select("doc_id", "text", "held_out").mapInArrow(
-        _scorer(flat, vocab), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,n:long>>"
-    )).withColumn("rid", F.monotonically_increasing_id())
-    scarce = counts.where((F.col("word") != F.lit(END)) & ((F.col("n") < vocab.least) | (F.length("word") > LONGEST))).select(
-        "word", F.col("n").alias("c"), (F.crc32(F.expr("substring(word, -2, 2)")) % CLASSES).cast("int").alias("k")
-    )
-    per = F.array(*[F.lit(float(math.log10((1 - g) / (n * g)))) if n > 0 and g < 1 else F.lit(0.0) for n, g in zip(vocab.class_counts, vocab.class_unknown, strict=True)])
-    scarce = scarce.select("word", F.log10(F.col("c") * 2 + 1).alias("more_base"), (F.log10("c") + F.element_at(per, F.col("k") + 1)).alias("more_score"))
-    rare = scored.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", "r.n").join(scarce, "word")
+    head = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double"
+    coded = stored(docs.mapInArrow(
+        _encoder(vocab), f"rid long, doc_id {kind}, held_out boolean, part long, n_tokens long, n_known long, base_score double, within double, "
+        "ids binary, rest array<struct<word:binary,n:long>>"
+    ))
+    flat = train(coded.where(~F.col("held_out")).select("ids", "part"), vocab.unigram())
+    scored = coded.select(*[x.split()[0] for x in head.split(", ")], "within", "ids").mapInArrow(_scorer(flat), f"{head}, score double")
+    scarce = counts.where((F.col("word") != F.lit(END)) & ((F.col("n") < vocab.least) | (F.length("word") > LONGEST)))
+    per = F.array(*[F.lit(float(math.log10((1 - g) / (n * g)))) if n > 0 else F.lit(0.0) for n, g in zip(vocab.class_counts, vocab.class_unknown, strict=True)])
+    scarce = scarce.select("word", F.log10(F.col("n") * 2 + 1).alias("more_base"), (F.log10("n") + F.element_at(per, _class("word") + 1)).alias("more_score"))
+    rare = coded.select("rid", F.explode("rest").alias("r")).select("rid", "r.word", "r.n").join(scarce, "word")
     corrected = rare.groupBy("rid").agg(
         F.sum("n").alias("more_known"), F.sum(F.col("n") * F.col("more_base")).alias("more_base"), F.sum(F.col("n") * F.col("more_score")).alias("more_score")
     )
     none = F.lit(0.0)
-    return scored.drop("rest").join(corrected, "rid", "left").select(
+    return scored.join(corrected, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", none)).alias("base_score"), (F.col("score") + F.coalesce("more_score", none)).alias("score"),
