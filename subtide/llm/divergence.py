@@ -37,7 +37,7 @@ LEAST_DOCS, BEST, SMOOTH = 30, 50, 5
 #: Numbers of a block, and the fewest and most terms of one.
 CELLS, FEWEST, MOST = 1 << 18, 256, 4096
 #: Distinct terms that a counting task holds before it passes them on.
-HELD = 400_000
+HELD = 300_000
 
 #: Terms are runs of letters and of anything beyond ASCII; the rest becomes a space.
 _TERM = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -77,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shares(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
     """1 + floor(10**9 * (count + 5) / (N + 5 * V)) by long division, three digits at a time."""
-    rest, below = counts + SMOOTH, totals + SMOOTH * kept
+    rest, below = counts + SMOOTH, np.maximum(totals + SMOOTH * kept, 1)
     out, rest = rest // below, rest % below
     for _ in range(3):
         rest = rest * 1000
@@ -91,23 +91,21 @@ def pair_part(p: np.ndarray) -> np.ndarray:
     return np.concatenate([np.abs(p[i : i + rows, None, :] - p[None, :, :]).sum(2) for i in range(0, len(p), rows)])
 
 
-def _tile(terms: pa.Table, group: pa.Table) -> pa.Table:
-    """One block of a language: its terms (term, n_lang, by[source, n]) and its row of groups (sources, totals, kept) -> pair part and best terms."""
-    sources = group["sources"].combine_chunks().flatten()
-    totals, kept = group["totals"].combine_chunks().flatten().to_numpy(), group["kept"][0].as_py()
-    lang, names = group["language"][0].as_py(), terms["term"].combine_chunks() if len(terms) else pa.array([], pa.string())
-    order = pc.array_sort_indices(names)
-    names = names.take(order)
+def _tile(table: pa.Table) -> pa.Table:
+    """One block of a language, rows (lang, kept, term, source, n) -> its pair part and best terms.
+
+    The rows of no term are the language's sources with their totals; ``kept`` is its number of terms.
+    """
+    lang, kept = table["lang"][0].as_py(), table["kept"][0].as_py()
+    blank = pc.equal(table["term"], "")
+    head, rows = table.filter(blank), table.filter(pc.invert(blank))
+    sources, totals = head["source"].combine_chunks(), head["n"].to_numpy()
+    names = pc.unique(rows["term"])
+    names = names.take(pc.array_sort_indices(names))
+    place = lambda c, values: pc.index_in(rows[c], value_set=values).to_numpy()
     counts = np.zeros((len(sources), len(names)), np.int64)
-    p = counts
-    q = np.zeros(0, np.int64)
-    if len(names):
-        terms = terms.take(order)
-        by, own = terms["by"].combine_chunks(), terms["n_lang"].to_numpy()
-        entries = by.flatten()
-        at = pc.index_in(entries.field("source"), value_set=sources).to_numpy()
-        counts[at, np.repeat(np.arange(len(names)), by.value_lengths().to_numpy())] = entries.field("n").to_numpy()
-        p, q = shares(counts, totals[:, None], kept), shares(own, totals.sum(), kept)
+    counts[place("source", sources), place("term", names)] = rows["n"].to_numpy()
+    p, q = shares(counts, totals[:, None], kept), shares(counts.sum(0), totals.sum(), kept)
     part = pair_part(p)
     i, j = np.nonzero(~np.eye(len(sources), dtype=bool))
     owner, item, value = [i], [sources.take(pa.array(j))], [part[i, j]]
@@ -131,22 +129,17 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     counts = blank.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(
         F.sum("n").alias("n"), F.sum("docs").alias("docs")
     )
-    gathered = counts.groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
-    kept = stored(gathered.where((F.col("docs") >= least_docs) | (F.col("term") == "")))
-    # The row of no term has every group of its language, so it counts as one of the language's rows.
-    totals = kept.select("lang", F.explode("by").alias("b")).groupBy("lang", "b.source").agg(F.sum("b.n").alias("total"))
-    sizes = kept.groupBy("lang").agg((F.count(F.lit(1)) - 1).alias("kept"))
-    terms = F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.floor(F.lit(CELLS) / F.size("sources"))))
-    langs = totals.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total"))).alias("g")).join(sizes, "lang").select(
-        "lang", F.col("g.source").alias("sources"), F.col("g.total").alias("totals"), "kept"
-    ).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("kept") / terms)).cast("int"))
-    groups = langs.select(F.col("lang").alias("language"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sources", "totals", "kept")
-    dealt = kept.where("term <> ''").join(langs.select("lang", "blocks"), "lang").select(
-        "lang", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block"), "term", "n_lang", "by"
-    )
-    parts = dealt.groupBy("lang", "block").cogroup(groups.groupBy("language", "block")).applyInArrow(
-        _tile, "lang string, source string, part string, item string, value long"
-    )
+    within = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    kept = stored(counts.withColumn("docs", within).where((F.col("docs") >= least_docs) | (F.col("term") == "")).drop("docs"), "snappy")
+    # The rows of no term have every group of a language, and each term is a term of its own.
+    totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    terms = kept.where("term <> ''").select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
+    sizes = totals.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(terms, "lang", "left").select(
+        "lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.floor(F.lit(CELLS) / F.col("sources")))).alias("wide")
+    ).select("lang", "kept", F.greatest(F.lit(1), F.ceil(F.col("kept") / F.col("wide"))).cast("int").alias("blocks"))
+    dealt = kept.where("term <> ''").join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    heads = totals.withColumn("term", F.lit("")).join(sizes, "lang").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = heads.unionByName(dealt).groupBy("lang", "block").applyInArrow(_tile, "lang string, source string, part string, item string, value long")
     whole = parts.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return whole.withColumn("rank", F.row_number().over(order)).where((F.col("part") == "pair") | (F.col("rank") <= BEST))

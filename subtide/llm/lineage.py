@@ -34,10 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: no recomputation, no lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     for tables in _SCOPES[-1:]:
         tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
