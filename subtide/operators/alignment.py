@@ -8,24 +8,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subtide.functions.folds import collected
+
 
 def greedy_offsets(text: Column, words: Column) -> Column:
     """array<struct<word, start>>: each word's first place at or after the end of the one before.
 
     Places count from 0; a word that is not found has a null start and does not move the cursor.
     """
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<word:string,start:int>>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
-        tail = F.substring(text, a["at"], F.greatest(F.char_length(text) - a["at"] + 1, F.lit(0)))
-        hit = F.position(w, tail)
-        place = F.when(hit > 0, a["at"] + hit - 1)
-        return F.struct(
-            F.coalesce(place + F.char_length(w), a["at"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct(w.alias("word"), (place - 1).alias("start")))).alias("out"),
-        )
+    def place(at: Column, w: Column) -> Column:
+        return F.nullif(F.call_function("locate", w, text, at), F.lit(0))
 
-    return F.aggregate(words, zero, step, lambda a: a["out"])
+    return collected(
+        words, F.lit(1), lambda at, w: F.coalesce(place(at, w) + F.char_length(w), at),
+        lambda at, w: F.struct(w.alias("word"), (place(at, w) - 1).alias("start")), "struct<word:string,start:int>",
+    )
 
 
 def align_groups(groups: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
@@ -96,58 +93,3 @@ def detect(chunks: DataFrame, backend: Callable[[pd.DataFrame], pd.DataFrame], s
             yield backend(b)
 
     return chunks.mapInPandas(run, schema)
-
-
-def activity_bins(spans: DataFrame, keys: Sequence[str], start: str, end: str, step: int) -> DataFrame:
-    """(keys, bin): the steps of ``step`` that a span of positive length touches, each once."""
-    bins = F.sequence(F.floor(F.col(start) / step), F.floor((F.col(end) - 1) / step))
-    return spans.where(F.col(end) > F.col(start)).select(*keys, F.explode(bins).alias("bin")).distinct()
-
-
-def best_lags(speech: DataFrame, cues: DataFrame, key: str, candidate: str, most: int) -> DataFrame:
-    """Per (key, candidate) the lag within ``most`` bins at which its cue bins meet the most speech bins.
-
-    Ties go to the smallest shift, then to the earlier one. ``second`` is the best
-    count at lags that are not next to it: a peak far above it is sharp. A cue bin
-    is joined at ``2 * most + 1`` lags, whatever the length of the track.
-    """
-    shifted = cues.select(key, candidate, "bin", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
-    met = shifted.withColumn("bin", F.col("bin") + F.col("lag")).join(speech.select(key, "bin"), [key, "bin"])
-    scores = met.groupBy(key, candidate, "lag").agg(F.count(F.lit(1)).alias("matched"))
-    ranked = F.struct("matched", (-F.abs("lag")).alias("near"), (-F.col("lag")).alias("early"))
-    per = scores.groupBy(key, candidate).agg(F.max(ranked).alias("best"), F.collect_list(F.struct("lag", "matched")).alias("all"))
-    lag = -F.col("best.early")
-    apart = F.filter("all", lambda x: F.abs(x["lag"] - lag) > 1)
-    found = per.select(key, candidate, lag.alias("lag"), F.col("best.matched").alias("matched"), F.coalesce(F.array_max(F.transform(apart, lambda x: x["matched"])), F.lit(0)).alias("second"))
-    sizes = cues.groupBy(key, candidate).agg(F.count(F.lit(1)).alias("cue_bins"))
-    spoken = speech.groupBy(key).agg(F.count(F.lit(1)).alias("speech_bins"))
-    whole = sizes.join(found, [key, candidate], "left").join(spoken, key, "left")
-    matched = F.coalesce("matched", F.lit(0))
-    return whole.select(
-        key, candidate, "lag", matched.alias("matched"), F.coalesce("second", F.lit(0)).alias("second"),
-        (F.col("cue_bins") - matched).alias("cues_unmatched"), (F.coalesce("speech_bins", F.lit(0)) - matched).alias("speech_unmatched"),
-    )
-
-
-def local_fit(speech: DataFrame, cues: DataFrame, key: str, candidate: str, most: int, width: int, drift: float) -> DataFrame:
-    """Per (key, candidate) the line through the best lags of windows of ``width`` bins that start every half width, and a verdict.
-
-    A window counts where half of its cue bins, and two at least, meet speech.
-    The slope is in bins per window, to four digits; it is null where fewer than two windows count.
-    """
-    hop = width // 2
-    at = F.floor(F.col("bin") / hop)
-    part = lambda w: F.struct(F.col(candidate).alias("c"), w.alias("w"))
-    windowed = cues.select(key, F.explode(F.array(part(at - 1), part(at))).alias("part"), "bin")
-    lags = best_lags(speech, windowed, key, "part", most)
-    usable = (F.col("matched") >= 2) & (F.col("matched") >= F.col("cues_unmatched"))
-    of = lambda c: F.when(usable, c)
-    per = lags.groupBy(key, F.col("part.c").alias(candidate)).agg(
-        F.count(F.lit(1)).alias("windows"), F.count(of(F.lit(1))).alias("usable"), F.coalesce(F.sum(of(F.col("lag"))), F.lit(0)).alias("total"),
-        F.round(F.regr_slope(of(F.col("lag").cast("double")), of(F.col("part.w").cast("double"))), 4).alias("slope"),
-    )
-    verdict = (
-        F.when(F.col("usable") == 0, "bad_candidate").when(F.col("usable") * 2 < F.col("windows"), "weak_match")
-        .when(F.abs("slope") >= drift, "possible_drift").when(F.abs("total") < F.col("usable"), "good_match").otherwise("constant_offset")
-    )
-    return per.select(key, candidate, "windows", "usable", F.when(F.col("usable") > 1, F.col("slope") + 0.0).alias("slope"), verdict.alias("verdict"))

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from subtide.functions.folds import collected
+from subtide.operators.ranges import overlap_join
+
 
 def _running_end(keys: Sequence[str], start: str, end: str, value: str) -> Column:
     w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
@@ -98,19 +101,18 @@ def nearest_gap_cut(targets: DataFrame, spans: DataFrame, keys: Sequence[str], t
     """Each target's cut: the nearest gap (start, end) that meets [lo, hi], the target clamped into it.
 
     Ties go to the longer gap, then the earlier one. Without a gap the cut is the
-    target clamped to its bounds, with score 0.
+    target clamped to its bounds, with score 0. A range join by cells of time; equal targets are one row.
     """
-    g = spans.withColumnRenamed("start", "_gs").withColumnRenamed("end", "_ge")
-    on = [F.col(f"t.{k}") == F.col(f"g.{k}") for k in keys] + [F.col("g._gs") < F.col(f"t.{hi}"), F.col("g._ge") > F.col(f"t.{lo}")]
-    joined = targets.alias("t").join(g.alias("g"), on, "left")
+    g = spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    each = targets.distinct()
+    met = overlap_join(each, g, keys, (lo, hi), ("_s", "_e"))
     t = F.col(target)
-    some = F.col("_gs").isNotNull()  # greatest() passes over nulls
-    gs, ge = F.when(some, F.greatest("_gs", lo)), F.when(some, F.least("_ge", hi))
-    distance = F.when(t < gs, gs - t).when(t > ge, t - ge).otherwise(F.lit(0).cast("double"))
-    ranked = joined.select(*[F.col(f"t.{c}").alias(c) for c in targets.columns], gs.alias("_gs"), ge.alias("_ge"), distance.cast("double").alias("_d"))
-    best = ranked.groupBy(*targets.columns).agg(
-        F.min(F.when(F.col("_gs").isNotNull(), F.struct("_d", (F.col("_gs") - F.col("_ge")).alias("_l"), "_gs", "_ge"))).alias("b")
-    )
+    gs, ge = F.greatest("_s", lo), F.least("_e", hi)
+    distance = F.when(t < gs, gs - t).when(t > ge, t - ge).otherwise(F.lit(0).cast("double")).cast("double")
+    ranked = F.struct(distance.alias("_d"), (gs - ge).alias("_l"), gs.alias("_gs"), ge.alias("_ge"))
+    found = met.groupBy(*targets.columns).agg(F.min(ranked).alias("b"))
+    none = each.select("*", F.lit(None).cast(found.schema["b"].dataType).alias("b"))
+    best = found.unionByName(none).groupBy(*targets.columns).agg(F.min("b").alias("b"))
     cut = F.when(F.col("b").isNull(), F.least(F.col(hi), F.greatest(F.col(lo), t))).otherwise(F.least(F.col("b._ge"), F.greatest(F.col("b._gs"), t)))
     score = F.when(F.col("b").isNull(), 0.0).otherwise(1 / (1 + F.abs(cut - t)))
     return best.select(*targets.columns, cut.alias("cut"), score.alias("score"), F.col("b").isNull().alias("fallback"))
@@ -122,11 +124,8 @@ def split_targets(df: DataFrame, keys: Sequence[str], lo: str, hi: str, every: f
     Targets come from repeated addition, as a loop would give them.
     """
     steps = F.greatest(F.ceil((F.col(hi) - F.col(lo)) / every).cast("int"), F.lit(1))
-    sums = F.aggregate(
-        F.sequence(F.lit(1), steps),
-        F.array(F.col(lo).cast("double")),
-        lambda a, _: F.concat(a, F.array(F.element_at(a, -1) + every)),
-    )
+    from_lo = F.transform(F.sequence(F.lit(0), steps), lambda i: F.when(i == 0, F.col(lo).cast("double")).otherwise(F.lit(float(every))))
+    sums = collected(from_lo, F.lit(0.0), lambda a, x: a + x, lambda a, x: a + x, "double")
     out = df.select(*keys, lo, hi, F.posexplode(F.filter(F.slice(sums, F.lit(2), F.size(sums)), lambda t: t < F.col(hi))).alias("index", "target"))
     return out.select(*keys, "index", "target", F.greatest(lo, F.col("target") - radius).alias("from"), F.least(hi, F.col("target") + radius).alias("to"))
 
@@ -144,26 +143,29 @@ def shift(start: Column, end: Column, by: float, clamp: bool = True) -> tuple[Co
 def asof_first_end(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, end: str, value: str) -> DataFrame:
     """Each point with the ``value`` of the first span whose end is not before it, else the last span's.
 
-    A union of both sides and two ordered windows: linear in rows, no range join.
+    A union of both sides, walked from the last time to the first with one
+    running value: linear in rows, no range join. Of spans with equal ends the least value counts first and the greatest last.
     """
     p = points.withColumn("_at", F.col(at)).withColumn("_k", F.lit(0))
     s = spans.select(*keys, F.col(end).alias("_at"), F.lit(1).alias("_k"), F.struct(F.col(end).alias("_end"), F.col(value).alias("_v")).alias("_span"))
     both = p.unionByName(s, allowMissingColumns=True)
-    after = Window.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy(*keys)
-    found = both.withColumn("_next", F.first("_span", ignorenulls=True).over(after)).withColumn("_last", F.max("_span").over(every))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_k"), F.desc("_span")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_next", F.last("_span", ignorenulls=True).over(back)).withColumn("_last", F.max("_span").over(Window.partitionBy(*keys)))
     return found.where("_k = 0").select(*points.columns, F.coalesce("_next._v", "_last._v").alias(value))
 
 
 def max_overlap(cells: DataFrame, spans: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
-    """Each cell (start, end) with the index of the span that overlaps it most, the earliest of equals."""
-    on = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in keys] + [F.col("s.start") < F.col("c.end"), F.col("c.start") < F.col("s.end")]
-    over = F.least("c.end", "s.end") - F.greatest("c.start", "s.start")
-    joined = cells.alias("c").join(spans.alias("s"), on, "left")
-    best = joined.groupBy(*[F.col(f"c.{x}").alias(x) for x in cells.columns]).agg(
-        F.min(F.when(F.col(f"s.{index}").isNotNull(), F.struct((-over).alias("o"), F.col(f"s.{index}").alias("i")))).alias("b")
-    )
-    return best.select(*cells.columns, F.col("b.i").alias(index), (-F.col("b.o")).alias("overlap"))
+    """Each cell (start, end) with the index of the span that overlaps it most, the earliest of equals.
+
+    A range join by cells of time: work follows the number of overlaps. Equal cells are one row.
+    """
+    s = spans.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col(index).alias("_i"))
+    over = F.least("end", "_e") - F.greatest("start", "_s")
+    met = overlap_join(cells.distinct(), s, keys, ("start", "end"), ("_s", "_e"))
+    best = met.groupBy(*cells.columns).agg(F.min(F.struct((-over).alias("o"), F.col("_i").alias("i"))).alias("b"))
+    none = cells.distinct().select(*cells.columns, F.lit(None).cast(best.schema["b"].dataType).alias("b"))
+    whole = best.unionByName(none).groupBy(*cells.columns).agg(F.min("b").alias("b"))
+    return whole.select(*cells.columns, F.col("b.i").alias(index), (-F.col("b.o")).alias("overlap"))
 
 
 def debounce(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:

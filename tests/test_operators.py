@@ -193,23 +193,6 @@ def test_path_events_and_first_seen(spark):
     assert rows(got) == [("a/.media.json", 1), ("b/.media.json", 1)]
 
 
-def test_lags_and_verdicts(spark):
-    import random
-
-    r = random.Random(3)
-    bins = sorted(r.sample(range(1000), 300))
-    speech = spark.createDataFrame([("a", b) for b in bins], "track string, bin long")
-    rows = [("a", "same", b) for b in bins] + [("a", "shifted", b - 3) for b in bins] + [("a", "drifting", b - b // 100) for b in bins] + [("b", "alone", 1), ("a", "far", 9000)]
-    cues = spark.createDataFrame(rows, "track string, file string, bin long").distinct()
-    best = {x["file"]: x for x in alignment.best_lags(speech, cues, "track", "file", 12).collect()}
-    assert (best["same"]["lag"], best["same"]["matched"], best["same"]["speech_unmatched"]) == (0, 300, 0)
-    assert best["shifted"]["lag"] == 3 and best["shifted"]["second"] < 200
-    assert best["alone"]["lag"] is None and best["alone"]["cues_unmatched"] == 1 and best["far"]["matched"] == 0
-    fits = {x["file"]: x["verdict"] for x in alignment.local_fit(speech, cues, "track", "file", 12, 100, 0.25).collect()}
-    assert fits == {"same": "good_match", "shifted": "constant_offset", "drifting": "possible_drift", "alone": "bad_candidate", "far": "bad_candidate"}
-    assert alignment.best_lags(speech, cues.limit(0), "track", "file", 12).count() == 0
-
-
 def test_hidden_files_are_read_in_tasks(spark, tmp_path):
     from subtide.sources import files
 
