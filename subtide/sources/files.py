@@ -1,4 +1,4 @@
-"""File scans: JSON arrays and lines, id lists, CSV with a declared schema."""
+"""File scans: JSON lines, id lists, CSV with a declared schema; JSON arrays are read by ``json_arrays``."""
 
 from __future__ import annotations
 
@@ -6,27 +6,18 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from subtide.sources.json_arrays import read_json_array  # noqa: F401
+from subtide.sources.storage import located
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """CSV with quoted line feeds under a declared schema; rows without a key are dropped."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"').where(F.col(key).isNotNull())
 
 
-def read_json_array(spark: SparkSession, path: str, element: str) -> DataFrame:
-    """(row_id, element fields) of JSON documents that are arrays; row ids start at 1.
-
-    A document that is not an array of objects fails the read.
-    """
-    raw = spark.read.text(path, wholetext=True)
-    ok = F.col("value").rlike(r"^\s*\[")
-    checked = F.when(ok, F.from_json("value", f"array<{element}>", {"mode": "FAILFAST"})).otherwise(F.raise_error(F.lit("the document is not a JSON array")))
-    return raw.select(F.posexplode(checked).alias("pos", "e")).select((F.col("pos") + 1).cast("long").alias("row_id"), "e.*")
-
-
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str) -> DataFrame:
     """JSON lines, plain or gzipped; a malformed line fails the read, blank ones are skipped."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
@@ -53,7 +44,7 @@ def _read_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
         for p in b["path"].to_pylist():
-            where, path = pa_fs.FileSystem.from_uri(p if "://" in p or p.startswith("file:") else f"file://{p}")
+            where, path = located(p)
             with where.open_input_stream(path, compression=None) as stream:
                 texts.append(stream.read().decode("utf-8"))
         yield pa.RecordBatch.from_arrays([b["path"], pa.array(texts, pa.string())], names=["path", "value"])
