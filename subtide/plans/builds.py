@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.functions import filenames as N
+from subtide.functions import release_names as R
 from subtide.operators import alignment as A
 from subtide.operators import crosswalk as X
 from subtide.operators import intervals as I
@@ -29,7 +30,7 @@ def methods(spark: SparkSession, sf: str) -> DataFrame:
 def suggestion(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey") % 90 + 1
     name = F.when(F.col("p_partkey") % 3 == 0, F.format_string("Name - %02d.srt", k)).when(F.col("p_partkey") % 3 == 1, F.format_string("Name %02d-%02d.srt", k, k + 3)).otherwise("Name batch 07.srt")
-    return table(spark, sf, "part").select("p_partkey", N.suggested_episode(name).alias("episode"))
+    return table(spark, sf, "part").select("p_partkey", R.ordinary_episode(name).alias("episode"))
 
 
 @query(

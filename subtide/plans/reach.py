@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from subtide.functions import filenames as N
+from subtide.functions import release_names as names_of
 from subtide.functions import text as T
 from subtide.operators import alignment as A
 from subtide.operators import cleaning as C
@@ -52,25 +53,32 @@ def other_store(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "region").join(n, "r_regionkey", "left").select(F.col("r_name").alias("key"), F.coalesce("n", F.lit(0)).cast("string").alias("value"))
 
 
-_NAME = "'[Group ' || chr(65 + p_size % 7) || '] ' || p_name || CASE p_size % 4 WHEN 0 THEN ' S01E' || lpad((p_size % 30 + 1)::VARCHAR, 2, '0') WHEN 1 THEN ' - ' || lpad((p_size % 24 + 1)::VARCHAR, 2, '0') WHEN 2 THEN '' ELSE ' ep' || (p_size % 12 + 1) END || ' [1080p].mkv'"
-_NUMBER = "CASE p_size % 4 WHEN 0 THEN p_size % 30 + 1 WHEN 1 THEN p_size % 24 + 1 WHEN 3 THEN p_size % 12 + 1 END"
+_FIRST = "(p_size % 24 + 1)"
+#: A name a part, in eight forms; # is the first episode, and ranges and lists go on from it.
+_FORMS = """CASE p_size % 8 WHEN 0 THEN ' S01E' || # WHEN 1 THEN ' - ' || # || 'v2' WHEN 2 THEN '' WHEN 3 THEN ' ep' || # WHEN 4 THEN ' S02E' || # || '-E' || (# + p_partkey % 5 + 1)
+    WHEN 5 THEN ' - ' || # || '+' || (# + 1) WHEN 6 THEN ' ' || # || '.5' ELSE ' [' || # || ']' END""".replace("#", _FIRST)
+_NAME = f"'[Group ' || chr(65 + p_size % 7) || '] ' || p_name || {_FORMS} || ' [1080p].mkv'"
+_EPISODES = "CASE p_size % 8 WHEN 2 THEN [] WHEN 4 THEN range(#, # + p_partkey % 5 + 2) WHEN 5 THEN [#, # + 1] WHEN 6 THEN [] ELSE [#] END".replace("#", _FIRST)
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.expr(_NAME.replace("::VARCHAR", "::string")).alias("name"))
+    return table(spark, sf, "part").select("p_partkey", F.expr(_NAME).alias("name"))
 
 
-@query("a30_parsed_file_name", f"SELECT p_partkey, p_name AS title, coalesce(({_NUMBER})::VARCHAR, '') AS episodes FROM part")
+@query(
+    "a30_parsed_file_name",
+    f"""SELECT p_partkey, p_name AS title, 'Group ' || chr(65 + p_size % 7) AS grp, CASE p_size % 8 WHEN 0 THEN 1 WHEN 4 THEN 2 END AS season, array_to_string({_EPISODES}, ',') AS episodes,
+        CASE WHEN p_size % 8 = 6 THEN (p_size % 24 + 1) || '.5' ELSE '' END AS fractions, p_size % 8 IN (4, 5, 6) AS ambiguous FROM part""",
+)
 def parsed_name(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("name")
-    title = F.regexp_replace(F.regexp_replace(n, r"^\[[^\]]*\]\s*|\s*\[[^\]]*\]|\.[^.]+$", ""), r"(?i)\s+(?:S\d+E\d+|ep\d+|- \d+)$", "")
-    return names(spark, sf).select("p_partkey", T.squeeze(title).alias("title"), F.coalesce(N.episode(n)["local"].cast("string"), F.lit("")).alias("episodes"))
+    p = names(spark, sf).select("p_partkey", names_of.parsed_name(F.col("name")).alias("p"))
+    listed = F.array_join(F.transform("p.episodes", lambda n: n.cast("string")), ",")
+    return p.select("p_partkey", "p.title", F.col("p.group").alias("grp"), "p.season", listed.alias("episodes"), F.array_join("p.fractions", ",").alias("fractions"), "p.ambiguous")
 
 
-@query("j12_runtime_episodes", f"SELECT p_partkey, CASE WHEN {_NUMBER} IS NULL THEN 0 ELSE 1 END AS n, coalesce({_NUMBER}, 0) AS first FROM part")
+@query("j12_runtime_episodes", f"SELECT p_partkey, unnest({_EPISODES})::INT AS episode FROM part")
 def runtime_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.filter(F.array(N.episode(F.col("name"))["local"]), lambda x: x.isNotNull())
-    return names(spark, sf).select("p_partkey", F.size(found).alias("n"), F.coalesce(F.get(found, 0), F.lit(0)).alias("first"))
+    return names(spark, sf).select("p_partkey", F.explode(names_of.episode_numbers(F.col("name"))).alias("episode"))
 
 
 @query("a31_last_decision", "SELECT source, max_by(event_type, event_id) AS decision FROM (SELECT nullif(user_id % 50, 7) AS source, event_type, event_id FROM events) WHERE source IS NOT NULL GROUP BY source")
@@ -79,7 +87,7 @@ def last_decision(spark: SparkSession, sf: str) -> DataFrame:
     return U.latest(e, "source", "decision", "event_id")
 
 
-@query("a29_coverage_row", f"SELECT p_partkey, p_name AS title, coalesce(nullif(p_type, ''), '') AS kind, coalesce({_NUMBER}, -1) AS episode, '1080p' AS tag FROM part")
+@query("a29_coverage_row", "SELECT p_partkey, p_name AS title, coalesce(nullif(p_type, ''), '') AS kind, CASE WHEN p_size % 8 IN (1, 2) THEN -1 ELSE p_size % 24 + 1 END AS episode, '1080p' AS tag FROM part")
 def coverage_row(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("title"), F.coalesce("p_type", F.lit("")).alias("kind"))
     n = names(spark, sf).select("p_partkey", F.coalesce(N.episode(F.col("name"))["local"], F.lit(-1)).alias("episode"), F.element_at(N.tags(F.col("name")), -1).alias("tag"))
