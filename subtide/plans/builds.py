@@ -11,6 +11,7 @@ from subtide.functions import release_names as R
 from subtide.operators import alignment as A
 from subtide.operators import crosswalk as X
 from subtide.operators import intervals as I
+from subtide.operators import language as L
 from subtide.plans import crosswalk as bridge_source
 from subtide.plans.intervals import spans
 from subtide.plans.parsing import names
@@ -128,10 +129,43 @@ def detect_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return I.merge_spans(found, ["user_id"], "start", "end")
 
 
-@query("n06_tokens_without_punctuation", "SELECT conv_id, turn, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS tokens FROM conversations")
+@query(
+    "n06_tokens_without_punctuation",
+    "SELECT p_partkey, k - 1 AS index, w[k] AS token, (CASE WHEN k = 1 THEN 0 ELSE len(array_to_string(w[1:k - 1], '')) + 2 * (k = 2)::INT + 2 * (k > 2)::INT END)::INT AS start FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, unnest(range(1, len(string_split(p_name, ' ')) + 1))::INT AS k FROM part)",
+)
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(t).cast("long").alias("tokens"))
+    """Names of parts without their spaces, a mark after the first word, cut by a lexicon of all names' words."""
+    part = table(spark, sf, "part")
+    known = L.lexicon(part.select(F.explode(F.split("p_name", " ")).alias("w")), "w")
+    joined = F.concat(F.substring_index("p_name", " ", 1), F.lit("。!"), F.replace(F.substr("p_name", F.instr("p_name", " ") + 1), F.lit(" "), F.lit("")))
+    return L.segment(part.select("p_partkey", joined.alias("text")), known, "p_partkey", "text").select("p_partkey", "index", "token", "start")
+
+
+_GRAMS = r"""ln AS (SELECT doc_id, lang, line_no, ' ' || trim(regexp_replace(regexp_replace(lower(line), '\p{Nd}', '0', 'g'), '\s+', ' ', 'g')) || ' ' AS p
+  FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents) WHERE trim(line) <> ''),
+g AS (SELECT doc_id, lang, line_no, unnest([p[i:i + 2] FOR i IN range(1, len(p) - 1)]) AS gram FROM ln),
+c AS (SELECT gram, lang, count(*) AS c FROM g WHERE doc_id % 5 <> 1 GROUP BY ALL),
+k AS (SELECT gram FROM c GROUP BY gram HAVING sum(c) >= 3), v AS (SELECT count(*) AS v FROM k),
+t AS (SELECT lang, sum(c) AS total FROM c JOIN k USING (gram) GROUP BY lang),
+m AS (SELECT k.gram, t.lang, ln((coalesce(c.c, 0) + 0.5::DOUBLE) / (t.total + 0.5::DOUBLE * v.v)) AS weight FROM k CROSS JOIN t CROSS JOIN v LEFT JOIN c ON c.gram = k.gram AND c.lang = t.lang),
+s AS (SELECT doc_id, line_no, m.lang, round(sum(n * weight), 6) AS score FROM (SELECT doc_id, line_no, gram, count(*) AS n FROM g GROUP BY ALL) JOIN m USING (gram) GROUP BY ALL),
+b AS (SELECT doc_id, line_no, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY score DESC, lang) = 1)"""
+
+
+@query(
+    "n01_language_of_line",
+    f"WITH {_GRAMS} SELECT ln.doc_id, ln.lang, ln.doc_id % 5 = 1 AS held_out, count(*) AS lines, count(*) FILTER (b.lang = ln.lang) AS agreed FROM ln LEFT JOIN b USING (doc_id, line_no) GROUP BY ALL",
+)
+def line_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of every line of the documents, by a model of four fifths of them."""
+    d = table(spark, sf, "documents")
+    lines = d.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    model = L.train_languages(lines.where("doc_id % 5 <> 1"), "line", "lang")
+    told = L.detect_language(lines, model, ["doc_id", "line_no"], "line")
+    whole = lines.select("doc_id", "lang", "line_no").join(told, ["doc_id", "line_no"])
+    return whole.groupBy("doc_id", "lang", (F.col("doc_id") % 5 == 1).alias("held_out")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count(F.when(F.col("language") == F.col("lang"), 1)).alias("agreed")
+    )
 
 
 @query("n08_prompt_layout", "SELECT p_partkey, '<|start|>' || replace(p_name, ' ', '<|t|><|start|>') || '<|t|>' AS prompt FROM part")
