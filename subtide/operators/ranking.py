@@ -26,3 +26,14 @@ def places(rows: DataFrame, bucket: list[Column], order: list[Column | str], key
     local = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     placed = named.withColumn("_local", local).join(begins, same)
     return placed.withColumn(into, (F.col("_before") + F.col("_local")).cast("long")).drop(*names, *(f"_of_{c}" for c in group), "_before", "_local")
+
+
+def joined_segments(rows: DataFrame, keys: list[str], order: list[str], text: str, size: int, sep: str = " ") -> DataFrame:
+    """(keys, block, first, text): texts in order, joined in blocks of ``size``; ``first`` has the order columns of a block's first.
+
+    A block is bounded, so no source is one collected row; the blocks in their order are the whole text.
+    """
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    numbered = rows.select(*keys, F.floor(n / size).alias("block"), F.struct(*order).alias("o"), F.col(text).alias("t"))
+    block = F.array_sort(F.collect_list(F.struct("o", "t")))
+    return numbered.groupBy(*keys, "block").agg(F.min("o").alias("first"), F.array_join(F.transform(block, lambda x: x["t"]), sep).alias("text"))

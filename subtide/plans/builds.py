@@ -12,6 +12,7 @@ from subtide.operators import alignment as A
 from subtide.operators import crosswalk as X
 from subtide.operators import intervals as I
 from subtide.operators import language as L
+from subtide.operators.ranking import places
 from subtide.plans import crosswalk as bridge_source
 from subtide.plans.intervals import spans
 from subtide.plans.parsing import names
@@ -82,10 +83,10 @@ def chunk_request(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("l_orderkey", F.size("c").cast("long").alias("chunks"), F.array_join(F.transform("c", lambda x: x["l_linenumber"].cast("string")), ",").alias("places"))
 
 
-@query("h12_window_order_in_source", "SELECT source, string_agg(doc_id::VARCHAR, ',' ORDER BY n_chars, doc_id) AS ids FROM documents GROUP BY source")
+@query("h12_window_order_in_source", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS place FROM documents")
 def window_order(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.array_sort(F.collect_list(F.struct("n_chars", "doc_id")))
-    return table(spark, sf, "documents").groupBy("source").agg(F.array_join(F.transform(s, lambda x: x["doc_id"].cast("string")), ",").alias("ids"))
+    rows = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return places(rows, [F.floor(F.col("n_chars") / 64)], ["n_chars", "doc_id"], ("source",)).select("source", "doc_id", "place")
 
 
 @query("j41_metadata_merge", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END AS parts FROM part")

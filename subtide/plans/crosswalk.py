@@ -117,13 +117,18 @@ def bulk(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("pos", "source", "external_id", "media_kind", F.col("count").cast("long").alias("n"), joined.alias("results"))
 
 
-_NAMES = [(1, " MyAnimeList "), (2, "Anime_Planet"), (3, "TVDB"), (4, "themoviedb"), (5, "ANN"), (6, "series")]
+_RAW = ("' MyAnimeList '", "'Anime_Planet'", "'TVDB'", "'themoviedb'", "'ANN'", "'series'")
 
 
-@query("j04_source_aliases", "SELECT * FROM (VALUES (1, 'mal', 'myanimelist'), (2, 'anime-planet', 'anime-planet'), (3, 'tvdb', 'tvdb'), (4, 'tmdb', 'themoviedb'), (5, 'animenewsnetwork', 'ann'), (6, 'series', 'tv')) t(id, source, kind)")
+@query(
+    "j04_source_aliases",
+    """SELECT event_type, user_id, ['mal', 'anime-planet', 'tvdb', 'tmdb', 'animenewsnetwork', 'series'][k + 1] AS source, ['myanimelist', 'anime-planet', 'tvdb', 'themoviedb', 'ann', 'tv'][k + 1] AS kind, n
+       FROM (SELECT event_type, user_id, (user_id % 6)::INT AS k, count(*) AS n FROM events GROUP BY ALL)""",
+)
 def aliases(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame(_NAMES, "id int, name string")
-    return names.select("id", X.normalize_source(F.col("name")).alias("source"), X.normalize_kind(F.col("name")).alias("kind"))
+    raw = F.expr(f"element_at(array({', '.join(_RAW)}), cast(user_id % 6 AS INT) + 1)")
+    e = table(spark, sf, "events").select("event_type", "user_id", X.normalize_source(raw).alias("source"), X.normalize_kind(raw).alias("kind"))
+    return e.groupBy("event_type", "user_id", "source", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -112,13 +112,13 @@ def srt(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("conv_id", F.col("index").cast("long").alias("index"), "start_s", "end_s", F.md5(F.trim("text")).alias("digest"), "malformed")
 
 
-@query("a13_ass_parse", f"WITH {_CUES} SELECT conv_id, k * 1e0 AS start_s, k + 0.5e0 AS end_s, md5(trim(text) || ', x') AS digest FROM n WHERE k < 10")
+@query("a13_ass_parse", f"WITH {_CUES} SELECT conv_id, k * 1e0 AS start_s, k + 0.5e0 AS end_s, md5(trim(text) || ', x') AS digest FROM n")
 def ass(spark: SparkSession, sf: str) -> DataFrame:
     from subtide.operators.cleaning import renumber
 
     c = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.regexp_replace(F.min("text"), "\n+", " ").alias("text"))
-    n = renumber(c, "conv_id", "turn").where("number < 10")
-    stamp = lambda cs: F.format_string("0:00:%02d.%s", "number", F.lit(cs))
+    n = renumber(c, "conv_id", "turn")
+    stamp = lambda cs: F.format_string("%d:%02d:%02d.%s", F.floor(F.col("number") / 3600), F.floor(F.col("number") / 60) % 60, F.col("number") % 60, F.lit(cs))
     line = F.concat(F.lit("Dialogue: 0,"), stamp("00"), F.lit(","), stamp("50"), F.lit(",Default,{\\i1}"), F.trim("text"), F.lit("{\\i0}, x"))
     d = n.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("l")))), lambda x: x["l"]), "\n").alias("b"))
     head = "[Script Info]\nTitle: t\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"

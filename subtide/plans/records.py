@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from subtide.functions import filenames as N
+from subtide.functions import release_names
 from subtide.functions import text as T
 from subtide.operators import cleaning as C
 from subtide.operators import records as R
@@ -203,14 +203,25 @@ def prompt(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", text.alias("prompt"))
 
 
-@query("o10_name_to_title_search", "SELECT p_partkey, 'ring' AS title, 3 AS episode, contains(p_name, 'ring') AS hit FROM part WHERE contains(p_name, 'ring') ORDER BY p_partkey LIMIT 10")
+@query(
+    "o10_name_to_title_search",
+    """WITH d AS (SELECT p_partkey, string_split(lower(p_name), ' ') AS w FROM part), st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+    p AS (SELECT p_partkey, term, len(any_value(w)) AS l, count(*) AS tf FROM (SELECT p_partkey, w, unnest(w) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM p GROUP BY term), q AS (SELECT DISTINCT p_name AS title, unnest(string_split(lower(p_name), ' ')) AS term FROM part),
+    s AS (SELECT title, p_partkey, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))), 4) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL)
+    SELECT title, (length(title) % 12 + 1)::INT AS episode, p_partkey, score, row_number() OVER (PARTITION BY title ORDER BY score DESC, p_partkey)::INT AS place FROM s QUALIFY place <= 10""",
+)
 def name_to_title(spark: SparkSession, sf: str) -> DataFrame:
-    """A file name gives the title and episode; the title is searched by relevance."""
-    name = F.lit("[Group] ring - 03 [720p].srt")
-    title = F.trim(F.regexp_replace(F.regexp_replace(name, r"\[[^\]]*\]|\.[^.]+$", ""), r"\s-\s\d+.*$", ""))
-    parts = S.bm25(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", F.col("p_name"), ["ring"])
-    top = parts.orderBy("p_partkey").limit(10)
-    return top.select("p_partkey", title.alias("title"), N.episode(name)["local"].alias("episode"), (F.col("score") > 0).alias("hit"))
+    """File names give a title and an episode; each title's ten best parts by relevance, all titles at once."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name")
+    number = F.lpad((F.char_length("p_name") % 12 + 1).cast("string"), 2, "0")
+    parsed = part.select(F.concat(F.lit("[Group] "), "p_name", F.lit(" - "), number, F.lit(" [720p].srt")).alias("name")).distinct().select(release_names.parsed_name(F.col("name")).alias("p"))
+    asked = parsed.select(F.col("p.title").alias("title"), F.get("p.episodes", 0).alias("episode"))
+    wanted = asked.select(F.col("title").alias("query_id"), F.explode(S.tokens(F.col("title"))).alias("term"))
+    scores = S.bm25_bulk(S.postings(part, "p_partkey", F.col("p_name")), part, "p_partkey", F.col("p_name"), wanted).withColumn("score", F.round("score", 4))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "p_partkey")
+    top = scores.withColumn("place", F.row_number().over(best)).where("place <= 10")
+    return top.join(asked, top["query_id"] == asked["title"]).select("title", "episode", "p_partkey", "score", "place")
 
 
 @query("o09_batch_token_statistics", "SELECT role, sum(tokens)::BIGINT AS total, ceil(quantile_cont(tokens, 0.95))::BIGINT AS p95 FROM (SELECT role, (CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4)) END)::BIGINT AS tokens FROM conversations) GROUP BY role")
@@ -281,10 +292,3 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
     c = table(spark, sf, "customer").where(F.col("c_custkey").isin(3, 4, 10))
     return c.select("c_custkey", fresh(F.col("c_custkey") % 5, F.lit(2)).alias("fresh"))
-
-
-@query("j22_visible_lines", None)
-def visible(spark: SparkSession, sf: str) -> DataFrame:
-    from subtide.functions.unicode import visible_lines
-
-    return table(spark, sf, "documents").select("doc_id", F.size(visible_lines("text")).alias("lines"))

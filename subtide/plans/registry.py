@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries; each registers its own by ``query``.
-MODULES = ("search", "crosswalk", "inventory", "intervals", "text", "cleaning", "statistics", "upkeep", "parsing", "projections", "records", "builds", "desync", "reach")
+MODULES = ("search", "crosswalk", "inventory", "intervals", "text", "cleaning", "statistics", "upkeep", "parsing", "projections", "records", "builds", "desync", "reach", "stores")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

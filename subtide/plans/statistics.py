@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from subtide.functions.text import span_list
 from subtide.operators import coverage as V
 from subtide.operators.intervals import consecutive_runs
-from subtide.operators.ranking import places
+from subtide.operators.ranking import joined_segments, places
 from subtide.plans.registry import query
 from subtide.session import table
 
@@ -36,13 +36,13 @@ def hit_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.coalesce(r, F.lit(0.0)), 4).alias("hit_rate"))
 
 
-_COV = """e AS (SELECT user_id AS title, event_type AS grp, (epoch_us(ts) // 86400000000 - 19722)::INT AS ep, event_id, props FROM events WHERE user_id % 3 = 0 OR event_type <> 'error'),
+_COV = """e AS (SELECT user_id AS title, event_type AS grp, (epoch_us(ts) // 86400000000 - 19722)::INT AS ep, event_id, props FROM events),
 t AS (SELECT title, count(*) AS rows, count(ep) AS parsed, list_sort(list(DISTINCT ep)) AS eps FROM e GROUP BY title),
 g AS (SELECT title, grp, count(*) AS rows, list_sort(list(DISTINCT ep)) AS eps FROM e GROUP BY title, grp)"""
 
 
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("user_id % 3 = 0 OR event_type <> 'error'")
+    e = table(spark, sf, "events")
     return e.select(F.col("user_id").alias("title"), F.col("event_type").alias("grp"), F.expr(f"cast({_US} div 86400000000 - 19722 AS INT)").alias("ep"), "event_id", "props")
 
 
@@ -163,17 +163,17 @@ def inventory(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("c_custkey", F.coalesce("n", F.lit(0)).alias("artifacts"), F.coalesce("p", F.lit("")).alias("profiles"))
 
 
-@query("f07_episode_groups", "SELECT o_custkey, o_orderpriority, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS artifacts FROM orders GROUP BY ALL")
+@query("f07_episode_groups", "SELECT o_custkey, o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)::INT AS place, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders")
 def episode_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(_list(F.sort_array(F.collect_list("o_orderkey"))).alias("artifacts"))
+    w = Window.partitionBy("o_custkey", "o_orderpriority")
+    return table(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", F.row_number().over(w.orderBy("o_orderkey")).alias("place"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-@query("h02_nulls_last_order", "SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) QUALIFY place <= 50")
+@query("h02_nulls_last_order", "SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)")
 def nulls_last(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    order = (F.asc_nulls_last("quality"), F.asc("doc_id"))
-    top = table(spark, sf, "documents").join(l, "doc_id", "left").select("doc_id", "quality").orderBy(*order).limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    rows = table(spark, sf, "documents").join(l, "doc_id", "left").select("doc_id", "quality")
+    return places(rows, [F.col("quality").isNull(), F.coalesce("quality", F.lit(0)), F.floor(F.col("doc_id") / 4096)], ["doc_id"])
 
 
 @query("h03_numeric_then_text_order", "SELECT s_suppkey, row_number() OVER (ORDER BY coalesce(try_cast(regexp_extract(s_name, '([0-9]+)$', 1) AS INT), 0) % 7, s_name) AS place FROM supplier")
@@ -193,17 +193,15 @@ def argmin(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.min(key).alias("m")).select("l_partkey", F.col("m.o").alias("best"))
 
 
-@query("h10_time_ordered_text", "SELECT user_id, md5(string_agg(event_type, ' ' ORDER BY ts, event_id)) AS digest FROM events GROUP BY user_id")
+@query("h10_time_ordered_text", "SELECT user_id, block, min(ts) AS first, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 16 AS block FROM events) GROUP BY user_id, block")
 def ordered_text(spark: SparkSession, sf: str) -> DataFrame:
-    s = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.md5(F.array_join(F.transform(s, lambda x: x["event_type"]), " ")).alias("digest"))
+    return joined_segments(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", 16).select("user_id", "block", F.col("first.ts").alias("first"), "text")
 
 
-@query("h06_multi_key_report", "SELECT o_custkey, n, total, row_number() OVER (ORDER BY n DESC, total DESC, o_custkey) AS place FROM (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) QUALIFY place <= 30")
+@query("h06_multi_key_report", "SELECT o_custkey, n, total, row_number() OVER (ORDER BY n DESC, total DESC, o_custkey) AS place FROM (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey)")
 def report(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    order = (F.desc("n"), F.desc("total"), F.asc("o_custkey"))
-    return a.orderBy(*order).limit(30).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return places(a, [-F.col("n"), -F.floor(F.col("total") / 10_000)], [F.desc("total"), "o_custkey"])
 
 
 @query("i04_intersection_ratio", f"WITH {_COV} SELECT a.title, a.grp AS one, b.grp AS other, round(len(list_intersect(a.eps, b.eps)) / len(b.eps), 4) AS ratio FROM g a JOIN g b ON a.title = b.title AND a.grp < b.grp")

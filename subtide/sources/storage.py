@@ -20,3 +20,16 @@ def safe_name(name: str) -> bool:
     """A relative path that stays where it is put."""
     parts = name.split("/")
     return bool(name) and not name.startswith("/") and all(p not in ("", ".", "..") for p in parts) and "\\" not in name and "\0" not in name
+
+
+def scratch(spark) -> str:
+    """A new folder name in ``spark.checkpoint.dir``; in a temporary folder only where none is set and the master is local (tests)."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="subtide-")
+    return f"{named.rstrip('/')}/files-{uuid.uuid4().hex}"
