@@ -2,12 +2,18 @@
 
 A page becomes a sequence of tags and text runs. Words score positive, tags
 negative; words under a boilerplate container score negative too. The weights
-are log-odds of tags and class or id words, learnt from labelled pages
-(``train``), and one linear scan finds the contiguous region with the best sum.
+are log-odds of tags, class or id words and features of a container's own text, learnt from
+labelled pages (``train``), and one linear scan finds the contiguous region with the best sum.
 Within it, runs under a container of negative weight are left out. A container named
 as boilerplate that holds most of the page and its article (a form or a div.sidebar
 around everything) is judged as if it had no name.
 
+A name of several words is judged by its head, the last word that is no part of a layout
+(post-comments and comment-list are comments, a login-guide is a guide). A
+telling word before the head counts little, and nothing against prose. Without names, a
+container tells by its links, its buttons or a copyright line; inside an element that is
+telling of content these say nothing, as an article may hold a list of links.
+
 Output rules: character references are decoded, white space within a block
 becomes one space, blocks are trimmed and joined by one line feed; empty blocks
 vanish. Defined results: a null or empty page, or one without text, gives an
@@ -43,21 +49,24 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_ABOUT = re.compile(r"(?:has|have|with|without|no|tag|category)[-_].")
+#: First words of names that tell what an element has, and last ones that tell its place or make.
+RELATIONS = frozenset("has have with without no is not tag category".split())
+LAYOUT = frozenset(
+    "area list inner outer wrap wrapper container box section block item left right top bottom bar slot row col column content body link main panel group holder region unit zone header title text".split()
+)
 #: Silent elements whose content a browser reads as raw text up to their end tag.
 _RAW = {"script", "style", "iframe", "textarea", "title"}
 _INLINE, _HELD, _SILENT = set(INLINE), set(CONTAINERS), set(SILENT)
 
 
 def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
-    """Features of an opening tag: its name and the words of its class, id and role.
+    """Features of an opening tag: its name and the names of its class, id and role, words of one joined by a hyphen.
 
-    The body holds every page, so only its name counts; names that tell what an
-    element has or is about (has-sidebar, tag-news) do not say what it is.
+    The body holds every page, so only its name counts.
     """
     named = [x for m in _NAMES.finditer(attributes) for x in next(x for x in m.groups("") if x or not any(m.groups(""))).lower().split()] if attributes and tag != "body" else []
-    names = [w for x in named if not _ABOUT.match(x) for w in re.split(r"[^a-z]+", x) if w]
-    return (f"<{tag}>", *dict.fromkeys(w.rstrip("s") if len(w) > 3 else w for w in names))
+    names = ["-".join(w.rstrip("s") if len(w) > 3 else w for w in re.split(r"[^a-z]+", x) if w) for x in named]
+    return (f"<{tag}>", *dict.fromkeys(n for n in names if n))
 
 
 #: The open elements that the start of another ends, and those that hold them apart.
@@ -71,7 +80,7 @@ def runs(page: str) -> tuple[list[tuple], list[tuple[int, tuple[str, ...]]]]:
     """(tokens, containers) of a page.
 
     Tokens, in page order, are ("tag", marks, opens, container) and ("text", text,
-    block number, container); containers, in order of their start, (parent, marks),
+    block number, container, whether in a link); containers, in order of their start, (parent, marks),
     the first standing for the page.
     """
     out: list[tuple] = []
@@ -79,7 +88,7 @@ def runs(page: str) -> tuple[list[tuple], list[tuple[int, tuple[str, ...]]]]:
     held: list[tuple[str, int]] = []  # open containers and their numbers
     open_at: dict[str, list[int]] = {t: [] for t in _HELD}  # their places in held, by tag
     endings: dict[str, int] = {}
-    block = at = here = 0
+    block = at = here = links = 0
     end = len(page)
 
     def ending(tag: str) -> int:
@@ -98,7 +107,7 @@ def runs(page: str) -> tuple[list[tuple], list[tuple[int, tuple[str, ...]]]]:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            out.append(("text", page[at:stop], block, here))
+            out.append(("text", page[at:stop], block, here, links > 0))
         if not m:
             break
         at = m.end()
@@ -117,6 +126,8 @@ def runs(page: str) -> tuple[list[tuple], list[tuple[int, tuple[str, ...]]]]:
                 at = ending(held[-1][0])
             block += 1
             continue
+        if tag == "a":
+            links = 0 if closing else 1
         if tag not in _INLINE:
             block += 1
         if tag in _HELD:
@@ -164,9 +175,84 @@ def _walk(nodes: list[tuple[int, tuple[str, ...]]]) -> Iterator[tuple[list[str],
         yield new, gone, count
 
 
+#: Words of a block that reads as prose, of a container that holds prose, and of a short one.
+LONG_BLOCK, PROSE, SHORT = 8, 12, 40
+_COPYRIGHT = re.compile(r"©|&copy;|&#169;|\(c\)\s*\d{4}|all rights reserved", re.I)
+_ACTS = {"<button>", "<input>"}
+
+
+def structure(tokens: list[tuple], nodes: list[tuple[int, tuple[str, ...]]]) -> tuple[list[bool], list[tuple[str, ...]]]:
+    """Per container, whether it holds prose, and the features of what it holds."""
+    n = len(nodes)
+    words, linked, links, prose, acts, rights = ([0] * n for _ in range(6))
+    block, whose, size, free = -1, 0, 0, True
+
+    def close() -> None:
+        if size >= LONG_BLOCK and free:
+            prose[whose] += size
+
+    for t in tokens:
+        if t[0] == "text":
+            k = len(t[1].split())
+            if (t[2], t[3]) != (block, whose):
+                close()
+                block, whose, size, free = t[2], t[3], 0, True
+            size += k
+            free = free and not t[4] or size > 3 * k
+            words[t[3]] += k
+            linked[t[3]] += k * t[4]
+            links[t[3]] += bool(k and t[4])
+            rights[t[3]] += bool(_COPYRIGHT.search(t[1]))
+        elif t[2] and t[1][0] in _ACTS:
+            acts[t[3]] += 1
+    close()
+    for k in range(n - 1, 0, -1):
+        for x in (words, linked, links, prose, acts, rights):
+            x[nodes[k][0]] += x[k]
+    has = [prose[k] >= PROSE for k in range(n)]
+    found = []
+    for k in range(n):
+        short = words[k] <= SHORT and not has[k]
+        told = (("#links", links[k] >= 3 and 5 * linked[k] > 3 * words[k]), ("#acts", acts[k] > 0 and words[k] <= SHORT), ("#rights", rights[k] > 0 and short))
+        found.append(tuple(name for name, holds in told if holds and k))
+    return has, found
+
+
 class Weights(dict):
     """Log-odds of content by feature; a feature never seen has none."""
 
+    #: What a telling word says that is not the head of its name.
+    WEAK = -4.0
+
+    def resolved(self, tokens: list[tuple], nodes: list[tuple[int, tuple[str, ...]]]) -> list[tuple[int, tuple[str, ...]]]:
+        """The containers with names by their heads, and with the features of their own text outside content elements."""
+        prose, told = structure(tokens, nodes)
+        out: list[tuple[int, tuple[str, ...]]] = []
+        inside = [False] * len(nodes)
+        for k, (parent, marks) in enumerate(nodes):
+            kept = tuple(dict.fromkeys(f for m in marks for f in self.named(m, prose[k])))
+            inside[k] = k > 0 and inside[parent] or any(self.get(f, 0.0) >= 1 for f in kept)
+            out.append((parent, kept))
+        holds = list(inside)  # an element around a content element is none of the short ones
+        for k in range(len(nodes) - 1, 0, -1):
+            holds[nodes[k][0]] |= holds[k]
+        return [(p, marks if holds[k] else (*marks, *told[k])) for k, (p, marks) in enumerate(out)]
+
+    def named(self, mark: str, prose: bool) -> tuple[str, ...]:
+        """The features that a name stands for."""
+        if mark.startswith("<") or "-" not in mark:
+            return (mark,)
+        parts = mark.split("-")
+        if parts[0] in RELATIONS:
+            return ()
+        core = parts[: max((i + 1 for i, w in enumerate(parts) if w not in LAYOUT), default=len(parts))]
+        if self.get(core[-1], 0.0) or len(core) == 1:
+            return (core[-1],)
+        rest = [self.get(w, 0.0) for w in core[:-1]]
+        if min(rest) < 0:
+            return () if prose else ("~before",)
+        return tuple(w for w, x in zip(core, rest, strict=False) if x > 0)
+
     def judged(self, nodes: list[tuple[int, tuple[str, ...]]]) -> list[tuple[float, bool]]:
         """Per container: the sum over the distinct features on its way to the page, and whether one is telling of content."""
         odds, telling, out = 0.0, 0, []
@@ -233,7 +319,7 @@ def scores(tokens: list[tuple], judged: list[tuple[float, bool]], weights: Weigh
 def extract(page: str | None, weights: Weights) -> str:
     """The main text of one page."""
     tokens, nodes = runs(page or "")
-    judged = weights.judged(weights.unmarked(tokens, nodes))
+    judged = weights.judged(weights.unmarked(tokens, weights.resolved(tokens, nodes)))
     first, last = best_region(tokens, judged, weights)
     blocks: dict[int, list[str]] = {}
     for t in tokens[first:last]:
@@ -261,15 +347,23 @@ def labelled_pages(spark: SparkSession, copies: int = 2) -> DataFrame:
     text = "It was a long day and the people of the town had much to say about it number {}"
     pages = []
     for k in range(copies):
-        for i, bad in enumerate([*BOILERPLATE_NAMES, *BOILERPLATE_TAGS]):
+        for i, (bad, element) in enumerate([*((b, False) for b in BOILERPLATE_NAMES), *((b, True) for b in BOILERPLATE_TAGS)]):
             good = CONTENT_NAMES[(i + k) % len(CONTENT_NAMES)]
             tag = CONTENT_TAGS[(i + k) % len(CONTENT_TAGS)]
             line = [text.format(f"{k} {i} {j}") for j in range(4)]
             other = f"<ul><li>Some other words {k} {i}</li></ul>"
-            boiler = f"<{bad}>{other}</{bad}>" if bad in BOILERPLATE_TAGS else f'<div {("class", "id")[k % 2]}="{bad}">{other}</div>'
+            boiler = f"<{bad}>{other}</{bad}>" if element else f'<div {("class", "id")[k % 2]}="{bad}">{other}</div>'
             body = f"<p>{line[0]}</p><p>{line[1]}</p>" + boiler * (k % 2) + f"<ul><li>{line[2]}</li></ul>"
             where = f'<div class="{good}">{body}</div>' if i % 2 else f"<{tag}>{body}</{tag}>"
             pages.append((f"<html><body>{boiler}<div>{where}</div>{boiler}</body></html>", "\n".join(line[:3])))
+        # Without names: a list of links, a short note with a button, a line of rights.
+        menu = "<div><ul>" + "".join(f'<li><a href="/{k}{j}">Other {j}</a></li>' for j in range(5)) + "</ul></div>"
+        note = f"<div><p>Some other words {k}</p><button>Go</button></div>"
+        rights = f"<div><p>&copy; 20{k:02} Some other words</p></div>"
+        text_only = [text.format(f"{k} none {j}") for j in range(4)]
+        for before, after in ((menu, rights), (note, menu), (menu + note, rights + menu)):
+            body = "".join(f"<p>{x}</p>" for x in text_only[:2]) + "".join(f"<ul><li>{x}</li></ul>" for x in text_only[2:])
+            pages.append((f"<html><body>{before}<div><div>{body}</div></div>{after}</body></html>", "\n".join(text_only)))
     return spark.createDataFrame(pages, "html string, content string")
 
 
@@ -279,6 +373,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page, content in zip(b["html"].to_pylist(), b["content"].to_pylist(), strict=True):
             true = set((content or "").split("\n"))
             tokens, nodes = runs(page or "")
+            nodes = [(p, (*marks, *own)) for (p, marks), own in zip(nodes, structure(tokens, nodes)[1], strict=True)]
             features = [[f for f, n in count.items() if n] for _, _, count in _walk(nodes)]
             for t in tokens:
                 if t[0] == "text" and t[1].strip():
@@ -303,6 +398,7 @@ def train(labelled: DataFrame, smoothing: float = 0.5, most: float = 40.0, featu
     for r in counts:
         odds = log((r["inside"] + smoothing) / (r["outside"] + smoothing))
         weights[r["feature"]] = max(-most, odds * 8) if odds < -1 else min(max(odds, 0.0), 2.0)
+    weights["~before"] = Weights.WEAK
     return weights
 
 
