@@ -8,9 +8,11 @@ all documents. Documents are joined on that token alone; the token's place in
 the window and the window's length bound where it may lie, and the words
 themselves are compared in the end.
 
-Only a bitmap of fixed size (``BITS``) travels with the tasks. The window index
-is broadcast where its counted rows are at most ``BROADCAST_ROWS``; beyond, it is
-joined by shuffle.
+Only a bitmap travels with the tasks: some sixteen bits a token, up to 2**``MOST_BITS``. Past
+some sixteen million tokens it lets more places through to the join; results are the
+same. Items of equal words are one group; the index of windows, the windows' groups and
+the groups' items are each broadcast where their own counted rows are at most ``BROADCAST_ROWS``; beyond,
+they are joined by shuffle.
 
 Defined results: null and empty texts have no words and no windows; equal items
 share windows and each is reported; a null item_id marks hits but is no item;
@@ -32,22 +34,32 @@ from subtide.llm import words as W
 from subtide.llm.lineage import stored
 
 WIDTH = 10
-BITS = 25
-#: A row holds one window (some 100 bytes), so this is some 20 MB.
+LEAST_BITS, MOST_BITS = 20, 28
+#: A row holds one window (some 100 bytes) or one item's id, so this is some 20 MB.
 BROADCAST_ROWS = 150_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, window, n): distinct windows of each item, words joined by one space."""
+def groups(items: DataFrame) -> DataFrame:
+    """(item_id, words, grp): the words of each item that has some, and a name that items of equal words share."""
     w = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
-    lists = items.select("item_id", w.alias("w")).where(F.size("w") > 0)
+    return items.select("item_id", w.alias("words")).where(F.size("words") > 0).withColumn("grp", F.sha2(F.array_join("words", " "), 256))
+
+
+def windows(grouped: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(grp, window, n): distinct windows of each group of equal items, words joined by one space."""
+    lists = grouped.groupBy("grp").agg(F.first("words").alias("w"))
     cut = F.when(F.size("w") < width, F.array(F.array_join("w", " "))).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " "))
     )
-    return lists.select("item_id", F.explode(cut).alias("window"), F.least(F.size("w"), F.lit(width)).alias("n")).distinct()
+    return lists.select("grp", F.explode(cut).alias("window"), F.least(F.size("w"), F.lit(width)).alias("n")).distinct()
+
+
+def bits_for(tokens: int) -> int:
+    """The size of a bitmap of so many tokens, as a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, (16 * tokens).bit_length()))
 
 
 def _shingles(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +101,7 @@ def _window_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def bitmap(tokens: DataFrame, column: str, bits: int = BITS) -> bytes:
+def bitmap(tokens: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of the low ``bits`` bits of the values: 2**bits / 8 bytes, whatever their number."""
     place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
     parts = (
@@ -129,15 +141,16 @@ def _counter(mask: bytes, bits: int):
     return run
 
 
-def index(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(window, n, token, place): each distinct window under its rarest shingle.
+def index(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """(window, n, token, place): each distinct window of ``cut`` under its rarest shingle.
 
     Windows with a shingle that no document has are left out: they occur nowhere.
     """
-    distinct = windows(items, width).select("window", "n").distinct()
+    distinct = cut.select("window", "n").distinct()
     tokens = stored(distinct.mapInArrow(_window_tokens, "window string, n int, token long, place int"))
+    bits = bits_for(tokens.count())
     counts = (
-        docs.select("text").mapInArrow(_counter(bitmap(tokens, "token"), BITS), "token long, n long")
+        docs.select("text").mapInArrow(_counter(bitmap(tokens, "token", bits), bits), "token long, n long")
         .groupBy("token").agg(F.sum("n").alias("df"))
     )
     ranked = tokens.join(counts, "token", "left").select("window", "n", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "place").alias("t"))
@@ -193,33 +206,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     ``text_hash`` is xxhash64 of the text; with doc_id it finds the row again.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    idx = index(docs, items, width)
+    grouped = stored(groups(items))
+    cut = stored(windows(grouped, width))
+    idx = index(docs, cut)
+    size = idx.count()
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    bits = bits_for(size)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Stored, as rows are named by their place in a task: a task run again might number them otherwise.
     found = stored(docs.mapInArrow(
-        _candidates(bitmap(idx, "token"), BITS, width),
+        _candidates(bitmap(idx, "token", bits), bits, width),
         f"rid long, doc_id {kind}, text_hash long, n_words long, found array<struct<at:int,first:int,token:long,around:string>>",
     ))
     flat = found.select("rid", "doc_id", "text_hash", "n_words", F.explode_outer("found").alias("c")).select(
         "rid", "doc_id", "text_hash", "n_words", "c.at", "c.first", "c.around",
         F.coalesce("c.token", F.xxhash64("rid")).alias("token"),
     )
-    small = idx.count() <= BROADCAST_ROWS
     # Positional bound: the window starts `place` words before the token, within the words at hand.
     start = F.col("at") - F.col("place")
     inside = F.slice(F.split("around", " "), F.greatest(start - F.col("first") + 1, F.lit(1)), F.col("n"))
-    joined = flat.join(F.broadcast(idx) if small else idx, "token", "left")
+    joined = flat.join(small(idx, size), "token", "left")
     hit = F.col("around").isNotNull() & (start >= F.col("first")) & (start + F.col("n") <= F.col("n_words")) & (F.array_join(inside, " ") == F.col("window"))
     hits = joined.select("rid", "doc_id", "text_hash", "n_words", F.when(hit, F.col("window")).alias("window"), F.when(hit, start).alias("start"), "n").distinct()
-    owners = windows(items, width).select(F.col("window"), F.col("item_id").cast("string").alias("item"))
     # Rows without a hit keep a key of their own, so that they do not meet in one task.
     keyed = hits.withColumn("window", F.coalesce("window", F.concat(F.lit("\n"), F.col("rid").cast("string"))))
-    named = keyed.join(F.broadcast(owners) if small else owners, "window", "left")
-    per = named.groupBy("rid").agg(
+    named = keyed.join(small(cut.select("window", "grp"), cut.count()), "window", "left")
+    held = named.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("n")).alias("end"))))).alias("spans"),
-        F.sort_array(F.collect_set("item")).alias("items"),
+        F.sort_array(F.collect_set("grp")).alias("grps"),
     )
+    # Documents that hold the same groups hold the same items: each such set is spelt out once.
+    held = stored(held.withColumn("held", F.sha2(F.array_join("grps", ""), 256)))
+    sets = held.where(F.size("grps") > 0).groupBy("held").agg(F.first("grps").alias("grps")).select("held", F.explode("grps").alias("grp"))
+    ids = grouped.select("grp", F.col("item_id").cast("string").alias("item")).where("item IS NOT NULL").distinct()
+    lists = stored(sets.join(small(ids, grouped.count()), "grp").groupBy("held").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    total = lists.agg(F.coalesce(F.sum(F.size("items")), F.lit(0))).first()[0]
+    per = held.join(small(lists, total), "held", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")),

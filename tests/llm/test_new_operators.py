@@ -257,3 +257,22 @@ def test_tree_average(spark, monkeypatch):
     got = np.frombuffer(lm.average(stored(spark.createDataFrame(rows, "tokens long, model binary"))), np.float32)
     assert got == pytest.approx(np.full(5, sum(n * n for n in range(1, 21)) / sum(range(1, 21))), rel=1e-5)
     assert lm.average(stored(spark.createDataFrame([], "tokens long, model binary"))) is None
+
+
+# Decontamination of many equal items
+
+
+def test_many_equal_items_are_one_group(spark, monkeypatch):
+    from subtide.llm import decontam
+
+    words = [f"w{i}" for i in range(20)]
+    equal = spark.range(20_000).selectExpr("id AS item_id", f"'{' '.join(words)}' AS text")
+    more = spark.createDataFrame([(90_001, " ".join(words[:12])), (90_002, "elsewhere only here"), (None, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words) + " y"), (2, " ".join(words[2:13])), (3, "nothing"), (4, "Elsewhere, only here!")], "doc_id long, text string")
+    for rows in (150_000, 1):
+        monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
+        got = {r["doc_id"]: r for r in decontam.decontaminate(docs, equal.unionByName(more)).collect()}
+        assert got[1]["n_hit"] == 20 and len(got[1]["items"]) == 20_001 and got[1]["items"] == sorted(got[1]["items"])
+        assert got[2]["n_hit"] == 11 and len(got[2]["items"]) == 20_001
+        assert got[3]["items"] == [] and not got[3]["contaminated"] and got[4]["items"] == ["90002"]
+    assert [decontam.bits_for(n) for n in (0, 10**5, 10**7, 10**9)] == [20, 21, 28, 28]

@@ -42,5 +42,5 @@ def test_repeated_and_unnamed_rows(spark, docs, no_docs):
 def test_registered_queries_run(spark, sf_dir):
     from subtide.llm import registry
 
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
