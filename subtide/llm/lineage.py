@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: no recomputation, no lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    for tables in _SCOPES[-1:]:
+    tables = _SCOPE.get()
+    if tables is not None:
         tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,18 +57,20 @@ def dropped(df: DataFrame) -> None:
             _delete(df.sparkSession, f)
 
 
-#: Paths of the tables stored within the scopes now open.
-_SCOPES: list[list[str]] = []
+#: Paths of the tables stored within the scope now open, in this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes on leaving what was ``stored`` inside; keep a result by storing it outside."""
-    _SCOPES.append([])
+    tables: list[str] = []
+    outer = _SCOPE.set(tables)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(outer)
+        for path in tables:
             _delete(spark, path)
 
 

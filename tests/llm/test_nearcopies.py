@@ -75,3 +75,60 @@ def test_stage_needs_no_doc_ids(spark):
     rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
     kept = [(x["doc_id"], x["text"]) for x in pipeline.near_duplicate_stage(spark, rows, "").collect()]
     assert len(kept) == 3 and set(texts[:2]) < set(kept)
+
+
+def _edited(r, base, kind):
+    """``base`` with as many edits of one kind as leave a similarity of 0.8."""
+    n = len(base)
+    best = None
+    for edits in range(1, n, max(1, n // 90)):
+        copy = list(base)
+        at = sorted({(k * n + n // 2) // edits for k in range(edits)})
+        if kind == "spread":
+            for k in at:
+                copy[k] = f"edit{r.randint(0, 10**6)}"
+        elif kind == "inserted":
+            for k in reversed(at):
+                copy.insert(k, f"new{r.randint(0, 10**6)}")
+        elif kind == "deleted":
+            for k in reversed(at):
+                del copy[k]
+        elif kind == "random":
+            for k in r.sample(range(n), edits):
+                copy[k] = f"edit{r.randint(0, 10**6)}"
+        elif kind == "run":
+            copy[n // 3 : n // 3 + edits] = [f"edit{r.randint(0, 10**6)}" for _ in range(edits)]
+        elif kind == "cut":
+            copy = copy[edits:]
+        elif kind == "moved":
+            copy = copy[-edits:] + copy[:-edits]
+        else:
+            copy += [f"more{r.randint(0, 10**6)}" for _ in range(edits)]
+        a, b = _sets([" ".join(base), " ".join(copy)])
+        if 5 * len(a & b) < 4 * len(a | b) or kind == "moved" and edits > n // 2:
+            break
+        best = copy
+    return best
+
+
+def test_recall_of_pairs_by_kind_of_edit(spark):
+    """Pairs at the edge of the similarity, of every kind and size: nine in ten are found, those under 64 shingles all."""
+    r = random.Random(17)
+    kinds = ("spread", "inserted", "deleted", "random", "run", "cut", "moved", "added")
+    pairs = []
+    for kind in kinds:
+        for n in (40, 70, 100, 180, 260, 400, 700, 1100, 1500):
+            for _ in range(3):
+                base = _words(r, n)
+                copy = _edited(r, base, kind)
+                if copy:
+                    pairs.append((kind, n, " ".join(base), " ".join(copy)))
+    rows = [(2 * i + s, p[2 + s], "en", "s", 1) for i, p in enumerate(pairs) for s in (0, 1)]
+    got = {x["doc_id"]: x["component"] for x in nearcopies.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(pairs))]
+    assert len(pairs) > 150 and len(set(got.values())) == len(pairs) * 2 - sum(linked)
+    assert all(x for x, p in zip(linked, pairs) if p[1] < 64)
+    print("recall", {k: (sum(x for x, p in zip(linked, pairs) if p[0] == k), sum(p[0] == k for p in pairs)) for k in kinds})
+    for kind in kinds:
+        own = [x for x, p in zip(linked, pairs) if p[0] == kind]
+        assert sum(own) >= 0.9 * len(own), (kind, [(p[1], x) for x, p in zip(linked, pairs) if p[0] == kind])
