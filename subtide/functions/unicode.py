@@ -10,11 +10,12 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TAGS = re.compile(r"<[^>]*>")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def visible_lines(text: pd.Series) -> pd.Series:
     """Visible lines of a marked-up cue: references decoded, tags dropped, compatibility forms folded, white space squeezed."""
 
