@@ -22,6 +22,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # the matches of AKIA[A-Z0-9]+ that have 20 characters or more
 HEX = r"[0-9a-f]{24,}"
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: Random by make, but public: UUIDs, and integrity digests with the name of their hash.
+PUBLIC = r"^(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|sha(?:1|224|256|384|512)-[A-Za-z0-9+/_-]+)$"
 
 #: Spans sort by start, then by this order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -158,7 +160,8 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: flo
     """``docs`` with ``spans``: array<struct<start, kind, end, match>> in order.
 
     ``kind`` indexes ``KINDS``. A Markov span needs a letter and a digit in the
-    token, a mean ratio of ``threshold`` or more, and no base span over it.
+    token, a mean ratio of ``threshold`` or more, another shape than that of public
+    identifiers (``PUBLIC``), and no base span over it.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     own = [f"`{c}`" for c in docs.columns if c.lower() not in ("spans", "_a", "_k", "_h", "_t", "_b")]
@@ -169,7 +172,7 @@ def scan(docs: DataFrame, ratio: list[float], text: str = "text", threshold: flo
         _matches(t, HEX, 2).alias("_h"),
         F.filter(
             _matches(t, TOKEN, 3),
-            lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & (log_ratio(x["match"], ratio) >= threshold),
+            lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]") & ~x["match"].rlike(PUBLIC) & (log_ratio(x["match"], ratio) >= threshold),
         ).alias("_t"),
     )
     base = found.withColumn("_b", F.concat("_a", "_k", "_h"))
