@@ -40,7 +40,7 @@ from subtide.llm.lineage import stored
 GROUP = 8192
 FULL = 0.99
 #: Bytes of chunks and ids that a generation of a Python worker's cache may hold; it has two.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 40 << 20
 #: Bytes of an entry besides its characters and ids.
 ENTRY_BYTES = 160
 _MARK = re.compile(r"([.,])(?<=[^\W_].)(?= )")
