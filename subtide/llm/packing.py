@@ -40,7 +40,7 @@ from subtide.llm.lineage import stored
 GROUP = 8192
 FULL = 0.99
 #: Bytes of chunks and ids that a generation of a Python worker's cache may hold; it has two.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 80 << 20
 #: Bytes of an entry besides its characters and ids.
 ENTRY_BYTES = 160
 _MARK = re.compile(r"([.,])(?<=[^\W_].)(?= )")
@@ -119,6 +119,10 @@ class _Encoder:
         self._encode(fresh)
         self.held += sum(ENTRY_BYTES + len(c) + len(self.cache[c]) for c in chunks)
 
+    def forget(self) -> None:
+        """Lets go of the cache, so that an idle worker holds none."""
+        self.cache, self.older, self.held = {"": b""}, {}, 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if self.held > CACHE_BYTES:
@@ -178,6 +182,7 @@ def _cut(path: str, size: int, end: int):
                     ],
                     names=["doc_id", "rid", "piece", "start", "length", "ids_crc32", "sequence_id"],
                 )
+        encoder.forget()
 
     return run
 
