@@ -37,3 +37,15 @@ def joined_segments(rows: DataFrame, keys: list[str], order: list[str], text: st
     numbered = rows.select(*keys, F.floor(n / size).alias("block"), F.struct(*order).alias("o"), F.col(text).alias("t"))
     block = F.array_sort(F.collect_list(F.struct("o", "t")))
     return numbered.groupBy(*keys, "block").agg(F.min("o").alias("first"), F.array_join(F.transform(block, lambda x: x["t"]), sep).alias("text"))
+
+
+def reciprocal_rank(rows: DataFrame, keys: list[str], order: list[Column | str], into: str = "score") -> DataFrame:
+    """``rows`` with 1 / place within ``keys`` (C15, G17); one key's rows are ranked by one task."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(into, F.round(F.lit(1.0) / place, 9))
+
+
+def repeats(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """``rows`` with their 1-based ``position`` within ``keys`` and ``duplicate``: the value stood before (G14). Null is a value like any other."""
+    seen = F.row_number().over(Window.partitionBy(*keys, value).orderBy(order)) > 1
+    return rows.withColumns({"position": F.row_number().over(Window.partitionBy(*keys).orderBy(order)), "duplicate": seen})

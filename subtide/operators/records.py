@@ -143,3 +143,36 @@ def column_profile(df: DataFrame) -> DataFrame:
     counts = df.agg(*[x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"f{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}"))])
     rows = [F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("position"), F.lit(t).alias("type"), F.col(f"f{i}").alias("filled"), F.col(f"d{i}").alias("different")) for i, (c, t) in enumerate(df.dtypes)]
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def run_manifest(shards: DataFrame, model: str, shard: str, requests: str) -> DataFrame:
+    """One row of a run: model, number of shards, requests, and ``shard=requests`` in the shards' order.
+
+    One row a shard comes in, so the list is as long as the run has files.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(shard, requests))), lambda x: F.concat_ws("=", x[shard], x[requests].cast("string")))
+    return shards.agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("shards"), F.sum(requests).alias("requests"), F.array_join(listed, ",").alias("listing"))
+
+
+def review_payloads(cues: DataFrame, decisions: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, payload): index, text and decision of each decided cue as JSON; a null text is left out of it."""
+    j = cues.select(key, text).join(decisions.select(key, "decision"), key)
+    return j.select(key, F.to_json(F.struct(F.col(key).alias("index"), F.col(text).alias("text"), "decision")).alias("payload"))
+
+
+def field_faults(asked: Column, known: Column, reserved: Column) -> Column:
+    """struct<unknown, forbidden>: sorted distinct fields of ``asked`` that are not known, and those that are reserved; null asks for nothing."""
+    fields = F.coalesce(asked, F.array().cast("array<string>"))
+    return F.struct(
+        F.array_sort(F.array_except(fields, known)).alias("unknown"),
+        F.array_sort(F.array_intersect(fields, reserved)).alias("forbidden"),
+    )
+
+
+def insert_row(scalars: dict[str, Column], lists: dict[str, Column], numbers: dict[str, Column]) -> list[Column]:
+    """Columns of a row to insert: lists as JSON text, null lists as ``[]``, null numbers as 0."""
+    return [
+        *(c.alias(n) for n, c in scalars.items()),
+        *(F.to_json(F.coalesce(c, F.array().cast("array<string>"))).alias(n) for n, c in lists.items()),
+        *(F.coalesce(c, F.lit(0)).alias(n) for n, c in numbers.items()),
+    ]

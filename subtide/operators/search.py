@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+#: Bytes of query terms that travel to every task; beyond it they are joined with the counted tokens.
+MOST_BYTES = 8 << 20
 
 
 def tokens(text: Column, pattern: str = TOKEN) -> Column:
@@ -34,7 +36,7 @@ def format_set(movies: bool = False, ova: bool = False, every: bool = False) ->
 
 
 def _count_of(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term))
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, terms: Sequence[str], k: float = K1, b: float = B) -> DataFrame:
@@ -65,18 +67,40 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: Sequence[str], k: float
     return counted.where(some).join(F.broadcast(stats)).select(*docs.columns, score.alias("score"))
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, length): an inverted index, for many queries at once."""
+def _distinct_terms(wanted: DataFrame) -> DataFrame:
+    return wanted.select(F.lower("term").alias("term")).where(F.col("term").isNotNull()).distinct()
+
+
+def postings(docs: DataFrame, key: str, text: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, length): an inverted index, for many queries at once.
+
+    With ``wanted`` (a table with ``term``) only those terms' postings: up to
+    ``MOST_BYTES`` of them, measured first, meet the tokens before any are counted,
+    so nothing else is shuffled; more are joined after the count.
+    """
     rows = docs.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    counted = lambda r: r.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
+    if wanted is None:
+        return counted(rows)
+    need = _distinct_terms(wanted)
+    weight = need.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    if weight <= MOST_BYTES:
+        return counted(rows.join(F.broadcast(need), "term", "left_semi"))
+    return counted(rows).join(need, "term", "left_semi")
 
 
 def bm25_bulk(index: DataFrame, docs: DataFrame, key: str, text: Column, wanted: DataFrame, k: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) for a table of queries (query_id, term) over an inverted index."""
-    size = docs.select(F.size(tokens(text)).alias("n")).agg(F.count(F.lit(1)).alias("_n"), F.avg("n").alias("_avg"))
+    """(query_id, key, score) for a table of queries (query_id, term) over an inverted index, whole or of the wanted terms.
+
+    Lengths are counted without cutting the tokens out. The document counts read
+    ``tf`` so that they see the same columns of the index as the scores, and one
+    shuffle of it serves both.
+    """
+    n = F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN))
+    size = docs.select(n.alias("n")).agg(F.count(F.lit(1)).alias("_n"), F.avg("n").alias("_avg"))
     need = wanted.select("query_id", F.lower("term").alias("term")).distinct()
-    hit = index.join(need.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    hit = index.join(_distinct_terms(wanted), "term", "left_semi")
+    df = hit.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("_df"))
     scored = hit.join(df, "term").join(F.broadcast(size)).join(need, "term")
     part = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1) * F.col("tf") * (k + 1) / (
         F.col("tf") + k * (1 - b + b * F.col("length") / F.col("_avg"))

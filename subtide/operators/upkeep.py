@@ -105,3 +105,16 @@ def unresolved(rows: DataFrame, decisions: DataFrame, keys: Sequence[str], ambig
     decided = decisions.select(*keys).distinct()
     asked = rows.where(ambiguous)
     return rows.where(~F.coalesce(ambiguous, F.lit(False))).unionByName(asked.join(decided, list(keys), "left_semi")), asked.join(decided, list(keys), "left_anti")
+
+
+def insert_batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """``rows`` with the number of their insert ``batch`` from 0, ``size`` rows of a key each, the last one smaller."""
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+
+
+def running_counts(rows: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """(keys, at, total): rows of a key up to and with each ``at`` (M13); rows are counted per ``at`` before any window."""
+    n = rows.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*keys, at, F.sum("n").over(Window.partitionBy(*keys).orderBy(at)).alias("total"))

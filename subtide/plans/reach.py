@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from subtide.functions import filenames as N
@@ -14,6 +14,8 @@ from subtide.operators import crosswalk as X
 from subtide.operators import intervals as I
 from subtide.operators import records as R
 from subtide.operators import upkeep as U
+from subtide.operators.ranking import reciprocal_rank, repeats
+from subtide.operators.search import top_k
 from subtide.plans.registry import query
 from subtide.session import table
 from subtide.sources import files
@@ -116,8 +118,7 @@ def query_cache(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT l_suppkey, batch, count(*) AS n, min(l_orderkey) AS first FROM (SELECT l_suppkey, l_orderkey, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1) // 500 AS batch FROM lineitem) GROUP BY 1, 2",
 )
 def batches(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    r = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", F.floor((F.row_number().over(w) - 1) / 500).alias("batch"))
+    r = U.insert_batches(table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber"), ["l_suppkey"], ["l_orderkey", "l_linenumber"], 500)
     return r.groupBy("l_suppkey", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first"))
 
 
@@ -169,8 +170,7 @@ def rejected(spark: SparkSession, sf: str) -> DataFrame:
 @query("b22_run_manifest", "SELECT 'model-a' AS model, count(*) AS shards, sum(n)::BIGINT AS requests, string_agg(p_brand || '=' || n, ',' ORDER BY p_brand) AS listing FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)")
 def run_manifest(spark: SparkSession, sf: str) -> DataFrame:
     shards = table(spark, sf, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_brand", "n"))), lambda x: F.concat_ws("=", x["p_brand"], x["n"].cast("string"))), ",")
-    return shards.agg(F.lit("model-a").alias("model"), F.count(F.lit(1)).alias("shards"), F.sum("n").alias("requests"), listed.alias("listing"))
+    return R.run_manifest(shards, "model-a", "p_brand", "n")
 
 
 # Projections -----------------------------------------------------------------
@@ -217,13 +217,12 @@ def display(spark: SparkSession, sf: str) -> DataFrame:
 @query("c25_review_payload", f"""SELECT p_partkey, '{{"index":' || p_partkey || ',"text":"' || p_name || '","decision":"' || ({_DECISION}) || '"}}' AS payload FROM part WHERE {_DECISION} IS NOT NULL""")
 def payload(spark: SparkSession, sf: str) -> DataFrame:
     cues, decisions = _decided(spark, sf)
-    j = cues.join(decisions, "p_partkey")
-    return j.select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("index"), F.col("p_name").alias("text"), "decision")).alias("payload"))
+    return R.review_payloads(cues, decisions, "p_partkey", "p_name")
 
 
 @query("c28_insert_row", """SELECT p_partkey, p_name, '["' || array_to_string(string_split(p_type, ' '), '","') || '"]' AS tags, coalesce(p_size, 0) AS size FROM part""")
 def insert_row(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", "p_name", F.to_json(F.split("p_type", " ")).alias("tags"), F.coalesce("p_size", F.lit(0)).alias("size"))
+    return table(spark, sf, "part").select(*R.insert_row({c: F.col(c) for c in ("p_partkey", "p_name")}, {"tags": F.split("p_type", " ")}, {"size": F.col("p_size")}))
 
 
 @query("c29_review_text", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_name || 'x' END AS shown, p_size % 3 = 0 AS stored FROM part")
@@ -268,15 +267,12 @@ def running_end(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("g14_duplicates_in_window", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS position, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS duplicate FROM events")
 def duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    seen = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")) > 1
-    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("position"), seen.alias("duplicate"))
+    return repeats(table(spark, sf, "events").select("user_id", "event_type", "event_id"), ["user_id"], "event_type", "event_id").select("event_id", "position", "duplicate")
 
 
 @query("g17_reciprocal_rank", "SELECT event_id, round(1.0 / row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id), 9) AS score FROM events")
 def reciprocal(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf, "events").select("event_id", F.round(F.lit(1.0) / F.row_number().over(w), 9).alias("score"))
+    return reciprocal_rank(table(spark, sf, "events").select("user_id", "value", "event_id"), ["user_id"], [F.desc("value"), "event_id"]).select("event_id", "score")
 
 
 @query("g18_results_by_input", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS local FROM events")
@@ -286,7 +282,7 @@ def by_input(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("h01_top_scores", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25")
 def top(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey").limit(25)
+    return table(spark, sf, "customer").select("c_custkey", "c_acctbal").transform(top_k, 25, "c_acctbal", "c_custkey")
 
 
 @query("h11_decision_log_order", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type, ts, event_id)::INT AS place FROM events")
@@ -314,8 +310,8 @@ def across(spark: SparkSession, sf: str) -> DataFrame:
 def field_sets(spark: SparkSession, sf: str) -> DataFrame:
     w = F.split(F.lower("p_name"), " ")
     known, reserved = F.filter(w, lambda x: F.substring(x, 1, 1) <= "m"), F.filter(w, lambda x: F.substring(x, 1, 1) == "a")
-    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return table(spark, sf, "part").select("p_partkey", listed(F.array_except(w, known)).alias("unknown"), listed(F.array_intersect(w, reserved)).alias("forbidden"))
+    faults = table(spark, sf, "part").select("p_partkey", R.field_faults(w, known, reserved).alias("f"))
+    return faults.select("p_partkey", F.array_join("f.unknown", ",").alias("unknown"), F.array_join("f.forbidden", ",").alias("forbidden"))
 
 
 @query(
@@ -393,8 +389,7 @@ def ttl(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT event_type, day, sum(count(*)) OVER (PARTITION BY event_type ORDER BY day)::BIGINT AS total FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day FROM events) GROUP BY event_type, day",
 )
 def counters(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return n.select("event_type", "day", F.sum("n").over(Window.partitionBy("event_type").orderBy("day")).alias("total"))
+    return U.running_counts(table(spark, sf, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")), ["event_type"], "day")
 
 
 @query("m14_resumed_items", "SELECT o_orderkey FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0)")

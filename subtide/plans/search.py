@@ -33,7 +33,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_bulk(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     wanted = spark.createDataFrame([("q1", t) for t in TERMS], "query_id string, term string")
-    scored = S.bm25_bulk(S.postings(docs, "doc_id", F.col("text")), docs, "doc_id", F.col("text"), wanted)
+    scored = S.bm25_bulk(S.postings(docs, "doc_id", F.col("text"), wanted), docs, "doc_id", F.col("text"), wanted)
     return scored.select("query_id", "doc_id", F.round("score", 3).alias("score"))
 
 
