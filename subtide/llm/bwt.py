@@ -27,7 +27,8 @@ shuffled, with equal results.
 
 Defined results: a null or empty text has no bytes; texts shorter than
 ``LENGTH`` lose nothing; a null doc_id counts as larger than any, and null ones
-as equal; rows that repeat a doc_id do not remove each other.
+as equal; rows that repeat a doc_id do not remove each other; an empty table
+gives no rows; extra columns are ignored; a long text is handled whole.
 """
 
 from __future__ import annotations

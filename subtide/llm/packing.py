@@ -13,8 +13,10 @@ that stay emptier than ``FULL`` is dealt and packed once more. The number of
 groups follows the input; a group's size does not.
 
 Defined results: a null or empty text is the end token alone; equal texts and
-repeated rows are packed as documents of their own; an empty table gives no
-sequences.
+repeated rows are packed as documents of their own, and so are rows without a
+doc_id, whose pieces carry a null one; of pieces of equal length the one read
+first goes in first; an empty table gives no sequences; extra columns are ignored;
+a long text is tokenised whole and only then cut.
 """
 
 from __future__ import annotations

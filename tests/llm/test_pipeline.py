@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from subtide.llm import pipeline
@@ -39,6 +43,50 @@ def test_repeated_and_unnamed_rows(spark, docs, no_docs):
     assert pipeline.secret_stage(spark, no_docs, "").count() == 0
 
 
+def test_decontamination_stage_on_odd_rows(spark, docs, no_docs, corpus, tmp_path):
+    """Nulls in both tables, repeated rows and ids, blanks, a long text, an empty table, a column that clashes."""
+    from tests.llm.test_operators import ALNUM_WORDS, lower
+
+    passage = " ".join(ALNUM_WORDS.findall(lower(corpus[4][1]))[5:40])
+    items = [(1, passage), (1, passage), (2, "WORD"), (None, None), (4, "")]
+    spark.createDataFrame(items, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    windows = set()
+    for _, t in items:
+        w = ALNUM_WORDS.findall(lower(t))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(0, len(w) - 10) + 1)} if w else set()
+
+    def clean(text):
+        w = ALNUM_WORDS.findall(lower(text))
+        return not any(tuple(w[k : k + len(g)]) == g for g in windows for k in range(len(w) - len(g) + 1))
+
+    kept = pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert kept.columns == list(pipeline.COLUMNS)
+    want = Counter((i, t) for i, t in corpus if clean(t))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    assert want[2, corpus[1][1]] == 2 and want[None, None] == 1 and 0 < sum(want.values()) < len(corpus)
+    assert pipeline.decontamination_stage(spark, no_docs, str(tmp_path)).count() == 0
+
+
+def test_packing_stage_on_odd_rows(spark, docs, no_docs, corpus):
+    """Every row is packed once, null ids, nulls, blanks and repeated rows included; long texts are cut at 2048 tokens alone."""
+    from tests.llm.test_operators import _tokenizer
+
+    _, tokenizer = _tokenizer()
+    want = Counter()
+    for i, t in corpus:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048))
+    got = pipeline.packing_stage(spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert max(r["piece"] for r in got) > 0 and sum(r["doc_id"] is None for r in got) == 2
+    filled = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 2048
+    assert pipeline.packing_stage(spark, no_docs, "").count() == 0
+
+
 def test_registered_queries_run(spark, sf_dir):
     from subtide.llm import registry
 
