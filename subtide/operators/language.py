@@ -9,8 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from subtide.llm.lineage import stored
+
 #: Words of a lexicon: the commonest, as many as may travel with the tasks, and their greatest length in characters.
 LEXICON, LONGEST = 100_000, 16
+#: Grams of a model that travel with the tasks, one row of weights each; the others are joined by shuffle.
+TRAVEL = 200_000
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -37,15 +41,31 @@ def train_languages(lines: DataFrame, text: str, language: str, n: int = 3, leas
     return wide.select("gram", "l.language", F.log((own + 0.5) / (F.col("l.total") + F.lit(0.5) * F.col("v"))).alias("weight"))
 
 
-def detect_language(lines: DataFrame, model: DataFrame, keys: Sequence[str], text: str, n: int = 3) -> DataFrame:
+def detect_language(lines: DataFrame, model: DataFrame, keys: Sequence[str], text: str, n: int = 3, travel: int = TRAVEL) -> DataFrame:
     """(keys, language, margin): the likeliest language of each line and how far it is ahead of the next, in log units.
 
     ``keys`` name a line. Grams that the model does not know say nothing; a line
     without a known gram has no language. Ties go to the first language by name.
+    The ``travel`` likeliest grams meet the lines by broadcast, where a line's sums
+    are made before anything is shuffled; the occurrences of the others alone are joined by shuffle.
     """
-    found = lines.select(*keys, F.explode(grams(F.col(text), n)).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("times"))
-    scores = found.join(model, "gram").groupBy(*keys, "language").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
-    ranked = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("cost"), "language"))).alias("r"))
+    known = stored(model.select("gram", "language", "weight"))
+    languages = [r["language"] for r in known.select("language").distinct().orderBy("language").collect()]
+    if not languages:
+        return lines.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("margin"))
+    weights = [f"_w{i}" for i in range(len(languages))]
+    wide = stored(known.groupBy("gram").agg(*[F.max(F.when(F.col("language") == x, F.col("weight"))).alias(w) for x, w in zip(languages, weights, strict=True)]))
+    sums = [F.sum(w).alias(w) for w in weights]
+    found = lines.select(*keys, F.explode(grams(F.col(text), n)).alias("gram"))
+    if wide.count() <= travel:
+        met = found.join(F.broadcast(wide), "gram")
+    else:
+        common = stored(wide.orderBy(F.desc(F.greatest(*weights, F.lit(None).cast("double"))), "gram").limit(travel))
+        others = wide.join(F.broadcast(common.select("gram")), "gram", "left_anti")
+        rest = found.join(F.broadcast(common.select("gram")), "gram", "left_anti")
+        met = found.join(F.broadcast(common), "gram").unionByName(rest.join(others, "gram"))
+    costs = F.array(*[F.struct((-F.round(w, 6)).alias("cost"), F.lit(x).alias("language")) for x, w in zip(languages, weights, strict=True)])
+    ranked = met.groupBy(*keys).agg(*sums).select(*keys, F.sort_array(F.filter(costs, lambda c: c["cost"].isNotNull())).alias("r"))
     best = F.get("r", 0)
     told = ranked.select(*keys, best["language"].alias("language"), F.round(F.get("r", 1)["cost"] - best["cost"], 6).alias("margin"))
     return lines.select(*keys).join(told, list(keys), "left")

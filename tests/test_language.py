@@ -53,6 +53,17 @@ def test_languages_against_counted_grams(spark):
     assert right > 400
 
 
+def test_sums_of_lines_are_made_before_the_shuffle(spark):
+    """The grams of the lines themselves are not shuffled: with a model that travels, no shuffle is by gram; one that does not gives the same."""
+    lines = spark.createDataFrame([(i, "aa" if i % 2 else "bb", ("abc abd " if i % 2 else "xyz xyw ") * (1 + i % 5)) for i in range(60)], "id long, lang string, line string")
+    model = L.train_languages(lines, "line", "lang")
+    told = L.detect_language(lines, model, ["id"], "line")
+    assert "hashpartitioning(gram" not in told._jdf.queryExecution().executedPlan().toString()
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(told) == rows(L.detect_language(lines, model, ["id"], "line", travel=3))
+    assert all(r["language"] == ("aa" if r["id"] % 2 else "bb") for r in told.collect())
+
+
 def test_held_out_accuracy_on_the_documents(spark, sf_dir):
     from subtide.plans.builds import line_languages
 
