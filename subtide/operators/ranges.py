@@ -21,11 +21,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], of_left
     average whatever the lengths, and each row meets about the rows that it
     overlaps. A pair counts in the cell where the later of the two starts. A key
     of any size spreads over its cells. Spans without length overlap nothing.
+    The mean is exact, as both sides must reckon with one width whatever the order of their rows.
     """
     (ls, le), (rs, re) = of_left, of_right
     left, right = left.where(F.col(le) > F.col(ls)), right.where(F.col(re) > F.col(rs))
-    length = lambda df, s, e: df.select(*keys, (F.col(e) - F.col(s)).cast("double").alias("_n"))
-    width = length(left, ls, le).unionByName(length(right, rs, re)).groupBy(*keys).agg((F.avg("_n") * 2).alias("_width"))
+    length = lambda df, s, e: df.select(*keys, (F.col(e) - F.col(s)).cast("decimal(28,6)").alias("_n"))
+    width = length(left, ls, le).unionByName(length(right, rs, re)).groupBy(*keys).agg((F.avg("_n").cast("double") * 2).alias("_width"))
     dealt = lambda df, s, e: df.join(width, list(keys)).withColumn("_cell", F.explode(_cells(F.col(s), F.col(e), F.col("_width"))))
     a, b = dealt(left, ls, le), dealt(right, rs, re).drop("_width")
     met = a.join(b, [*keys, "_cell"]).where((F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))

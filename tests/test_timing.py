@@ -176,3 +176,11 @@ def test_linear_folds(spark):
             break
         sums.append(x)
     assert [r["target"] for r in t.orderBy("index").collect()] == sums
+
+
+def test_span_without_length_meets_a_cell_by_zero(spark):
+    """As in the SQL of e19: a point inside a cell is an overlap of 0, at its edge or outside it is none; a longer one wins."""
+    cells = spark.createDataFrame([(1, 0, 10), (2, 0, 10), (3, 0, 10), (4, 0, 10)], "k long, start long, end long")
+    spans = spark.createDataFrame([(1, 5, 5, 7), (2, 0, 0, 8), (2, 10, 10, 9), (3, 4, 4, 1), (3, 9, 12, 2), (4, 6, 3, 5)], "k long, start long, end long, i long")
+    got = {r["k"]: (r["i"], r["overlap"]) for r in intervals.max_overlap(cells, spans, ["k"], "i").collect()}
+    assert got == {1: (7, 0), 2: (None, None), 3: (2, 1), 4: (5, -3)}
