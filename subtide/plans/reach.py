@@ -17,7 +17,7 @@ from subtide.operators import upkeep as U
 from subtide.operators.ranking import reciprocal_rank, repeats
 from subtide.operators.search import top_k
 from subtide.plans.registry import query
-from subtide.session import table
+from subtide.session import dealt, table
 from subtide.sources import files
 
 # Scans and listings ----------------------------------------------------------
@@ -58,7 +58,8 @@ _EPISODES = "CASE p_size % 8 WHEN 2 THEN [] WHEN 4 THEN range(#, # + p_partkey %
 
 
 def names(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.expr(_NAME).alias("name"))
+    p = table(spark, sf, "part").select("p_partkey", "p_size", "p_name")
+    return dealt(p, "p_partkey").select("p_partkey", F.expr(_NAME).alias("name"))
 
 
 @query(

@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt to all cores by ``keys``: a table of few bytes is one or two tasks, whatever its rows cost."""
+    spark = rows.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, for the functions that run there.
 
