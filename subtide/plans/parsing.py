@@ -9,7 +9,7 @@ from subtide.functions import filenames as N
 from subtide.functions.text import ass_to_text
 from subtide.operators.cleaning import srt_documents
 from subtide.plans.registry import query
-from subtide.session import table
+from subtide.session import dealt, table
 from subtide.sources import subtitles as S
 
 
@@ -26,7 +26,7 @@ def names(spark: SparkSession, sf: str) -> DataFrame:
         .when(style == 4, F.lit("Name x264 BD.srt")).when(style == 5, F.concat(F.lit("Name "), (e + 300).cast("string"), F.lit(" [CHS].ssa")))
         .when(style == 6, F.concat(F.lit("[ ] Name S2E"), n, F.lit(" [jp].ass"))).otherwise(F.lit("2048.ass"))
     )
-    return table(spark, sf, "part").select("p_partkey", name.alias("name"))
+    return dealt(table(spark, sf, "part").select("p_partkey"), "p_partkey").select("p_partkey", name.alias("name"))
 
 
 _N = "n AS (SELECT p_partkey, p_partkey % 8 AS style, p_partkey % 120 + 1 AS e FROM part)"

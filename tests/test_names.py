@@ -97,3 +97,11 @@ def test_tags_groups_and_languages(spark):
     n = F.col("n")
     got = {r["i"]: (r["t"], r["g"], r["l"]) for r in d.select("i", N.tags(n).alias("t"), N.group_hint(n).alias("g"), N.language_hint(n).alias("l")).collect()}
     assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
+
+
+def test_names_are_dealt_to_all_cores(spark, sf_dir):
+    """A table of parts is one file of few bytes, yet its names are read by as many tasks as there are cores, or more."""
+    from subtide.plans import parsing, reach
+
+    for names in (parsing.names(spark, sf_dir), reach.names(spark, sf_dir)):
+        assert names.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
