@@ -21,8 +21,11 @@ def first_of(*values: Column) -> Column:
 
 def mechanical_normalise(text: Column) -> tuple[Column, Column]:
     """(text, rules): physical lines joined without a space and trailing arrows stripped."""
-    joined = F.regexp_replace(text, r"[\r\n]+", "")
-    stripped = F.regexp_replace(joined, rf"[ \t]*[{ARROWS}]+[ \t]*\z", "")
+    joined = F.replace(F.replace(text, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
+    # From the end: blanks, arrows, blanks. A pattern would be tried at each character of a long text.
+    blanks = F.lit(" \t")
+    tail = F.rtrim(joined, blanks)
+    stripped = F.when(F.substring(tail, -1, 1).isin(*ARROWS), F.rtrim(F.rtrim(tail, F.lit(ARROWS)), blanks)).otherwise(joined)
     rules = F.filter(
         F.array(F.when(joined != text, "join_physical_lines"), F.when(stripped != joined, "strip_trailing_arrow")),
         lambda r: r.isNotNull(),
