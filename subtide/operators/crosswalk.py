@@ -15,6 +15,8 @@ SOURCE_FIELDS = {
 #: Spellings of sources and media kinds.
 SOURCE_ALIASES = {"myanimelist": "mal", "themoviedb": "tmdb", "thetvdb": "tvdb", "animeplanet": "anime-planet", "ann": "animenewsnetwork"}
 KIND_ALIASES = {"series": "tv", "show": "tv", "movies": "movie", "film": "movie"}
+#: Requests of a bulk lookup that travel with the tasks.
+REQUESTS = 100_000
 
 
 def _aliased(value: Column, aliases: dict[str, str]) -> Column:
@@ -102,15 +104,24 @@ def lookup(bridge: DataFrame, source: str, external_id: str, kind: str | None =
 
 
 def lookup_bulk(bridge: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (pos, source, external_id, media_kind) with their row ids in order; none gives count 0."""
+    """Requests (pos, source, external_id, media_kind) with their row ids in order; none gives count 0.
+
+    The bridge's rows are met by an inner join, so that up to ``REQUESTS`` requests travel and the bridge
+    stays where it lies, more are sorted and merged; the requests themselves follow with no row id. The bridge never
+    travels: a small file of payloads makes many rows, which Spark does not reckon.
+    """
     on = (
         (F.col("r.source") == F.col("b.source")) & (F.col("r.external_id") == F.col("b.external_id"))
         & (F.col("r.media_kind").isNull() | (F.col("r.media_kind") == F.col("b.media_kind")))
     )
+    asked = ["pos", "source", "external_id", "media_kind"]
+    few = requests.limit(REQUESTS + 1).count() <= REQUESTS
+    side = requests.alias("r").hint("broadcast" if few else "merge")
+    found = side.join(bridge.alias("b"), on).select(*[f"r.{c}" for c in asked], "b.row_id")
     return (
-        requests.alias("r").join(bridge.alias("b"), on, "left")
-        .groupBy("r.pos", "r.source", "r.external_id", "r.media_kind")
-        .agg(F.sort_array(F.collect_list("b.row_id")).alias("results"))
+        found.unionByName(requests.select(*asked), allowMissingColumns=True)
+        .groupBy(*asked)
+        .agg(F.sort_array(F.collect_list("row_id")).alias("results"))
         .select("pos", "source", "external_id", "media_kind", F.size("results").alias("count"), "results")
     )
 
