@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,26 +33,32 @@ def context_windows(cues: DataFrame, source: str, order: str, item: Column, size
 def greedy_shards(items: DataFrame, source: str, order: str, size: Column, most_items: int, most_size: int) -> DataFrame:
     """``items`` with ``shard``: filled in order until either limit would be passed.
 
-    The running state depends on every item before, so a source is one ordered
-    fold inside one row; sources spread over tasks. An item larger than the limit
-    has a shard of null.
+    The running state depends on every item before, so a source's items are sorted into
+    one task and streamed past a state of three numbers; sources spread over tasks. An
+    item larger than the limit has a shard of null.
     """
-    listed = items.groupBy(source).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("l"))
-    state = lambda shard, n, total, out: F.struct(shard.alias("shard"), n.alias("n"), total.alias("total"), out.alias("out"))
-    zero = F.lit(0).cast("long")
-
-    def step(a: Column, x: Column) -> Column:
-        fits = (a["n"] < most_items) & (a["total"] + x["s"] <= most_size)
-        put = lambda k: F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), k.alias("k"))))
-        return (
-            F.when(x["s"] > most_size, state(a["shard"], a["n"], a["total"], put(F.lit(None).cast("long"))))
-            .when(fits, state(a["shard"], a["n"] + 1, a["total"] + x["s"], put(a["shard"])))
-            .otherwise(state(a["shard"] + 1, F.lit(1).cast("long"), x["s"], put(a["shard"] + 1)))
-        )
-
-    kind = f"array<struct<o:{items.schema[order].dataType.simpleString()},k:bigint>>"
-    filled = F.aggregate("l", state(zero, zero, zero, F.array().cast(kind)), step, lambda a: a["out"])
-    return listed.select(source, F.inline(filled)).select(source, F.col("o").alias(order), F.col("k").alias("shard"))
+    fields = {f: items.schema[f].dataType.simpleString() for f in (source, order)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begun, shard, n, total = None, False, 0, 0, 0
+        for b in batches:
+            shards = []
+            for k, s in zip(b[source].to_pylist(), b["_size"].to_pylist(), strict=True):
+                if not begun or k != at:
+                    at, begun, shard, n, total = k, True, 0, 0, 0
+                if s is not None and s > most_size:
+                    shards.append(None)
+                    continue
+                # After an item of unknown size another shard begins.
+                if s is not None and total is not None and n < most_items and total + s <= most_size:
+                    n, total = n + 1, total + s
+                else:
+                    shard, n, total = shard + 1, 1, s
+                shards.append(shard)
+            yield pa.RecordBatch.from_arrays([b[source], b[order], pa.array(shards, pa.int64())], names=[source, order, "shard"])
+
+    sized = items.select(source, order, size.cast("long").alias("_size"))
+    return sized.repartition(source).sortWithinPartitions(source, order, "_size").mapInArrow(run, ", ".join(f"`{f}` {t}" for f, t in fields.items()) + ", shard long")
 
 
 def first_wins(rows: DataFrame, keys: Sequence[str], *order: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from subtide.functions import filenames as N
 from subtide.functions import scripts
 from subtide.functions import text as T
-from subtide.operators import alignment, cleaning, coverage, intervals, search, upkeep
+from subtide.operators import alignment, cleaning, coverage, crosswalk, intervals, search, upkeep
 from subtide.operators.ranking import places
 from subtide.sources import files, sinks, subtitles
 from subtide.streaming import debounce
@@ -62,6 +64,24 @@ def test_shards_of_five_rows(spark):
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2, 9: None}
 
 
+def test_shards_stream_past_a_short_state(spark):
+    """One source of many items: no array of a source grows item by item; sources, unknown and too large sizes as a loop has them."""
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), i, r.choice([None, 1, 7, 20, 51, 10])) for i in range(20_000)]
+    c = cleaning.greedy_shards(spark.createDataFrame(rows, "source string, i int, n int"), "source", "i", F.col("n"), 4, 50)
+    assert "collect_list" not in c._jdf.queryExecution().optimizedPlan().toString()
+    want, at = {}, {}
+    for source, i, n in rows:
+        shard, k, total = at.get(source, (0, 0, 0))
+        if n is not None and n > 50:
+            want[source, i] = None
+            continue
+        fits = n is not None and total is not None and k < 4 and total + n <= 50
+        at[source] = (shard, k + 1, total + n) if fits else (shard + 1, 1, n)
+        want[source, i] = at[source][0]
+    assert {(x["source"], x["i"]): x["shard"] for x in c.collect()} == want
+
+
 def test_decision_faults(spark):
     w = spark.createDataFrame([("w", 2, [99, 1, 1])], "w string, n int, ids array<int>")
     assert rows(cleaning.decision_faults(w, "w", "n", "ids")) == [("w", "duplicate_decision", 1), ("w", "id_mismatch", 99), ("w", "missing_decision", 2)]
@@ -91,6 +111,31 @@ def test_mechanical_normalisation(spark):
     assert tuple(spark.range(1).select(t, r).first()) == ("私は求められている王塚真唯像を", ["join_physical_lines", "strip_trailing_arrow"])
 
 
+def test_mechanical_normalisation_from_the_end(spark):
+    """As the pattern of old has it, without a pattern that is tried at each character."""
+    r = random.Random(3)
+    texts = ["", None, "➡", " →\t", "x ➡ ", "x ➡ →", "x➡y", " \t", "x \t"] + ["".join(r.choice("a \t\r\n➡→日") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    t, rules = T.mechanical_normalise(F.col("t"))
+    d = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.alias("s"), rules.alias("r"))
+    assert "regexp" not in d._jdf.queryExecution().optimizedPlan().toString()
+    for row in d.collect():
+        joined = None if row["t"] is None else re.sub(r"[\r\n]+", "", row["t"])
+        assert row["s"] == (None if joined is None else re.sub(rf"[ \t]*[{T.ARROWS}]+[ \t]*\Z", "", joined))
+        assert row["r"] == ([] if joined is None else ["join_physical_lines"] * (joined != row["t"]) + ["strip_trailing_arrow"] * (row["s"] != joined))
+
+
+def test_bulk_lookup_leaves_the_bridge_where_it_lies(spark):
+    """Only the requests travel: a bridge that Spark takes for small is neither broadcast nor shuffled whole."""
+    bridge = spark.range(0, 1000).selectExpr("'s' AS source", "cast(id % 10 AS string) AS external_id", "if(id % 2 = 0, 'tv', null) AS media_kind", "id AS row_id")
+    asked = spark.createDataFrame([(0, "s", "4", None), (1, "s", "4", "tv"), (2, "s", "5", "tv"), (3, "t", "4", None)], "pos int, source string, external_id string, media_kind string")
+    found = crosswalk.lookup_bulk(bridge, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftOuter" not in plan and "Inner, BuildLeft" in plan
+    got = {x["pos"]: (x["count"], x["results"]) for x in found.collect()}
+    fours = list(range(4, 1000, 10))
+    assert got == {0: (100, fours), 1: (100, fours), 2: (0, []), 3: (0, [])}
+
+
 def test_language_buckets(spark):
     d = spark.createDataFrame([("これは日本語の字幕です\nとても長い行ですよね\nはいそうです",), ("This is a line of text\nAnd here is one more",), ("short",), (None,)], "t string")
     got = [r["b"] for r in scripts.metrics(d, "t").select(scripts.bucket().alias("b")).collect()]
