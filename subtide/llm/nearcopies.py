@@ -1,9 +1,10 @@
 """SimHash near-dedup at a similarity: segment counts of whole shingle maps, a grid join, exact verification.
 
-A majority fingerprint of 64 bits differs in some ten bits at a Jaccard similarity
-of 0.8, farther than any exact grid of it reaches. So here a text's fingerprint is
-the bit map of its lower-cased five-word shingles, two bits a shingle, and links
-are decided by the shingle sets themselves:
+Each text has the SimHash of its five-word shingles, and what the operator of ``simhash``
+links by its segment counts and grid is verified by whole sets. But a majority fingerprint of
+64 bits differs in some ten bits at a Jaccard similarity of 0.8, farther than any exact grid of
+it reaches. So beside it each text has the bit map of its lower-cased five-word shingles, two bits
+a shingle, for the pairs that lie farther apart, and links are decided by the shingle sets themselves:
 
 * Segments: a text's shingles in order, cut before each shingle whose hash is a
   multiple of the level's ``cut``. An edit of a word spoils the one or two segments it
@@ -44,6 +45,7 @@ from pyspark.sql import functions as F
 from subtide.llm import words as W
 from subtide.llm.components import components
 from subtide.llm.lineage import HOT, dropped, join_unique, stored
+from subtide.llm.simhash import fingerprints_of, links
 
 WIDTH = 5
 #: The least similarity as a fraction.
@@ -143,7 +145,7 @@ def _levels(size: np.ndarray, similarity: tuple[int, int]) -> Iterator[tuple[int
 def _nodes(width: int, similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row = 0
+            row, prints = 0, fingerprints_of(b["text"], width).view(np.int64)
             for h, o, first, g in shingles_of(b["text"], width):
                 name, other, size = names_of(h, g, o, first)
                 n = len(size)
@@ -161,8 +163,8 @@ def _nodes(width: int, similarity: tuple[int, int]):
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[heads], minlength=n))])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), levels)
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(row, n), b["text_hash"].slice(row, n), pa.array(name), pa.array(other), pa.array(size), bit_maps(h, o, size), lists],
-                    names=["doc_id", "text_hash", "name", "other", "size", "map", "segments"],
+                    [b["doc_id"].slice(row, n), b["text_hash"].slice(row, n), pa.array(name), pa.array(other), pa.array(size), pa.array(prints[row : row + n]), bit_maps(h, o, size), lists],
+                    names=["doc_id", "text_hash", "name", "other", "size", "fp", "map", "segments"],
                 )
                 row += n
 
@@ -294,14 +296,27 @@ def cells_of(nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return cells
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): pairs of ``nodes`` (node, fp) to verify, as the SimHash operator links their fingerprints.
+
+    Sets of one fingerprint are paired with its first, and the first of each fingerprint with those of the
+    fingerprints that the operator's embedding and grid link to it: a row a set and a link at most.
+    """
+    prints = stored(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("w")))
+    own = join_unique(nodes.select("fp", F.col("node").alias("v")), prints, ["fp"], "inner", "w").select(F.col("lead").alias("u"), "v")
+    leads = prints.select(F.col("fp").alias("node"), "lead")
+    linked = _joined(_joined(stored(links(prints.select("fp"))), leads, "u", "v"), leads, "v", "u").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    return stored(own.unionByName(linked).where("u <> v").distinct())
+
+
 def near_copies(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY, cell: int = CELL) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, component (a name of the component, not a doc_id)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    kept = stored(docs.mapInArrow(_nodes(width, similarity), "doc_id long, text_hash long, name long, other long, size long, map binary, segments array<struct<cut:int,keys:array<long>>>"))
+    kept = stored(docs.mapInArrow(_nodes(width, similarity), "doc_id long, text_hash long, name long, other long, size long, fp long, map binary, segments array<struct<cut:int,keys:array<long>>>"))
     # A number for each set, stored with it; the two names tell sets apart.
     nodes = stored(
         kept.groupBy("name", "other").agg(
-            F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("map").alias("map"), F.first("segments").alias("segments"), F.count(F.lit(1)).alias("rows")
+            F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("map").alias("map"), F.first("segments").alias("segments"), F.count(F.lit(1)).alias("rows")
         ).withColumn("node", F.monotonically_increasing_id())
     )
     cells = cells_of(nodes.select("node", "segments"), similarity)
@@ -309,10 +324,13 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
     used = stored(join_unique(cells, counted.withColumn("w", F.col("n")), ["key"], "inner", "w").select("key", "node", "n"))
     dropped(cells)
 
-    named = stored(nodes.join(used.select("node").distinct(), "node", "left_semi").select("text_hash"))
+    near_prints = fingerprint_pairs(nodes)
+    wanted = stored(used.select("node").unionByName(near_prints.select(F.col("u").alias("node"))).unionByName(near_prints.select(F.col("v").alias("node"))).distinct())
+
+    named = stored(nodes.join(wanted, "node", "left_semi").select("text_hash"))
     side = F.broadcast(named) if named.count() <= BROADCAST_KEYS else named
     texts = docs.select("text_hash", "text").join(side, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
-    numbers = nodes.join(used.select("node").distinct(), "node", "left_semi").select("name", "other", "node")
+    numbers = nodes.join(wanted, "node", "left_semi").select("name", "other", "node")
     sets = stored(texts.select("text").mapInArrow(_sets(width), "name long, other long, shingles array<long>").join(numbers, ["name", "other"]).select("node", "shingles"))
 
     sides = stored(nodes.select("node", "size", "map").join(used.groupBy("node").agg(F.collect_list("key").alias("cells")), "node"))
@@ -333,6 +351,8 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
         )
         return stored(members.select("key", "members").mapInArrow(_pairs(similarity, best), "u long, v long").distinct())
 
+    # What the fingerprints link, by whole sets.
+    alike = verified(near_prints, sets, similarity)
     # Each text against the most central one (that with most company in its cells) of the cells it opens.
     central = used.groupBy("node").agg(F.sum("n").alias("company"))
     leaders = stored(
@@ -342,7 +362,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: tuple[int, int]
     star = verified(stored(met.groupBy("v").agg(F.max(F.struct("n", "u")).alias("b")).select("b.u", "v")), sets, similarity)
     # Of the texts that still lie apart, the nearest of each component of a cell; at last all pairs.
     near = verified(candidates(star.select(F.col("v").alias("node"), F.col("u").alias("component")), True), sets, similarity)
-    found = stored(star.unionByName(near))
+    found = stored(alike.unionByName(star).unionByName(near))
     found = stored(found.unionByName(verified(candidates(components(found), False), sets, similarity)))
 
     ends = stored(nodes.join(components(found), "node", "left").select("name", "other", F.coalesce("component", "node").alias("component"), "rows"))

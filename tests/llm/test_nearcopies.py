@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from subtide.llm import nearcopies, pipeline, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,3 +133,34 @@ def test_recall_of_pairs_by_kind_of_edit(spark):
     for kind in kinds:
         own = [x for x, p in zip(linked, pairs) if p[0] == kind]
         assert sum(own) >= 0.9 * len(own), (kind, [(p[1], x) for x, p in zip(linked, pairs) if p[0] == kind])
+
+
+def test_fingerprints_link_as_the_simhash_operator_does(spark):
+    """Pairs to verify connect what lies within three bits, and sets of one fingerprint, and nothing else."""
+    r = random.Random(11)
+    base = [r.getrandbits(63) for _ in range(15)]
+    prints = base + [b ^ (1 << r.randint(0, 62)) ^ (1 << r.randint(0, 62)) for b in base] + base[:4] * 2
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    close = [(u, v) for u in range(len(prints)) for v in range(u) if (prints[u] ^ prints[v]).bit_count() <= 3]
+
+    def labels(edges):
+        label = list(range(len(prints)))
+        for _ in prints:
+            for u, v in edges:
+                label[u] = label[v] = min(label[u], label[v])
+        return label
+
+    assert labels([tuple(x) for x in nearcopies.fingerprint_pairs(nodes).collect()]) == labels(close)
+
+
+def test_near_copies_by_fingerprint_alone(spark, monkeypatch):
+    """With no cells of segments at all, the SimHash step still finds a long text with one word edited; whole sets decide."""
+    r = random.Random(2)
+    base = _words(r, 900)
+    near, far = base[:450] + ["edit"] + base[451:], _words(r, 900)
+    texts = [" ".join(t) for t in (base, near, far)]
+    prints = simhash.fingerprints_of(pa.array(texts), nearcopies.WIDTH).tolist()
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    monkeypatch.setattr(nearcopies, "cells_of", lambda nodes, similarity: spark.createDataFrame([], "node long, key long"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x["doc_id"] for x in pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 2]
