@@ -3,10 +3,11 @@
 What can repeat is found first. Each string of ``LENGTH`` bytes belongs to the
 cell named by the smallest hash of its 24-byte grams; equal strings share a
 cell, and consecutive strings of one cell form a fragment. Cells are counted over
-all documents. Strings of a cell with more than ``HEAVY`` fragments are dealt
-again, by the smallest hash of their 44-byte grams, so that a common phrase in
-many surroundings makes many small cells. Only fragments of cells that occur
-twice or more go on.
+all documents. Fragments of a cell with more than ``HEAVY`` of them are stored, and
+their strings are dealt again from there, by the smallest hash of their 44-byte
+grams, so that a common phrase in many surroundings makes many small cells; the
+documents are not read for it a second time. Only fragments of cells that occur twice
+or more go on.
 
 Fragments are shuffled by cell. In a task they come in batches of whole cells of
 some ``BATCH`` bytes and are dealt to shards by document. Each shard gets its own
@@ -58,6 +59,7 @@ PLACES = (0, 18, 37)
 #: Fragments hold at most so many strings, however periodic the text.
 RUN = 128
 LAST = 2**63 - 1
+FRAGMENT = "cell long, d long, t long, start long, text binary"
 
 
 # The transform of a shard and the merge ------------------------------------
@@ -191,15 +193,13 @@ def first_owner(strings: pa.Array, owner: np.ndarray, length: int, shards: list[
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of each run of ``width`` values."""
-    n = len(values)
-    size = -(-n // width) * width
-    padded = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = values
-    blocks = padded.reshape(-1, width)
-    left = np.minimum.accumulate(blocks, axis=1).ravel()
-    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - width + 1], left[width - 1 : n])
+    """The minimum of each run of ``width`` values, from those of runs twice as long each time."""
+    least, reach = values, 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
 def _filter(cells: DataFrame) -> tuple[bytes, int]:
@@ -228,84 +228,84 @@ def _passes(bloom: tuple[bytes, int], cells: np.ndarray) -> np.ndarray:
 
 def _stretches(cell: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and ends of the runs of valid strings of one cell."""
-    fresh = np.ones(len(cell), bool)
-    fresh[1:] = (cell[1:] != cell[:-1]) | ~valid[:-1]
-    head = np.flatnonzero(fresh & valid)
-    bad = np.flatnonzero(fresh | ~valid)
-    return head, np.append(bad, len(cell))[np.searchsorted(bad, head, "right")]
-
+    edge = ~valid
+    edge[1:] |= (cell[1:] != cell[:-1]) | ~valid[:-1]
+    edge[0] = True
+    at = np.flatnonzero(edge)
+    inside = valid[at]
+    return at[inside], np.append(at[1:], len(cell))[inside]
 
-def _fragments(column: pa.Array, length: int, grams: tuple[int, int], heavy: tuple[bytes, int] | None):
-    """Per slice: (row, raw, row offsets, first bytes, numbers of strings, cells, whether dealt again) of the fragments.
 
-    ``heavy`` is the filter of cells whose strings are dealt again by the second of ``grams``.
-    """
+def _fragments(column: pa.Array, length: int, gram: int):
+    """Per slice: (row, raw, row offsets, first bytes, numbers of strings, cells) of the fragments."""
     for row, raw, offsets in W.slices(column):
         n = len(raw)
         none = np.zeros(0, np.int64)
         if n < length:
-            yield row, raw, offsets, none, none, none.view(np.uint64), none.astype(bool)
+            yield row, raw, offsets, none, none, none.view(np.uint64)
             continue
-        values = W._byte_table(0)[raw]
-        cell = _least(W.sliding_hashes(values, grams[0]), length - grams[0] + 1)
-        valid = np.arange(len(cell)) + length <= np.repeat(offsets[1:], np.diff(offsets))[: len(cell)]
+        cell = _least(W.sliding_hashes(W._byte_table(0)[raw], gram), length - gram + 1)
+        valid = np.ones(len(cell), bool)
+        for end in offsets[1:].tolist():
+            valid[max(end - length + 1, 0) : end] = False
         head, stop = _stretches(cell, valid)
-        again = np.zeros(len(cell), bool)
-        if heavy:
-            busy = _passes(heavy, W.mix(cell[head]))
-            if busy.any():
-                edge = np.zeros(len(cell) + 1, np.int8)
-                edge[head[busy]] += 1
-                edge[stop[busy]] -= 1
-                again = np.cumsum(edge[:-1]) > 0
-                cell = np.where(again, ~_least(W.sliding_hashes(values, grams[1]), length - grams[1] + 1), cell)
-                head, stop = _stretches(cell, valid)
         count = stop - head
         pieces = -(-count // RUN)
         part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first = np.repeat(head, pieces) + part * RUN
-        yield row, raw, offsets, first, np.minimum(np.repeat(stop, pieces) - first, RUN), W.mix(cell[first]), again[first]
-
+        yield row, raw, offsets, first, np.minimum(np.repeat(stop, pieces) - first, RUN), W.mix(cell[first])
 
-def _count_cells(length: int, grams: tuple[int, int], heavy: tuple[bytes, int] | None):
-    """Counts of all cells; of those dealt again where there is a filter of heavy ones."""
 
+def _count_cells(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for *_, cells, again in _fragments(b["text"], length, grams, heavy):
-                values, n = np.unique(cells[again] if heavy else cells, return_counts=True)
+            for *_, cells in _fragments(b["text"], length, gram):
+                values, n = np.unique(cells, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     return run
 
 
-def _emit(shared: tuple[bytes, int], heavy: tuple[bytes, int] | None, passages: tuple[bytes, int] | None, length: int, grams: tuple[int, int], common: bool):
-    """Fragments of shared cells (not common), or the single strings of passages (common)."""
+def _emit(cells_in: tuple[bytes, int], cells_out: tuple[bytes, int] | None, length: int, gram: int):
+    """Fragments of the cells that the first filter has and the second has not; ``start`` counts from that of their row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, raw, offsets, first, count, cells, again in _fragments(b["text"], length, grams, heavy):
-                many = again & _passes(passages, cells) if passages else np.zeros(len(cells), bool)
-                take = np.flatnonzero(many if common else _passes(shared, cells) & ~many)
+            for row, raw, offsets, first, count, cells in _fragments(b["text"], length, gram):
+                take = _passes(cells_in, cells)
+                if cells_out:
+                    take &= ~_passes(cells_out, cells)
                 first, count, cells = first[take], count[take], cells[take]
-                if common:
-                    first = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 owner = np.searchsorted(offsets, first, "right") - 1
                 rows = pa.array(owner + row)
-                start = pa.array(first - offsets[owner])
-                if common:
-                    values = W._byte_table(0)[raw]
-                    hashes = [W.run_hashes(values, first, first + length, s) for s in (0, 1)]
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(h.view(np.int64)) for h in hashes), b["d"].take(rows), b["t"].take(rows), start], names=["high", "low", "d", "t", "start"]
-                    )
-                    continue
+                start = b["start"].to_numpy()[owner + row] + first - offsets[owner]
                 size = count + length - 1
                 to = np.concatenate([[0], np.cumsum(size)])
                 data = raw[np.repeat(first - to[:-1], size) + np.arange(to[-1])]
                 text = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.view(np.int64)), b["d"].take(rows), b["t"].take(rows), start, text], names=["cell", "d", "t", "start", "text"]
+                    [pa.array(cells.view(np.int64)), b["d"].take(rows), b["t"].take(rows), pa.array(start), text], names=["cell", "d", "t", "start", "text"]
+                )
+
+    return run
+
+
+def _single(length: int):
+    """The strings of fragments, by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, raw, offsets in W.slices(b["text"]):
+                count = np.diff(offsets) - length + 1
+                owner = np.repeat(np.arange(len(count)), count)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                first = offsets[owner] + place
+                values = W._byte_table(0)[raw]
+                hashes = [W.run_hashes(values, first, first + length, s) for s in (0, 1)]
+                rows = pa.array(owner + row)
+                start = pa.array(b["start"].to_numpy()[owner + row] + place)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(h.view(np.int64)) for h in hashes), b["d"].take(rows), b["t"].take(rows), start], names=["high", "low", "d", "t", "start"]
                 )
 
     return run
@@ -424,27 +424,30 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fine: i
     if length % 2 or length < max(gram, fine):
         raise ValueError(f"length {length} is odd or shorter than a gram of {gram} or {fine} bytes")
     rows = with_copies(docs).withColumn("d", F.coalesce("doc_id", F.lit(LAST)))
-    leads = rows.where("lead").select("d", "t", "text")
+    leads = rows.where("lead").select("d", "t", F.lit(0).cast("long").alias("start"), "text")
 
-    def cells(dealt: tuple[bytes, int] | None) -> DataFrame:
-        counts = leads.select("text").mapInArrow(_count_cells(length, (gram, fine), dealt), "cell long, n long")
+    def cells(texts: DataFrame, gram: int) -> DataFrame:
+        counts = texts.select("text").mapInArrow(_count_cells(length, gram), "cell long, n long")
         return stored(counts.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1"))
 
     def over(counted: DataFrame) -> tuple[bytes, int] | None:
         many = counted.where(F.col("n") > heavy)
         return None if many.isEmpty() else _filter(many)
 
-    shared, passages = cells(None), None
+    def emitted(texts: DataFrame, inside: tuple[bytes, int], outside: tuple[bytes, int] | None, gram: int) -> DataFrame:
+        return texts.mapInArrow(_emit(inside, outside, length, gram), FRAGMENT)
+
+    shared, passages = cells(leads, gram), None
     again = over(shared)
+    fragments = emitted(leads, _filter(shared.where(F.col("n") <= heavy)), again, gram)
     if again:
-        dealt = cells(again)
+        dense = stored(emitted(leads, again, None, gram).drop("cell"))
+        dealt = cells(dense, fine)
         passages = over(dealt)
-        shared = shared.where(F.col("n") <= heavy).unionByName(dealt)
-    filters = (_filter(shared), again, passages, length, (gram, fine))
-    fragments = leads.mapInArrow(_emit(*filters, False), "cell long, d long, t long, start long, text binary")
+        fragments = fragments.unionByName(emitted(dense, _filter(dealt.where(F.col("n") <= heavy)), passages, fine))
     found = fragments.repartition("cell").sortWithinPartitions("cell").mapInArrow(_resolve(length), "d long, t long, start long, n long")
     if passages:
-        found = found.unionByName(_passages(leads, filters))
+        found = found.unionByName(_passages(emitted(dense, passages, None, fine), length))
     runs = (
         found.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
         .select(F.col("d").alias("_id"), F.col("t").alias("_t"), "runs")
@@ -455,9 +458,9 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, fine: i
     )
 
 
-def _passages(leads: DataFrame, filters: tuple) -> DataFrame:
+def _passages(fragments: DataFrame, length: int) -> DataFrame:
     """(d, t, start, n): strings of passages that a smaller document has."""
-    single = stored(leads.mapInArrow(_emit(*filters, True), "high long, low long, d long, t long, start long"))
+    single = stored(fragments.mapInArrow(_single(length), "high long, low long, d long, t long, start long"))
     least = single.groupBy("high", "low").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count(F.lit(1)).alias("rows"))
     least = stored(least.where("least < most").drop("most"))
     firsts = join_unique(single, least, ["high", "low"], "inner", "rows").where("least < d")

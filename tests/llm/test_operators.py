@@ -181,6 +181,23 @@ def test_byte_dedup(docs, no_docs, corpus, heavy):
         assert bwt.dedup_bytes(no_docs).count() == 0
 
 
+def test_byte_dedup_reads_the_documents_once_more_for_frequent_cells(spark, corpus):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(corpus)], "doc_id long, text string").coalesce(1)
+    rows = {}
+    for heavy in (20_000, 2):
+        read.value = 0
+        bwt.dedup_bytes(docs.mapInArrow(counted, docs.schema), heavy=heavy).collect()
+        rows[heavy] = read.value
+    assert rows[20_000] < rows[2] <= rows[20_000] + len(corpus)
+
+
 def test_byte_dedup_refuses_a_length_that_no_round_ends_at(spark):
     with pytest.raises(ValueError):
         bwt.dedup_bytes(spark.createDataFrame([], "doc_id long, text string"), length=51)
