@@ -40,22 +40,33 @@ def overlap_by_lag(speech: DataFrame, cues: DataFrame, keys: Sequence[str], cand
     whole = [*keys, *candidate]
     met = near_join(_edges(speech, keys, "_p", "_s"), _edges(cues, whole, "_q", "_t"), keys, "_p", "_q", most)
     turns = met.groupBy(*whole, (F.col("_p") - F.col("_q")).alias("lag")).agg(F.sum(-F.col("_s") * F.col("_t")).alias("turn"))
-    # What they share at the lowest lag, and one step before it, gives the value and the slope to begin with.
     low = cues.select(*whole, (F.col("start") - most - 1).alias("_c"), (F.col("end") - most).alias("_d"))
-    shared = lambda c, d: F.greatest(F.least("end", d) - F.greatest("start", c), F.lit(0))
     first = overlap_join(speech.select(*keys, "start", "end"), low, keys, ("start", "end"), ("_c", "_d")).select(
-        *whole, shared(F.col("_c") + 1, F.col("_d")).alias("at"), shared(F.col("_c"), F.col("_d") - 1).alias("before")
+        *whole, _shared(F.col("_c") + 1, F.col("_d")).alias("at"), _shared(F.col("_c"), F.col("_d") - 1).alias("before")
     ).groupBy(*whole).agg(F.sum("at").alias("jump"), (F.sum("at") - F.sum("before")).alias("turn"))
     zero = F.lit(0).cast("long")
     marks = cues.select(*whole).distinct().select(*whole, F.explode(F.array(*[F.lit(x).cast("long") for x in sorted({-most, 0, most})])).alias("lag"))
     rows = turns.withColumn("jump", zero).unionByName(first.withColumn("lag", F.lit(-most).cast("long"))).unionByName(
         marks.withColumn("turn", zero).withColumn("jump", zero)
     ).groupBy(*whole, "lag").agg(F.sum("turn").alias("turn"), F.sum("jump").alias("jump"))
+    return _curve(rows, whole).select(*whole, "lag", "matched", "slope", "next_lag")
+
+
+def _shared(c: Column, d: Column) -> Column:
+    """The steps that a span of speech shares with [c, d)."""
+    return F.greatest(F.least("end", d) - F.greatest("start", c), F.lit(0))
+
+
+def _curve(rows: DataFrame, whole: Sequence[str]) -> DataFrame:
+    """``rows`` (whole, lag, turn, jump), one a lag, with the value, the slope and the next lag.
+
+    What is shared at the lowest lag, and one step before it, gives the value and the slope to begin with.
+    """
     w = Window.partitionBy(*whole).orderBy("lag")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     sloped = rows.withColumn("slope", F.sum("turn").over(upto)).withColumn("_last", F.lag("lag").over(w))
     rise = F.coalesce((F.col("slope") - F.col("turn")) * (F.col("lag") - F.col("_last")), F.lit(0)) + F.col("jump")
-    return sloped.withColumn("matched", F.sum(rise).over(upto)).withColumn("next_lag", F.lead("lag").over(w)).select(*whole, "lag", "matched", "slope", "next_lag")
+    return sloped.withColumn("matched", F.sum(rise).over(upto)).withColumn("next_lag", F.lead("lag").over(w))
 
 
 def best_lags(speech: DataFrame, cues: DataFrame, keys: Sequence[str], candidate: Sequence[str], most: int, apart: int) -> DataFrame:
@@ -86,18 +97,58 @@ def windowed(cues: DataFrame, width: int, hop: int) -> DataFrame:
     return cut.withColumn("start", F.greatest("start", F.col("window") * hop)).withColumn("end", F.least("end", F.col("window") * hop + width))
 
 
+def _window_lags(speech: DataFrame, cues: DataFrame, keys: Sequence[str], candidate: Sequence[str], most: int, width: int, hop: int) -> DataFrame:
+    """(keys, candidate, window, lag, matched, cues_unmatched): ``best_lags`` of windows of the cues.
+
+    Speech is dealt to the windows that it can reach, so that a window's cues and speech meet in one shuffle by
+    key and window. Its pairs, curve and best lag come from there as they lie: no pair, edge or lag is shuffled. Rows
+    of one lag are not added up first: between them the curve does not rise, and what it jumps by is never negative.
+    A bound is a row only where something is shared there, as a lag without cover is none.
+    """
+    place = [*keys, "window"]
+    whole = [*place, *candidate]
+    reached = F.sequence(F.ceil((F.col("start") - width - most) / hop), F.floor((F.col("end") + most + 1) / hop))
+    spoken = speech.select(*keys, "start", "end", F.explode(reached).alias("window"))
+    cut = windowed(cues, width, hop).select(*whole, F.col("start").alias("_c"), F.col("end").alias("_d")).repartition(*place)
+    w = Window.partitionBy(*whole)
+    cut = cut.withColumn("_cues", F.sum(F.col("_d") - F.col("_c")).over(w)).withColumn("_lead", F.row_number().over(w.orderBy("_c")) == 1)
+    near = (F.col("start") <= F.col("_d") + most + 1) & (F.col("end") >= F.col("_c") - most - 1)
+    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in place]
+    met = cut.alias("c").join(spoken.alias("s"), [*same, near], "left").select(*[F.col(f"c.{k}") for k in whole], "_c", "_d", "_cues", "_lead", "start", "end")
+    zero, lit = F.lit(0).cast("long"), lambda x: F.lit(x).cast("long")
+    row = lambda lag, turn, jump: F.struct(lag.alias("lag"), turn.alias("turn"), jump.alias("jump"))
+    meets = [
+        row(F.when(F.abs(F.col(p) - F.col(q)) <= most, F.col(p) - F.col(q)), lit(-s * t), zero)
+        for p, s in (("start", 1), ("end", -1)) for q, t in (("_c", 1), ("_d", -1))
+    ]
+    spoke = F.col("start").isNotNull()
+    at, before = _shared(F.col("_c") - most, F.col("_d") - most), _shared(F.col("_c") - most - 1, F.col("_d") - most - 1)
+    bounds = [
+        row(F.when(spoke & (at + before > 0), lit(-most)), at - before, at),
+        row(F.when(spoke & (_shared(F.col("_c") + most, F.col("_d") + most) > 0), lit(most)), zero, zero),
+    ]
+    still = row(F.when(F.col("_lead"), zero), zero, zero)
+    rows = met.select(*whole, "_cues", F.explode(F.array(*meets, *bounds, still)).alias("e")).where(F.col("e.lag").isNotNull()).select(*whole, "_cues", "e.*")
+    best = F.max(F.struct("matched", (-F.abs("lag")).alias("near"), (-F.col("lag")).alias("early"))).alias("_best")
+    found = _curve(rows, whole).groupBy(*whole).agg(best, F.max("_cues").alias("_cues"))
+    matched = F.col("_best.matched")
+    return found.select(*whole, F.when(matched > 0, -F.col("_best.early")).alias("lag"), matched.alias("matched"), (F.col("_cues") - matched).alias("cues_unmatched"))
+
+
 def local_fit(speech: DataFrame, cues: DataFrame, keys: Sequence[str], candidate: Sequence[str], most: int, width: int, drift: float) -> DataFrame:
     """Per (keys, candidate) the line through the best lags of windows of ``width`` steps that start every half width, and a verdict.
 
     A window counts where speech covers half of its cues or more. The slope is
-    in steps per window, to four digits; it is null where fewer than two windows count.
+    in steps per window, to four digits; it is null where fewer than two windows count. Windows are summed in
+    their order, as the slope's last digit would else hang on the order of rows.
     """
-    lags = best_lags(speech, windowed(cues, width, width // 2), keys, [*candidate, "window"], most, 1)
+    lags = _window_lags(speech, cues, keys, candidate, most, width, width // 2)
+    whole = [*keys, *candidate]
     usable = (F.col("matched") > 0) & (F.col("matched") >= F.col("cues_unmatched"))
-    of = lambda c: F.when(usable, c)
-    per = lags.groupBy(*keys, *candidate).agg(
-        F.count(F.lit(1)).alias("windows"), F.count(of(F.lit(1))).alias("usable"), F.coalesce(F.sum(of(F.col("lag"))), F.lit(0)).alias("total"),
-        F.round(F.regr_slope(of(F.col("lag").cast("double")), of(F.col("window").cast("double"))), 4).alias("slope"),
+    ordered = lags.select(*whole, "window", F.when(usable, F.col("lag")).alias("lag")).repartition(*whole).sortWithinPartitions(*whole, "window")
+    per = ordered.groupBy(*whole).agg(
+        F.count(F.lit(1)).alias("windows"), F.count("lag").alias("usable"), F.coalesce(F.sum("lag"), F.lit(0)).alias("total"),
+        F.round(F.regr_slope(F.col("lag").cast("double"), F.col("window").cast("double")), 4).alias("slope"),
     )
     verdict = (
         F.when(F.col("usable") == 0, "bad_candidate").when(F.col("usable") * 2 < F.col("windows"), "weak_match")

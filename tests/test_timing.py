@@ -82,6 +82,19 @@ def test_verdicts(spark):
     assert fits == {"same": "good_match", "shifted": "constant_offset", "drifting": "possible_drift", "alone": "bad_candidate", "far": "bad_candidate"}
 
 
+def test_local_fit_shuffles_spans_only(spark):
+    """Speech and cues once to merge them, once by window, and one row a window for the fit: no edge, pair or lag."""
+    spans = spark.range(50).select((F.col("id") % 2).alias("track"), (F.col("id") % 3).alias("file"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 3).alias("end"))
+    on, off = timing.on_grid(spans.drop("file"), ["track"], 1), timing.on_grid(spans, ["track", "file"], 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = timing.local_fit(on, off, ["track"], ["file"], 60, 200, 1.0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 5
+
+
 def test_occupancy_against_every_instant(spark):
     r, layers = random.Random(6), ["vad", "srt", "ass"]
     rows = [(r.choice("pq"), r.choice([*layers, "other"]), *x) for x in spread(r, 50, 200, 25)] + [("p", "vad", 30, 30), ("p", "vad", 900, 910), ("p", "vad", 910, 920)]
